@@ -143,9 +143,9 @@ def mean(expression: str, digits: int = 2) -> str:
 
 def iqr_of(source: str, column: str) -> str:
     q = f"SELECT quantile_cont({column}, 0.25) AS q1, quantile_cont({column}, 0.75) AS q3 FROM {source}"
-    return f"""SELECT '{column}' AS "column", round(q1, 4) AS q1, round(q3, 4) AS q3,
-      round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 4) + 0.0 AS lower,
-      round(q3 + 1.5 * (q3 - q1), 4) AS upper, n AS outliers, {pct('n', 'm')} AS rate_pct
+    return f"""SELECT '{column}' AS "column", round(q1, 8) AS q1, round(q3, 8) AS q3,
+      round(q3 - q1, 8) AS iqr, round(q1 - 1.5 * (q3 - q1), 8) + 0.0 AS lower,
+      round(q3 + 1.5 * (q3 - q1), 8) AS upper, n AS outliers, {pct('n', 'm')} AS rate_pct
     FROM (SELECT any_value(q1) AS q1, any_value(q3) AS q3, count(*) AS m,
             count(*) FILTER ({column} < q1 - 1.5 * (q3 - q1) OR {column} > q3 + 1.5 * (q3 - q1)) AS n
           FROM {source}, ({q}))"""
@@ -157,7 +157,7 @@ def describe_of(source: str, column: str) -> str:
         "q25": f"quantile_cont({column}::DOUBLE, 0.25)", "q50": f"quantile_cont({column}::DOUBLE, 0.5)",
         "q75": f"quantile_cont({column}::DOUBLE, 0.75)", "max": f"max({column})",
     }
-    parts = ", ".join(f"round({e}::DOUBLE, 4) + 0.0 AS {n}" for n, e in numbers.items())
+    parts = ", ".join(f"round({e}::DOUBLE, {6 if n in ('mean', 'std') else 8}) + 0.0 AS {n}" for n, e in numbers.items())
     return f"""SELECT '{column}' AS "column", count({column}) AS count, {parts} FROM {source}"""
 
 
@@ -316,7 +316,7 @@ TYPES = {c: "double" for c in DOUBLES} | {
 KINDS = {"double": "numeric", "int": "numeric", "string": "text", "timestamp_ntz": "datetime"}
 
 ORACLE = {
-    "raw_trips": raw(f"SELECT * FROM trips"),
+    "raw_trips": raw("SELECT * FROM trips"),
     "preview_head": raw(
         f"SELECT * FROM (SELECT * FROM trips ORDER BY tpep_pickup_datetime, "
         + ", ".join(f"{c} NULLS FIRST" for c in COLUMNS if c != "tpep_pickup_datetime")
@@ -475,14 +475,14 @@ ORACLE = {
           ORDER BY k, trip_distance, fare_amount, passenger_count, tpep_pickup_datetime,
             tpep_dropoff_datetime, PULocationID, DOLocationID LIMIT 1000)""",
     "hourly_fare_by_daytype": cleaned(
-        """SELECT is_weekend, pickup_hour, round_even(avg(fare_amount), 4) AS avg_fare
+        """SELECT is_weekend, pickup_hour, round(avg(fare_amount), 6) AS avg_fare
         FROM slots LEFT JOIN clocked USING (is_weekend, pickup_hour) GROUP BY ALL"""
     ),
     "fare_by_passengers": f"""WITH {CLEANED}, {BOXED}
-        SELECT passenger_count, count(*) AS trips, round_even(avg(fare_amount), 4) AS avg_fare,
-          round_even(any_value(q1), 4) AS q1, round_even(any_value(median), 4) AS median,
-          round_even(any_value(q3), 4) AS q3, round_even(min(fare_amount) FILTER (inside), 4) AS whisker_low,
-          round_even(max(fare_amount) FILTER (inside), 4) AS whisker_high,
+        SELECT passenger_count, count(*) AS trips, round(avg(fare_amount), 6) AS avg_fare,
+          round(any_value(q1), 8) AS q1, round(any_value(median), 8) AS median,
+          round(any_value(q3), 8) AS q3, round(min(fare_amount) FILTER (inside), 8) AS whisker_low,
+          round(max(fare_amount) FILTER (inside), 8) AS whisker_high,
           count(*) FILTER (NOT inside) AS fliers
         FROM placed GROUP BY passenger_count""",
     "payment_share": cleaned(
@@ -491,9 +491,9 @@ ORACLE = {
         WHERE payment_type IS NOT NULL"""
     ),
     "tip_rate": cleaned(
-        """SELECT payment_type, count(*) AS trips, round_even(avg(r), 4) AS avg_rate,
-          round_even(quantile_cont(r, 0.25), 4) AS q1, round_even(quantile_cont(r, 0.5), 4) AS median,
-          round_even(quantile_cont(r, 0.75), 4) AS q3
+        """SELECT payment_type, count(*) AS trips, round(avg(r), 6) AS avg_rate,
+          round(quantile_cont(r, 0.25), 8) AS q1, round(quantile_cont(r, 0.5), 8) AS median,
+          round(quantile_cont(r, 0.75), 8) AS q3
         FROM (SELECT payment_type, tip_amount / fare_amount * 100.0::DOUBLE AS r FROM cleaned
           WHERE payment_type IN (1, 2)) WHERE r <= 100 GROUP BY ALL"""
     ),
@@ -524,14 +524,14 @@ ORACLE = {
     ),
     "fare_quantiles": cleaned(
         " UNION ALL ".join(
-            f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, round(quantile_cont({c}, {p}), 4) AS value FROM cleaned"""
+            f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, round(quantile_cont({c}, {p}), 8) AS value FROM cleaned"""
             for c in ("fare_amount", "trip_distance") for p in (0.01, 0.25, 0.5, 0.9, 0.99)
         )
     ),
     "fare_quantiles_by_zone": cleaned(
         " UNION ALL ".join(
             f"""SELECT PULocationID, 'fare_amount' AS "column", {p}::DOUBLE AS p,
-            round(quantile_cont(fare_amount, {p}), 4) AS value FROM cleaned GROUP BY ALL"""
+            round(quantile_cont(fare_amount, {p}), 8) AS value FROM cleaned GROUP BY ALL"""
             for p in (0.25, 0.5, 0.75)
         )
     ),
@@ -634,9 +634,9 @@ ORACLE = {
     "events_describe": describe_of("events", "value"),
     "events_value_histogram": """WITH span AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS m FROM events),
         binned AS (SELECT least(CAST(floor((value - lo) / (hi - lo) * 50) AS INTEGER), 49) AS bin FROM events, span)
-        SELECT b.bin, round(lo + (hi - lo) / 50 * b.bin, 4) AS bin_start,
-          round(lo + (hi - lo) / 50 * (b.bin + 1), 4) AS bin_end, count(x.bin) AS n,
-          round(count(x.bin) / (m * ((hi - lo) / 50)), 4) AS density
+        SELECT b.bin, round(lo + (hi - lo) / 50 * b.bin, 8) AS bin_start,
+          round(lo + (hi - lo) / 50 * (b.bin + 1), 8) AS bin_end, count(x.bin) AS n,
+          round(count(x.bin) / (m * ((hi - lo) / 50)), 6) AS density
         FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b LEFT JOIN binned x USING (bin), span
         GROUP BY b.bin, lo, hi, m""",
 }

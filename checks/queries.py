@@ -22,6 +22,7 @@ from curbmeter.schema import (
     WEEKEND,
     WORKDAY,
 )
+from curbmeter.session import cut_lineage
 from curbmeter.sources.tables import preview, with_zone_names
 
 RAW, CLEANED = raw_trips, cleaned_trips
@@ -35,7 +36,7 @@ URL_RULES = tagging.TagRules(
         ("mobile", ("//m.",)),
     ),
     default_intent="page",
-    numbers={"location": r"/(\d+)", "top_n": r"page=(\d+)"},
+    numbers={"location": (("/",), r"/(\d+)"), "top_n": (("page=",), r"page=(\d+)")},
     day_types=(("secure", ("https://",)), ("plain", ("http://",))),
     weekdays=(("/en/", 0), ("/fr/", 1), ("/es/", 2)),
     ranking_intent="blog",
@@ -44,10 +45,19 @@ URL_RULES = tagging.TagRules(
 )
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round the floating columns, so that the order of summation does not show."""
+MEANS = ("mean", "std", "avg_fare", "avg_rate", "mae", "rmse", "density")
+
+
+def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Round the floating columns, so that the order of summation does not show.
+
+    Means are cut earlier than values; fares have five digits and their
+    quartiles eight at most, so eight digits never meet a tie.
+    """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.round(F.col(c), digits) for c in doubles})
+    return df.withColumns(
+        {c: F.round(F.col(c), min(digits, 6) if c in MEANS else digits) for c in doubles}
+    )
 
 
 def supplier_zones(spark, sf_dir) -> DataFrame:
@@ -83,27 +93,32 @@ def cube(spark, sf_dir) -> DataFrame:
     return demand.demand_cube(CLEANED(spark, sf_dir))
 
 
+def stored_cube(spark, sf_dir) -> DataFrame:
+    """The cube behind a checkpoint, for queries that use it more than once."""
+    return cut_lineage(cube(spark, sf_dir))
+
+
 def encoded_cube(spark, sf_dir) -> DataFrame:
-    cells = cube(spark, sf_dir)
+    cells = stored_cube(spark, sf_dir)
     return encoding.demand_features(cells, encoding.zone_encoder(cells))
 
 
 def scaled_cube(spark, sf_dir) -> DataFrame:
     table_ = encoded_cube(spark, sf_dir).withColumn("demand", F.col("demand").cast("double"))
     scaled = encoding.standardise(table_, [*encoding.FEATURES, "demand"])
-    return rounded(scaled.select(PICKUP_ZONE, "pickup_hour", "pickup_weekday", *encoding.FEATURES, "demand"))
+    return rounded(scaled.select(PICKUP_ZONE, "pickup_hour", "pickup_weekday", *encoding.FEATURES, "demand"), 4)
 
 
 def unscaled_demand(spark, sf_dir) -> DataFrame:
-    cells = cube(spark, sf_dir).withColumn("scaled", F.col("demand").cast("double"))
+    cells = stored_cube(spark, sf_dir).withColumn("scaled", F.col("demand").cast("double"))
     scaled = encoding.standardise(cells, ["scaled"])
     back = encoding.unscale(scaled, {"scaled": "demand"}, cells)
-    return rounded(back.withColumnRenamed("scaled", "demand_again"))
+    return rounded(back.withColumnRenamed("scaled", "demand_again"), 4)
 
 
 def mean_prediction(spark, sf_dir) -> DataFrame:
     """Predict every test cell with the train mean of its hour and weekday."""
-    train, test = encoding.split(cube(spark, sf_dir))
+    train, test = encoding.split(stored_cube(spark, sf_dir))
     means = train.groupBy("pickup_hour", "pickup_weekday").agg(F.avg("demand").alias("prediction"))
     # At most 168 rows.
     return test.join(F.broadcast(means), ["pickup_hour", "pickup_weekday"])
@@ -111,7 +126,7 @@ def mean_prediction(spark, sf_dir) -> DataFrame:
 
 def flat_prediction(spark, sf_dir) -> DataFrame:
     """Predict every test cell with the train mean of its hour."""
-    train, test = encoding.split(cube(spark, sf_dir))
+    train, test = encoding.split(stored_cube(spark, sf_dir))
     means = train.groupBy("pickup_hour").agg(F.avg("demand").alias("prediction"))
     # At most 24 rows.
     return test.join(F.broadcast(means), "pickup_hour")
@@ -209,11 +224,11 @@ QUERIES = {
     "zone_enrichment": zone_enrichment,
     # Profile and audit
     "schema_profile": _on(RAW, profile.schema_profile),
-    "describe_numeric": _on(RAW, profile.describe, digits=4),
+    "describe_numeric": _on(RAW, profile.describe, digits=8),
     "null_profile": _on(RAW, profile.null_profile),
     "null_column_count": _on(RAW, profile.null_column_count),
     "worst_null_columns": _on(RAW, profile.worst_null_columns),
-    "iqr_audit": _on(RAW, profile.iqr_audit, digits=4),
+    "iqr_audit": _on(RAW, profile.iqr_audit, digits=8),
     "sign_audit": _on(RAW, profile.sign_audit),
     "passenger_validity": _on(RAW, profile.passenger_validity),
     "passenger_distribution": _on(RAW, profile.value_distribution),
@@ -249,20 +264,20 @@ QUERIES = {
     "od_flows": _on(CLEANED, demand.flows),
     "distance_fare_clip": _on(CLEANED, fares.distance_fare_points),
     "distance_fare_sample": sample_points,
-    "hourly_fare_by_daytype": _on(CLEANED, demand.hourly_fare_by_day_type),
-    "fare_by_passengers": _on(CLEANED, fares.fare_by_passengers),
+    "hourly_fare_by_daytype": _on(CLEANED, demand.hourly_fare_by_day_type, digits=6),
+    "fare_by_passengers": _on(CLEANED, fares.fare_by_passengers, digits=8),
     "payment_share": _on(CLEANED, fares.payment_share),
-    "tip_rate": _on(CLEANED, fares.tip_rates),
+    "tip_rate": _on(CLEANED, fares.tip_rates, digits=8),
     "fee_structure": _on(CLEANED, fares.fee_structure),
     "hourly_payment_share": _on(CLEANED, fares.hourly_payment_share),
     "payment_means": _on(CLEANED, fares.payment_means),
     "tip_means": _on(CLEANED, fares.tip_means),
     "distinct_flags": _on(RAW, fares.distinct_values, "store_and_fwd_flag", 5),
     "fare_quantiles": _on(
-        CLEANED, quantiles.exact_quantiles, [FARE, "trip_distance"], (0.01, 0.25, 0.5, 0.9, 0.99), digits=4
+        CLEANED, quantiles.exact_quantiles, [FARE, "trip_distance"], (0.01, 0.25, 0.5, 0.9, 0.99), digits=8
     ),
     "fare_quantiles_by_zone": _on(
-        CLEANED, quantiles.exact_quantiles, [FARE], (0.25, 0.5, 0.75), [PICKUP_ZONE], digits=4
+        CLEANED, quantiles.exact_quantiles, [FARE], (0.25, 0.5, 0.75), [PICKUP_ZONE], digits=8
     ),
     # Questions
     "hourly_demand": _on(CLEANED, questions.hourly_demand, 100, WORKDAY),
@@ -304,8 +319,8 @@ QUERIES = {
     "score_requests": score_requests,
     # The same operators on another table
     "events_hourly": _on(_events, demand.hourly_by_day_type, "ts"),
-    "events_iqr": _on(_events, profile.iqr_audit, ["value"], digits=4),
+    "events_iqr": _on(_events, profile.iqr_audit, ["value"], digits=8),
     "events_top_users": _on(_events, demand.top_groups, "user_id", top=20),
-    "events_describe": _on(_events, profile.describe, ["value"], digits=4),
-    "events_value_histogram": _on(_events, histogram, "value", 50, digits=4),
+    "events_describe": _on(_events, profile.describe, ["value"], digits=8),
+    "events_value_histogram": _on(_events, histogram, "value", 50, digits=8),
 }

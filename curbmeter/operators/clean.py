@@ -162,8 +162,13 @@ def reject_funnel(df: DataFrame, rules: list | None = None) -> DataFrame:
     return with_reason(df, rules).groupBy("reason").agg(F.count("*").alias("rows"))
 
 
-def clean_stats(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> DataFrame:
-    """One row: rows before and after and rows removed per kind of rule."""
+def clean_stats(
+    df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None, extra: dict | None = None
+) -> DataFrame:
+    """One row: rows before and after and rows removed per kind of rule.
+
+    ``extra`` adds aggregates over the uncleaned rows to the same pass.
+    """
     rules = trip_rules(df, keys)
     tagged = with_reason(df, rules)
 
@@ -178,6 +183,7 @@ def clean_stats(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> Da
         of_kind(OUTLIER).alias("removed_outlier"),
         of_kind(CATEGORY).alias("removed_category"),
         F.count_if(F.col("reason") == KEPT).alias("kept"),
+        *[value.alias(name) for name, value in (extra or {}).items()],
     ).select(
         "rows_before",
         after.alias("rows_after"),
@@ -185,4 +191,5 @@ def clean_stats(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> Da
         "removed_outlier",
         "removed_category",
         (F.col("kept") - after).alias("removed_duplicate"),
+        *(extra or {}),
     )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from curbmeter.functions.timing import with_clock
 from curbmeter.functions.values import mean, payment_label, percent, ratio_percent
-from curbmeter.operators.demand import group_counts, hour_grid
+from curbmeter.operators.demand import group_counts, hour_grid, with_key
 from curbmeter.operators.profile import iqr_bounds
-from curbmeter.operators.quantiles import quantiles
+from curbmeter.operators.quantiles import quantile_limits
 from curbmeter.operators.sampling import fixed_sample
 from curbmeter.schema import (
     DISTANCE,
@@ -32,19 +32,11 @@ def clip_points(
     df: DataFrame, distance: str = DISTANCE, fare: str = FARE, p: float = 0.99, exact: bool = True
 ) -> DataFrame:
     """Trips with a positive distance, neither distance nor fare beyond its quantile."""
-    limits = (
-        quantiles(df, [distance, fare], [p], exact=exact)
-        .agg(
-            F.max(F.when(F.col("column") == distance, F.col("value"))).alias("distance"),
-            F.max(F.when(F.col("column") == fare, F.col("value"))).alias("fare"),
-        )
-        .select(F.struct("distance", "fare"))
-        .scalar()
-    )
+    limits = quantile_limits(df, [distance, fare], p, exact)
     return df.where(
         (F.col(distance) > 0)
-        & (F.col(distance) <= limits["distance"])
-        & (F.col(fare) <= limits["fare"])
+        & (F.col(distance) <= F.lit(limits[distance]).cast("double"))
+        & (F.col(fare) <= F.lit(limits[fare]).cast("double"))
     )
 
 
@@ -76,14 +68,13 @@ def fare_by_passengers(
     counts=(1, 2, 3, 4, 5, 6),
     p: float = 0.99,
     exact: bool = True,
-    digits: int = 4,
 ) -> DataFrame:
     """Mean and box-plot numbers of the fare per number of passengers (A10).
 
     The whiskers end at the last values within 1.5 interquartile ranges of the
     quartiles; values beyond them are counted as fliers.
     """
-    limit = quantiles(df, [fare], [p], exact=exact).select("value").scalar()
+    limit = F.lit(quantile_limits(df, [fare], p, exact)[fare]).cast("double")
     rows = df.where(F.col(passengers).isin(*map(float, counts)) & (F.col(fare) <= limit)).select(
         passengers, fare
     )
@@ -103,13 +94,7 @@ def fare_by_passengers(
             F.count_if(~inside).alias("fliers"),
         )
         .select(
-            passengers,
-            "trips",
-            *[
-                F.bround(c, digits).alias(c)
-                for c in ("avg_fare", *quartiles, "whisker_low", "whisker_high")
-            ],
-            "fliers",
+            passengers, "trips", "avg_fare", *quartiles, "whisker_low", "whisker_high", "fliers"
         )
     )
 
@@ -131,7 +116,6 @@ def tip_rates(
     tip: str = TIP,
     fare: str = FARE,
     exact: bool = True,
-    digits: int = 4,
 ) -> DataFrame:
     """Quartiles and mean of the tip rate per payment type."""
     rates = with_tip_rate(df.where(F.col(payment).isin(*types)), tip, fare).select(
@@ -143,9 +127,7 @@ def tip_rates(
         F.count("*").alias("trips"), F.avg("tip_rate").alias("avg_rate")
     )
     return basic.join(boxes, payment).select(
-        payment,
-        "trips",
-        *[F.bround(c, digits).alias(c) for c in ("avg_rate", "q1", "median", "q3")],
+        payment, "trips", "avg_rate", "q1", "median", "q3"
     )
 
 
@@ -153,7 +135,7 @@ def payment_share(df: DataFrame, payment: str = PAYMENT) -> DataFrame:
     """Trips per payment type and their share of all trips, with its name."""
     counts = df.groupBy(payment).agg(F.count("*").alias("trips"))
     total = counts.agg(F.sum("trips")).scalar()
-    return counts.where(F.col(payment).isNotNull()).select(
+    return with_key(counts, payment).select(
         payment,
         payment_label(payment).alias("name"),
         "trips",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from curbmeter.functions.values import FLOATS, is_float, missing, nan_to_null, percent, stripped
 from curbmeter.operators.clean import clean_stats, present
+from curbmeter.operators.demand import with_key
 from curbmeter.operators.quantiles import quantiles, quartile_columns, tall
 from curbmeter.schema import (
     CODE_DOMAINS,
@@ -276,7 +277,7 @@ def domain_values(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     )
     meanings = dictionary.select("column", "value", "meaning")
     return (
-        counts.where(F.col("value").isNotNull())
+        with_key(counts, "value", "rows")
         # One size row per code column.
         .join(F.broadcast(sizes), "column")
         .withColumn("lookup", value)
@@ -351,8 +352,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, drop: list | None = None) -> DataFrame:
     """The eight numbers of the quality report as ``(metric, value)``."""
-    stats = clean_stats(df, drop=drop)
-    with_nulls = null_column_count(df).scalar()
+    nulls = {
+        f"_nulls{i}": F.count_if(missing(df, c)) for i, c in enumerate(df.columns)
+    }
+    stats = clean_stats(df, drop=drop, extra=nulls)
+    with_nulls = sum((F.col(n) > 0).cast("int") for n in nulls)
     counts = {
         "01 rows before": F.col("rows_before"),
         "02 columns before": F.lit(len(df.columns)),

@@ -184,6 +184,12 @@ def quartile_columns(found: DataFrame, names: dict, by=()) -> DataFrame:
     )
 
 
-def threshold(df: DataFrame, column: str, p: float, exact: bool = True) -> Column:
-    """A quantile as a scalar to compare every row with."""
-    return quantiles(df, [column], [p], exact=exact).select("value").scalar()
+def quantile_limits(df: DataFrame, columns, p: float, exact: bool = True) -> dict:
+    """One quantile per column as numbers for a filter on every row.
+
+    Runs its jobs at once and returns one number per named column, None for a
+    column without values. As literals the limits are part of the pushed-down
+    filter, and the plan that uses them does not repeat the search for them.
+    """
+    found = {row["column"]: row["value"] for row in quantiles(df, columns, [p], exact=exact).collect()}
+    return {c: found.get(c) for c in columns}

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbmeter.functions.timing import minutes_between, with_clock
-from curbmeter.functions.values import mean
-from curbmeter.operators.demand import count_on_grid, first_peak, group_counts, hour_grid
-from curbmeter.operators.fares import payment_means, payment_share, tip_means
+from curbmeter.functions.values import mean, payment_label, percent
+from curbmeter.operators.demand import (
+    count_on_grid,
+    first_peak,
+    group_counts,
+    hour_grid,
+    with_key,
+)
+from curbmeter.operators.fares import CARD, CASH
 from curbmeter.schema import (
     BOARDING,
     DISTANCE,
@@ -79,7 +85,8 @@ def location_ranking(
     """The busiest zones by boarding or alighting and how many zones there are (Q2)."""
     column = pickup_zone if rank_type == BOARDING else dropoff_zone
     counts = group_counts(trips, column)
-    zones = counts.agg(F.count("*")).scalar()
+    # Counting through the trips keeps the plan of ``counts`` the same for both uses.
+    zones = counts.agg(F.count_if(F.col("trips") > 0)).scalar()
     return (
         counts.orderBy(F.desc("trips"), column)
         .limit(top_n)
@@ -145,13 +152,28 @@ def route_table(
 
 def payment_analysis(trips: DataFrame, payment: str = PAYMENT, tip: str = TIP) -> DataFrame:
     """Share and means per payment type, with the mean card and cash tip on every row (Q5)."""
-    tips = tip_means(trips, payment, tip).select(F.struct("card_tip_avg", "cash_tip_avg")).scalar()
-    means = payment_means(trips, payment)
-    return (
-        payment_share(trips, payment)
-        .join(means, payment)
-        .withColumn("card_tip_avg", tips["card_tip_avg"])
-        .withColumn("cash_tip_avg", tips["cash_tip_avg"])
+    groups = trips.groupBy(payment).agg(
+        F.count("*").alias("trips"), *[mean(c).alias(f"avg_{c}") for c in (FARE, tip, TOTAL)]
+    )
+    whole = (
+        groups.agg(
+            F.sum("trips").alias("trips"),
+            *[
+                F.max(F.when(F.col(payment) == code, F.col(f"avg_{tip}"))).alias(name)
+                for code, name in ((CARD, "card_tip_avg"), (CASH, "cash_tip_avg"))
+            ],
+        )
+        .select(F.struct("trips", "card_tip_avg", "cash_tip_avg"))
+        .scalar()
+    )
+    return with_key(groups, payment).select(
+        payment,
+        payment_label(payment).alias("name"),
+        "trips",
+        percent(F.col("trips"), whole["trips"], 1).alias("share_pct"),
+        *[f"avg_{c}" for c in (FARE, tip, TOTAL)],
+        whole["card_tip_avg"].alias("card_tip_avg"),
+        whole["cash_tip_avg"].alias("cash_tip_avg"),
     )
 
 

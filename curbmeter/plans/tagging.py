@@ -39,13 +39,14 @@ WEEKDAY_WORDS = tuple(
     for prefix in ("周", "星期")
     for day, name in enumerate(WEEKDAY_NAMES)
 )
-# Patterns whose first group is the parameter.
+# Patterns whose first group is the parameter. A pattern is tried
+# only on texts with one of the words before it.
 NUMBER_PATTERNS = {
-    "location": r"区域\s*(\d+)",
-    "route_from": r"从区域\s*(\d+)",
-    "route_to": r"(?:到|去|至)区域\s*(\d+)",
-    "hour": r"(\d{1,2})\s*(?:点|时|:00)",
-    "top_n": r"(?:前|top)\s*(\d+)",
+    "location": (("区域",), r"区域\s*(\d+)"),
+    "route_from": (("从区域",), r"从区域\s*(\d+)"),
+    "route_to": (("到区域", "去区域", "至区域"), r"(?:到|去|至)区域\s*(\d+)"),
+    "hour": (("点", "时", ":00"), r"(\d{1,2})\s*(?:点|时|:00)"),
+    "top_n": (("前", "top"), r"(?:前|top)\s*(\d+)"),
 }
 DEFAULT_TOP_N = 10
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
@@ -78,13 +79,14 @@ def first_of(text: Column, rules, default=None) -> Column:
     return chain.otherwise(F.lit(default))
 
 
-def number_in(text: Column, pattern: str, type: str = "long") -> Column:
+def number_in(text: Column, words, pattern: str, type: str = "long") -> Column:
     """The number in the first match, null without one.
 
     ``(?U)`` lets ``\\d`` and ``\\s`` match full-width digits and blanks too.
     """
     digits = F.regexp_extract(text, "(?U)" + pattern, 1)
-    return F.translate(digits, FULL_WIDTH_DIGITS, "0123456789").try_cast(type)
+    number = F.translate(digits, FULL_WIDTH_DIGITS, "0123456789").try_cast(type)
+    return F.when(any_of(text, words), number)
 
 
 def tag_text(df: DataFrame, text: str = "text", rules: TagRules | None = None) -> DataFrame:
@@ -94,22 +96,29 @@ def tag_text(df: DataFrame, text: str = "text", rules: TagRules | None = None) -
     ``predict``; an hour after noon written as ``下午5点`` stays 5.
     """
     rules = rules or TagRules()
-    clean = F.lower(stripped(text))
-    intent = first_of(clean, rules.intents, rules.default_intent)
+    clean = F.col("_clean")
     numbers = {
-        name: number_in(clean, pattern, "int" if name == "hour" else "long")
-        for name, pattern in rules.numbers.items()
+        name: number_in(clean, words, pattern, "int" if name == "hour" else "long")
+        for name, (words, pattern) in rules.numbers.items()
     }
     if "top_n" in numbers:
         numbers["top_n"] = F.coalesce(numbers["top_n"], F.lit(rules.default_top_n).cast("long"))
-    return df.withColumns(
-        {
-            "intent": intent,
-            **numbers,
-            "weekday": first_of(clean, [(day, (word,)) for word, day in rules.weekdays]),
-            "day_type": first_of(clean, rules.day_types),
-            "rank_type": F.when(
-                (intent == rules.ranking_intent) & any_of(clean, rules.alighting), ALIGHTING
+    return (
+        df.withColumn("_clean", F.lower(stripped(text)))
+        .withColumns(
+            {
+                "intent": first_of(clean, rules.intents, rules.default_intent),
+                **numbers,
+                "weekday": first_of(clean, [(day, (word,)) for word, day in rules.weekdays]),
+                "day_type": first_of(clean, rules.day_types),
+            }
+        )
+        .withColumn(
+            "rank_type",
+            F.when(
+                (F.col("intent") == rules.ranking_intent) & any_of(clean, rules.alighting),
+                ALIGHTING,
             ).otherwise(BOARDING),
-        }
+        )
+        .drop("_clean")
     )
