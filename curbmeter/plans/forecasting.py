@@ -21,6 +21,7 @@ from curbmeter.operators.encoding import (
 from curbmeter.schema import PICKUP_ZONE, RUSH_HOURS, WEEKDAY_NAMES, WEEKEND_DAYS
 from curbmeter.session import broadcast_if_small, cut_lineage
 
+CELLS_PER_TASK = 2000
 # Forest settings, and the labels of the features in reports.
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 5, "seed": 42}
 FEATURE_LABELS = {
@@ -72,8 +73,16 @@ def demand_tables(trips: DataFrame, zone: str = PICKUP_ZONE) -> tuple:
 
 
 def training_table(cube: DataFrame, encoder: DataFrame, zone: str = PICKUP_ZONE) -> DataFrame:
-    """Features, vector and label of all cells."""
-    return with_vector(demand_features(cube, broadcast_if_small(encoder), zone))
+    """Features, vector and label of all cells, spread for training.
+
+    The cube is small in bytes, so it arrives in very few partitions, but each
+    cell costs much work in every tree. A partition per two thousand cells, up
+    to the cores there are, lets all of them take part.
+    """
+    cores = cube.sparkSession.sparkContext.defaultParallelism
+    parts = min(cores, cube.count() // CELLS_PER_TASK + 1)
+    spread = cube.repartition(parts, zone, "pickup_hour", "pickup_weekday")
+    return with_vector(demand_features(spread, broadcast_if_small(encoder), zone))
 
 
 def train_forecaster(trips: DataFrame, estimator=None, zone: str = PICKUP_ZONE) -> Forecaster:
