@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbmeter.functions.values import is_float, missing, nan_to_null, percent, stripped
+from curbmeter.operators.audit import Audit, per_column
 from curbmeter.schema import (
     BAD_PAYMENTS,
     BAD_RATES,
@@ -109,22 +110,26 @@ def keep_valid(df: DataFrame, rules: list | None = None) -> DataFrame:
     return df
 
 
+def sparse_audit(df: DataFrame, keys=KEY_COLUMNS, limit: float = 0.5) -> Audit:
+    """Names of the non-key columns that are missing in more than ``limit`` of the keyed rows."""
+    keyed = has_keys(df, keys)
+    return per_column(
+        [c for c in df.columns if c not in keys],
+        {"absent": lambda c: F.count_if(keyed & missing(df, c))},
+        {"keyed": F.count_if(keyed)},
+        lambda rows: rows.where(
+            F.try_divide(F.col("absent").cast("double"), F.col("keyed")) > limit
+        ).select("column"),
+    )
+
+
 def sparse_columns(df: DataFrame, keys=KEY_COLUMNS, limit: float = 0.5) -> list:
     """Non-key columns that are missing in more than ``limit`` of the rows with all keys.
 
     The result shapes the schema of everything after it, so this runs one job;
-    it returns one row of counts.
+    it returns at most one row per column.
     """
-    others = [c for c in df.columns if c not in keys]
-    row = (
-        df.where(has_keys(df, keys))
-        .agg(
-            F.count("*").alias("rows"),
-            *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(others)],
-        )
-        .first()
-    )
-    return [c for i, c in enumerate(others) if row["rows"] and row[f"m{i}"] / row["rows"] > limit]
+    return [row["column"] for row in sparse_audit(df, keys, limit).of(df).collect()]
 
 
 def clean(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> DataFrame:
@@ -139,16 +144,23 @@ def clean(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> DataFram
     return nan_to_null(keep_valid(df, trip_rules(df, keys)).drop(*drop)).dropDuplicates()
 
 
-def fare_consistency(df: DataFrame, total: str = TOTAL, fare: str = FARE) -> DataFrame:
-    """Rows whose total is under the fare; they are reported, not removed."""
+def consistency_counts(total: str = TOTAL, fare: str = FARE) -> Audit:
     below = F.count_if(F.col(total) < F.col(fare))
-    return df.agg(
-        F.count("*").alias("rows"),
-        below.alias("total_below_fare"),
-        percent(below, F.count("*")).alias("rate_pct"),
+    return Audit(
+        {
+            "rows": F.count("*"),
+            "total_below_fare": below,
+            "rate_pct": percent(below, F.count("*")),
+        },
+        lambda one: one,
     )
 
 
+def fare_consistency(df: DataFrame, total: str = TOTAL, fare: str = FARE) -> DataFrame:
+    """Rows whose total is under the fare; they are reported, not removed."""
+    return consistency_counts(total, fare).of(df)
+
+
 def with_reason(df: DataFrame, rules: list | None = None) -> DataFrame:
     """Add ``reason``: the first broken rule, or that the row is kept."""
     reason = F
@@ -162,34 +174,42 @@ def reject_funnel(df: DataFrame, rules: list | None = None) -> DataFrame:
     return with_reason(df, rules).groupBy("reason").agg(F.count("*").alias("rows"))
 
 
-def clean_stats(
-    df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None, extra: dict | None = None
-) -> DataFrame:
-    """One row: rows before and after and rows removed per kind of rule.
+def funnel_audit(rules: list) -> Audit:
+    """The same from one row of counts, for rows that have their reason."""
+    reasons = [*[rule.reason for rule in rules], KEPT]
+    return per_column(
+        reasons,
+        {"rows": lambda reason: F.count_if(F.col("reason") == reason)},
+        {},
+        lambda rows: rows.where(F.col("rows") > 0).withColumnRenamed("column", "reason"),
+    )
 
-    ``extra`` adds aggregates over the uncleaned rows to the same pass.
-    """
+
+def removal_counts(df: DataFrame, keys=KEY_COLUMNS) -> dict:
+    """Aggregates over rows that have their reason: all rows, removed per kind, kept."""
     rules = trip_rules(df, keys)
-    tagged = with_reason(df, rules)
 
     def of_kind(kind: str) -> Column:
-        reasons = [rule.reason for rule in rules if rule.kind == kind]
-        return F.count_if(F.col("reason").isin(*reasons))
-
-    after = clean(df, keys, drop).agg(F.count("*").alias("rows_after")).scalar()
-    return tagged.agg(
-        F.count("*").alias("rows_before"),
-        of_kind(MISSING).alias("removed_missing"),
-        of_kind(OUTLIER).alias("removed_outlier"),
-        of_kind(CATEGORY).alias("removed_category"),
-        F.count_if(F.col("reason") == KEPT).alias("kept"),
-        *[value.alias(name) for name, value in (extra or {}).items()],
-    ).select(
+        return F.count_if(F.col("reason").isin(*[r.reason for r in rules if r.kind == kind]))
+
+    return {
+        "rows_before": F.count("*"),
+        "removed_missing": of_kind(MISSING),
+        "removed_outlier": of_kind(OUTLIER),
+        "removed_category": of_kind(CATEGORY),
+        "kept": F.count_if(F.col("reason") == KEPT),
+    }
+
+
+def clean_stats(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> DataFrame:
+    """One row: rows before and after and rows removed per kind of rule."""
+    after = clean(df, keys, drop).agg(F.count("*")).scalar()
+    counts = [value.alias(name) for name, value in removal_counts(df, keys).items()]
+    return with_reason(df, trip_rules(df, keys)).agg(*counts).select(
         "rows_before",
         after.alias("rows_after"),
         "removed_missing",
         "removed_outlier",
         "removed_category",
         (F.col("kept") - after).alias("removed_duplicate"),
-        *(extra or {}),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curbmeter.functions.timing import with_clock
 from curbmeter.functions.values import mean, payment_label, percent, ratio_percent
 from curbmeter.operators.demand import group_counts, hour_grid, with_key
-from curbmeter.operators.profile import iqr_bounds
+from curbmeter.operators.profile import quartile_table, with_bounds
 from curbmeter.operators.quantiles import quantile_limits
 from curbmeter.operators.sampling import fixed_sample
 from curbmeter.schema import (
@@ -79,7 +79,9 @@ def fare_by_passengers(
         passengers, fare
     )
     # ``counts`` bounds the number of groups.
-    boxes = F.broadcast(iqr_bounds(rows, [fare], [passengers], True, exact).drop("column"))
+    boxes = F.broadcast(
+        with_bounds(quartile_table(rows, [fare], [passengers], True, exact)).drop("column")
+    )
     value = F.col(fare)
     inside = (value >= F.col("lower")) & (value <= F.col("upper"))
     quartiles = ("q1", "median", "q3")
@@ -122,7 +124,7 @@ def tip_rates(
         payment, "tip_rate"
     )
     # ``types`` bounds the number of groups.
-    boxes = F.broadcast(iqr_bounds(rates, ["tip_rate"], [payment], True, exact))
+    boxes = F.broadcast(quartile_table(rates, ["tip_rate"], [payment], True, exact))
     basic = rates.groupBy(payment).agg(
         F.count("*").alias("trips"), F.avg("tip_rate").alias("avg_rate")
     )

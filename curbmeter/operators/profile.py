@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curbmeter.functions.values import FLOATS, is_float, missing, nan_to_null, percent, stripped
-from curbmeter.operators.clean import clean_stats, present
+from curbmeter.operators.audit import Audit, per_column
+from curbmeter.operators.clean import clean, present, removal_counts, with_reason
 from curbmeter.operators.demand import with_key
 from curbmeter.operators.quantiles import quantiles, quartile_columns, tall
 from curbmeter.schema import (
@@ -57,40 +58,25 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return rows.select("rows", F.inline(entries))
 
 
-def _per_column(df: DataFrame, columns, measures: dict, shared: dict) -> DataFrame:
-    """Aggregate once and return one row per column.
+def null_audit(df: DataFrame, columns=None, only_nulls: bool = True) -> Audit:
+    def render(counts: DataFrame) -> DataFrame:
+        if only_nulls:
+            counts = counts.where(F.col("nulls") > 0)
+        return counts.select(
+            "column", "nulls", percent(F.col("nulls"), F.col("rows")).alias("rate_pct")
+        ).orderBy(F.desc("rate_pct"), "column")
 
-    ``measures`` maps a name to a function from column name to aggregate;
-    ``shared`` holds aggregates that are the same for all columns.
-    """
-    one = df.agg(
-        *[make.alias(name) for name, make in shared.items()],
-        *[make(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, make in measures.items()],
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in measures]
-            )
-            for i, c in enumerate(columns)
-        ]
+    return per_column(
+        columns or df.columns,
+        {"nulls": lambda c: F.count_if(missing(df, c))},
+        {"rows": F.count("*")},
+        render,
     )
-    return one.select(*shared, F.inline(entries))
 
 
 def null_profile(df: DataFrame, columns=None, only_nulls: bool = True) -> DataFrame:
     """Missing values per column and their rate, highest rate first."""
-    counts = _per_column(
-        df,
-        columns or df.columns,
-        {"nulls": lambda c: F.count_if(missing(df, c))},
-        {"rows": F.count("*")},
-    )
-    if only_nulls:
-        counts = counts.where(F.col("nulls") > 0)
-    return counts.select(
-        "column", "nulls", percent(F.col("nulls"), F.col("rows")).alias("rate_pct")
-    ).orderBy(F.desc("rate_pct"), "column")
+    return null_audit(df, columns, only_nulls).of(df)
 
 
 def key_null_profile(df: DataFrame, keys=KEY_COLUMNS) -> DataFrame:
@@ -113,11 +99,9 @@ def _finite(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(value), value) if is_float(df, column) else value
 
 
-def describe(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles per numeric column."""
-    columns = list(columns or columns_of_kind(df, "numeric"))
-    basic = _per_column(
-        df,
+def basics_audit(df: DataFrame, columns) -> Audit:
+    """Count, mean, sample deviation and extremes per column."""
+    return per_column(
         columns,
         {
             "count": lambda c: F.count(_finite(df, c)),
@@ -127,31 +111,61 @@ def describe(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
             "max": lambda c: F.max(_finite(df, c)).cast("double"),
         },
         {},
+        lambda rows: rows,
     )
-    found = quantiles(df, columns, (0.25, 0.5, 0.75), exact=exact)
-    quartiles = quartile_columns(found, {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+
+
+def quartile_table(
+    df: DataFrame, columns, by=(), few_groups: bool = False, exact: bool = True
+) -> DataFrame:
+    """One row per column (and group) with ``q1``, ``median`` and ``q3``."""
+    found = quantiles(df, columns, (0.25, 0.5, 0.75), by, few_groups, exact)
+    return quartile_columns(found, {0.25: "q1", 0.5: "median", 0.75: "q3"}, by)
+
+
+def describe(
+    df: DataFrame,
+    columns=None,
+    exact: bool = True,
+    basics: DataFrame | None = None,
+    quartiles: DataFrame | None = None,
+) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles per numeric column.
+
+    ``basics`` and ``quartiles`` can be passed when they are already computed.
+    """
+    columns = list(columns or columns_of_kind(df, "numeric"))
+    basics = basics if basics is not None else basics_audit(df, columns).of(df)
+    if quartiles is None:
+        quartiles = quartile_table(df, columns, exact=exact)
     # Both sides have one row per named column.
-    return basic.join(F.broadcast(quartiles), "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    return basics.join(F.broadcast(quartiles), "column", "left").select(
+        "column", "count", "mean", "std", "min",
+        F.col("q1").alias("q25"), F.col("median").alias("q50"), F.col("q3").alias("q75"), "max",
     )
 
 
-def iqr_bounds(df: DataFrame, columns, by=(), few_groups=False, exact: bool = True) -> DataFrame:
-    """Quartiles and the bounds 1.5 interquartile ranges beyond them."""
-    found = quantiles(df, columns, (0.25, 0.5, 0.75), by, few_groups, exact)
+def with_bounds(quartiles: DataFrame) -> DataFrame:
+    """Add the bounds 1.5 interquartile ranges beyond the quartiles."""
     return (
-        quartile_columns(found, {0.25: "q1", 0.5: "median", 0.75: "q3"}, by)
-        .withColumn("iqr", F.col("q3") - F.col("q1"))
+        quartiles.withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("lower", F.col("q1") - 1.5 * F.col("iqr"))
         .withColumn("upper", F.col("q3") + 1.5 * F.col("iqr"))
     )
 
 
-def iqr_audit(df: DataFrame, columns=IQR_COLUMNS, exact: bool = True) -> DataFrame:
-    """Values outside the bounds per column, with their rate among all rows."""
+def iqr_audit(
+    df: DataFrame, columns=IQR_COLUMNS, exact: bool = True, quartiles: DataFrame | None = None
+) -> DataFrame:
+    """Values outside the bounds per column, with their rate among all rows.
+
+    ``quartiles`` can be passed when they are already computed.
+    """
     columns = [c for c in present(df, columns) if c in columns_of_kind(df, "numeric")]
     # One row per named column, so the broadcast cannot grow with the data.
-    bounds = F.broadcast(iqr_bounds(df, columns, exact=exact).drop("median"))
+    if quartiles is None:
+        quartiles = quartile_table(df, columns, exact=exact)
+    bounds = F.broadcast(with_bounds(quartiles).drop("median"))
     value = F.col("value")
     outside = F.count_if(
         ~F.isnan(value) & ((value < F.col("lower")) | (value > F.col("upper")))
@@ -164,42 +178,50 @@ def iqr_audit(df: DataFrame, columns=IQR_COLUMNS, exact: bool = True) -> DataFra
     )
 
 
-def sign_audit(df: DataFrame, columns=SIGN_COLUMNS) -> DataFrame:
-    """Negative and zero values per column."""
-    return _per_column(
-        df,
+def sign_counts(df: DataFrame, columns=SIGN_COLUMNS) -> Audit:
+    return per_column(
         present(df, columns),
         {
             "negative": lambda c: F.count_if(F.col(c) < 0),
             "zero": lambda c: F.count_if(F.col(c) == 0),
         },
         {"rows": F.count("*")},
-    ).select(
-        "column",
-        "negative",
-        percent(F.col("negative"), F.col("rows")).alias("negative_pct"),
-        "zero",
-        percent(F.col("zero"), F.col("rows")).alias("zero_pct"),
+        lambda rows: rows.select(
+            "column",
+            "negative",
+            percent(F.col("negative"), F.col("rows")).alias("negative_pct"),
+            "zero",
+            percent(F.col("zero"), F.col("rows")).alias("zero_pct"),
+        ),
     )
 
 
-def _failures(df: DataFrame, condition: Column) -> DataFrame:
-    return df.agg(
-        F.count_if(condition).alias("invalid"),
-        percent(F.count_if(condition), F.count("*")).alias("rate_pct"),
+def sign_audit(df: DataFrame, columns=SIGN_COLUMNS) -> DataFrame:
+    """Negative and zero values per column."""
+    return sign_counts(df, columns).of(df)
+
+
+def failures(condition: Column, name: str = "invalid") -> Audit:
+    """Rows where the condition is true, with their rate."""
+    return Audit(
+        {
+            name: F.count_if(condition),
+            "rate_pct": percent(F.count_if(condition), F.count("*")),
+        },
+        lambda one: one,
     )
 
 
 def passenger_validity(df: DataFrame, column: str = PASSENGERS) -> DataFrame:
     """Rows without passengers."""
-    return _failures(df, F.col(column) <= 0)
+    return failures(F.col(column) <= 0).of(df)
 
 
 def time_order_audit(
     df: DataFrame, pickup_time: str = PICKUP_TIME, dropoff_time: str = DROPOFF_TIME
 ) -> DataFrame:
     """Rows that end no later than they begin."""
-    return _failures(df, F.col(dropoff_time) <= F.col(pickup_time))
+    return failures(F.col(dropoff_time) <= F.col(pickup_time)).of(df)
 
 
 def value_distribution(df: DataFrame, column: str = PASSENGERS) -> DataFrame:
@@ -326,15 +348,22 @@ def domain_anomaly_total(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     )
 
 
-def padding_audit(df: DataFrame, column: str = STORE_FLAG) -> DataFrame:
-    """Values that begin or end with a blank."""
+def padding_counts(column: str = STORE_FLAG) -> Audit:
     text = F.col(column).cast("string")
-    return df.agg(
-        F.count_if(F.startswith(text, F.lit(" "))).alias("leading"),
-        F.count_if(F.endswith(text, F.lit(" "))).alias("trailing"),
+    return Audit(
+        {
+            "leading": F.count_if(F.startswith(text, F.lit(" "))),
+            "trailing": F.count_if(F.endswith(text, F.lit(" "))),
+        },
+        lambda one: one,
     )
 
 
+def padding_audit(df: DataFrame, column: str = STORE_FLAG) -> DataFrame:
+    """Values that begin or end with a blank."""
+    return padding_counts(column).of(df)
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row in every column, missing equal to missing.
 
@@ -350,27 +379,42 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(df: DataFrame, drop: list | None = None) -> DataFrame:
-    """The eight numbers of the quality report as ``(metric, value)``."""
-    nulls = {
-        f"_nulls{i}": F.count_if(missing(df, c)) for i, c in enumerate(df.columns)
-    }
-    stats = clean_stats(df, drop=drop, extra=nulls)
+def report_counts(df: DataFrame, keys=KEY_COLUMNS) -> Audit:
+    """What the quality report needs of the uncleaned rows, which must have their reason."""
+    removed = removal_counts(df, keys)
+    nulls = {f"nulls_{i}": F.count_if(missing(df, c)) for i, c in enumerate(df.columns)}
     with_nulls = sum((F.col(n) > 0).cast("int") for n in nulls)
-    counts = {
+    return Audit(
+        {**removed, **nulls},
+        lambda one: one.select(
+            *removed, F.lit(len(df.columns)).alias("columns"), with_nulls.alias("with_nulls")
+        ),
+    )
+
+
+def quality_table(counts: DataFrame, rows_after) -> DataFrame:
+    """The eight numbers as rows; ``rows_after`` is a number or a scalar column."""
+    after = rows_after if isinstance(rows_after, Column) else F.lit(rows_after)
+    numbers = {
         "01 rows before": F.col("rows_before"),
-        "02 columns before": F.lit(len(df.columns)),
-        "03 columns with nulls": with_nulls,
+        "02 columns before": F.col("columns"),
+        "03 columns with nulls": F.col("with_nulls"),
         "04 rows removed for missing keys": F.col("removed_missing"),
         "05 rows removed as outliers": F.col("removed_outlier"),
-        "06 rows removed as duplicates": F.col("removed_duplicate"),
-        "07 rows after": F.col("rows_after"),
-        "08 completeness pct": percent(F.col("rows_after"), F.col("rows_before")),
+        "06 rows removed as duplicates": F.col("kept") - F.col("after"),
+        "07 rows after": F.col("after"),
+        "08 completeness pct": percent(F.col("after"), F.col("rows_before")),
     }
     entries = F.array(
         *[
             F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
-            for name, value in counts.items()
+            for name, value in numbers.items()
         ]
     )
-    return stats.select(F.inline(entries))
+    return counts.withColumn("after", after).select(F.inline(entries))
+
+
+def quality_report(df: DataFrame, drop: list | None = None) -> DataFrame:
+    """The eight numbers of the quality report as ``(metric, value)``."""
+    counts = report_counts(df).of(with_reason(df))
+    return quality_table(counts, clean(df, drop=drop).agg(F.count("*")).scalar())

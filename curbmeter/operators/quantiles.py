@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbmeter.session import estimated_bytes
+from curbmeter.session import broadcast_if_small, cut_lineage, estimated_bytes
 
 STEPS = 128  # buckets per factor e
 SLOTS = 4096  # slots of the grid within one bucket
@@ -73,15 +73,17 @@ def exact_quantiles(
     """Quantiles with linear interpolation, nulls and NaN left out.
 
     Returns ``(*by, column, p, value)``; a group and column without values has
-    no row. ``few_groups`` states that ``by`` has a small fixed domain. Then, as
-    without ``by``, the wanted buckets are at most two per probability, column
-    and group, and are broadcast; otherwise Spark chooses the join by size.
-    ``grid`` forces or forbids the slot step, by default it is taken unless the
-    optimizer's size estimate proves the input small.
+    no row. The wanted buckets are at most two per probability, column and
+    group. ``few_groups`` states that ``by`` has a small fixed domain; then, as
+    without ``by``, they are broadcast. Otherwise they are checkpointed and
+    counted at once, and broadcast only if they are few: a shuffle join would
+    move every value. ``grid`` forces or forbids the slot step, by default it is
+    taken unless the optimizer's size estimate proves the input small.
     """
     if grid is None:
         grid = estimated_bytes(df) > ONE_TASK_BYTES
-    small = F.broadcast if few_groups or not by else (lambda part: part)
+    bounded = few_groups or not by
+    small = F.broadcast if bounded else broadcast_if_small
     keys = [*by, "column"]
     values = (
         tall(df, columns, by)
@@ -115,6 +117,8 @@ def exact_quantiles(
         F.explode(F.array_distinct(F.filter(wanted, lambda w: _holds(w["rank"])))).alias("w"),
     ).select(*place, "w.p", "w.part", (F.col("w.rank") - F.col("first")).alias("rank"))
 
+    if not bounded:
+        hits = cut_lineage(hits)
     near = values.join(small(hits.select(*place).distinct()), [*keys, "bucket"])
     if grid:
         near = near.withColumn(
@@ -132,6 +136,8 @@ def exact_quantiles(
             .where(_holds(F.col("rank")))
             .select(*cell, "p", "part", (F.col("rank") - F.col("first")).alias("rank"))
         )
+        if not bounded:
+            hits = cut_lineage(hits)
         distinct = distinct.join(small(hits.select(*cell).distinct()), cell, "left_semi")
     else:
         cell = place

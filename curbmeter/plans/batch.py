@@ -5,9 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from curbmeter.operators import clean as cleaning
 from curbmeter.operators import profile
-from curbmeter.operators.clean import clean, reject_funnel, sparse_columns
+from curbmeter.operators.audit import run_together
+from curbmeter.schema import (
+    DROPOFF_TIME,
+    KEY_COLUMNS,
+    PASSENGERS,
+    PICKUP_TIME,
+    STORE_FLAG,
+)
+from curbmeter.session import cut_lineage
 from curbmeter.sources.tables import preview, read_trips, write_trips
 
 
@@ -19,22 +29,39 @@ class BatchResult:
     reports: dict
 
 
-def audit_tables(raw: DataFrame) -> dict:
-    """Every audit of the raw table as a DataFrame; none has run yet."""
+def counting_audits(raw: DataFrame) -> dict:
+    """Every audit that is a count; together they take one scan."""
+    rules = cleaning.trip_rules(raw)
+    return {
+        "nulls": profile.null_audit(raw),
+        "key_nulls": profile.null_audit(raw, cleaning.present(raw, KEY_COLUMNS), False),
+        "signs": profile.sign_counts(raw),
+        "passengers": profile.failures(F.col(PASSENGERS) <= 0),
+        "time_order": profile.failures(F.col(DROPOFF_TIME) <= F.col(PICKUP_TIME)),
+        "padding": profile.padding_counts(STORE_FLAG),
+        "consistency": cleaning.consistency_counts(),
+        "basics": profile.basics_audit(raw, profile.columns_of_kind(raw, "numeric")),
+        "sparse": cleaning.sparse_audit(raw),
+        "rejected": cleaning.funnel_audit(rules),
+        "totals": profile.report_counts(raw),
+    }
+
+
+def distribution_audits(raw: DataFrame, basics: DataFrame) -> dict:
+    """The audits that need more than counts; the quartiles are computed once for two of them."""
+    numeric = profile.columns_of_kind(raw, "numeric")
+    quartiles = cut_lineage(profile.quartile_table(raw, numeric))
     return {
         "schema": profile.schema_profile(raw),
         "first_rows": preview(raw),
         "last_rows": preview(raw, last=True),
-        "describe": profile.describe(raw),
-        "nulls": profile.null_profile(raw),
-        "iqr": profile.iqr_audit(raw),
-        "signs": profile.sign_audit(raw),
+        "describe": profile.describe(raw, numeric, basics=basics, quartiles=quartiles),
+        "iqr": profile.iqr_audit(raw, quartiles=quartiles),
+        "passenger_counts": profile.value_distribution(raw),
         "domains": profile.domain_summary(raw),
         "domain_values": profile.domain_values(raw),
         "domain_anomalies": profile.domain_anomalies(raw),
-        "padding": profile.padding_audit(raw),
         "duplicates": profile.duplicate_count(raw),
-        "rejected": reject_funnel(raw),
     }
 
 
@@ -45,18 +72,24 @@ def run_batch(
     format: str = "parquet",
     partition_by: str | None = None,
 ) -> BatchResult:
-    """Read ``source``, write the cleaned table to ``target`` and set up all reports.
+    """Read ``source``, write the cleaned table to ``target`` and prepare all reports.
 
-    The analyses read the written table: it is pruned to the columns they use,
-    and the costly de-duplication is not repeated for each of them.
+    One scan counts everything that can be counted, the sparse columns
+    included; the rows after cleaning are counted in the written table. The
+    analyses read that table too: it is pruned to the columns they use, and the
+    costly de-duplication is not repeated for each of them.
     """
     raw = read_trips(spark, source)
-    drop = sparse_columns(raw)
-    write_trips(clean(raw, drop=drop), target, format, partition_by)
-    reader = spark.read.option("header", True) if format == "csv" else spark.read
+    reports = run_together(cleaning.with_reason(raw), counting_audits(raw))
+    totals, basics = reports.pop("totals"), reports.pop("basics")
+    drop = [row["column"] for row in reports["sparse"].collect()]
+    write_trips(cleaning.clean(raw, drop=drop), target, format, partition_by)
+
+    reader = spark.read
     if format == "csv":
         kept = [field for field in raw.schema if field.name not in drop]
-        reader = reader.schema(type(raw.schema)(kept))
-    reports = audit_tables(raw)
-    reports["quality"] = profile.quality_report(raw, drop)
-    return BatchResult(reader.format(format).load(target), reports)
+        reader = reader.option("header", True).schema(type(raw.schema)(kept))
+    cleaned = reader.format(format).load(target)
+    reports["quality"] = profile.quality_table(totals, cleaned.count())
+    reports.update(distribution_audits(raw, basics))
+    return BatchResult(cleaned, reports)
