@@ -21,7 +21,7 @@ from curbmeter.operators.encoding import (
 from curbmeter.schema import PICKUP_ZONE, RUSH_HOURS, WEEKDAY_NAMES, WEEKEND_DAYS
 from curbmeter.session import broadcast_if_small, cut_lineage
 
-CELLS_PER_TASK = 2000
+CELLS_PER_TASK = 8000
 # Forest settings, and the labels of the features in reports.
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 5, "seed": 42}
 FEATURE_LABELS = {
@@ -76,7 +76,7 @@ def training_table(cube: DataFrame, encoder: DataFrame, zone: str = PICKUP_ZONE)
     """Features, vector and label of all cells, spread for training.
 
     The cube is small in bytes, so it arrives in very few partitions, but each
-    cell costs much work in every tree. A partition per two thousand cells, up
+    cell costs much work in every tree. A partition per eight thousand cells, up
     to the cores there are, lets all of them take part.
     """
     cores = cube.sparkSession.sparkContext.defaultParallelism
