@@ -14,7 +14,7 @@ from curbmeter.functions.values import FLOATS, is_float, missing, nan_to_null, p
 from curbmeter.operators.audit import Audit, per_column
 from curbmeter.operators.clean import clean, present, removal_counts, with_reason
 from curbmeter.operators.demand import with_key
-from curbmeter.operators.quantiles import quantiles, quartile_columns, tall
+from curbmeter.operators.quantiles import quantiles, quartile_columns
 from curbmeter.schema import (
     CODE_DOMAINS,
     DROPOFF_TIME,
@@ -154,28 +154,49 @@ def with_bounds(quartiles: DataFrame) -> DataFrame:
     )
 
 
-def iqr_audit(
-    df: DataFrame, columns=IQR_COLUMNS, exact: bool = True, quartiles: DataFrame | None = None
-) -> DataFrame:
+def outlier_counts(df: DataFrame, columns, quartiles: dict) -> Audit:
+    """Values beyond the bounds of ``quartiles``, which maps a column to (q1, q3)."""
+    fields = ("q1", "q3", "iqr", "lower", "upper")
+    limits = {}
+    for c in columns:
+        q1, q3 = quartiles.get(c, (None, None))
+        spread = None if q1 is None else q3 - q1
+        known = (None,) * 5 if q1 is None else (q1, q3, spread, q1 - 1.5 * spread, q3 + 1.5 * spread)
+        limits[c] = dict(zip(fields, [F.lit(v).cast("double") for v in known]))
+
+    def outside(c: str) -> Column:
+        value = _finite(df, c)
+        return F.count_if((value < limits[c]["lower"]) | (value > limits[c]["upper"]))
+
+    return per_column(
+        columns,
+        {**{f: (lambda c, f=f: F.max(limits[c][f])) for f in fields}, "outliers": outside},
+        {"rows": F.count("*")},
+        lambda rows: rows.select(
+            "column", *fields, "outliers", percent(F.col("outliers"), F.col("rows")).alias("rate_pct")
+        ),
+    )
+
+
+def iqr_columns(df: DataFrame, columns=IQR_COLUMNS) -> list:
+    """Those of the columns that the table has as numbers."""
+    return [c for c in present(df, columns) if c in columns_of_kind(df, "numeric")]
+
+
+def quartile_numbers(quartiles: DataFrame) -> dict:
+    """Quartiles per column on the driver: one row per named column."""
+    return {row["column"]: (row["q1"], row["q3"]) for row in quartiles.collect()}
+
+
+def iqr_audit(df: DataFrame, columns=IQR_COLUMNS, exact: bool = True) -> DataFrame:
     """Values outside the bounds per column, with their rate among all rows.
 
-    ``quartiles`` can be passed when they are already computed.
+    The quartiles are computed at the call; as literals they let one pass count
+    the outliers of all columns without a join.
     """
-    columns = [c for c in present(df, columns) if c in columns_of_kind(df, "numeric")]
-    # One row per named column, so the broadcast cannot grow with the data.
-    if quartiles is None:
-        quartiles = quartile_table(df, columns, exact=exact)
-    bounds = F.broadcast(with_bounds(quartiles).drop("median"))
-    value = F.col("value")
-    outside = F.count_if(
-        ~F.isnan(value) & ((value < F.col("lower")) | (value > F.col("upper")))
-    )
-    return (
-        tall(df, columns)
-        .join(bounds, "column", "left")
-        .groupBy("column", "q1", "q3", "iqr", "lower", "upper")
-        .agg(outside.alias("outliers"), percent(outside, F.count("*")).alias("rate_pct"))
-    )
+    columns = iqr_columns(df, columns)
+    quartiles = quartile_numbers(quartile_table(df, columns, exact=exact))
+    return outlier_counts(df, columns, quartiles).of(df)
 
 
 def sign_counts(df: DataFrame, columns=SIGN_COLUMNS) -> Audit:

@@ -29,10 +29,12 @@ class BatchResult:
     reports: dict
 
 
-def counting_audits(raw: DataFrame) -> dict:
+def counting_audits(raw: DataFrame, quartiles: DataFrame) -> dict:
     """Every audit that is a count; together they take one scan."""
     rules = cleaning.trip_rules(raw)
+    numbers = profile.quartile_numbers(quartiles)
     return {
+        "iqr": profile.outlier_counts(raw, profile.iqr_columns(raw), numbers),
         "nulls": profile.null_audit(raw),
         "key_nulls": profile.null_audit(raw, cleaning.present(raw, KEY_COLUMNS), False),
         "signs": profile.sign_counts(raw),
@@ -47,16 +49,14 @@ def counting_audits(raw: DataFrame) -> dict:
     }
 
 
-def distribution_audits(raw: DataFrame, basics: DataFrame) -> dict:
-    """The audits that need more than counts; the quartiles are computed once for two of them."""
+def distribution_audits(raw: DataFrame, basics: DataFrame, quartiles: DataFrame) -> dict:
+    """The audits that need more than counts."""
     numeric = profile.columns_of_kind(raw, "numeric")
-    quartiles = cut_lineage(profile.quartile_table(raw, numeric))
     return {
         "schema": profile.schema_profile(raw),
         "first_rows": preview(raw),
         "last_rows": preview(raw, last=True),
         "describe": profile.describe(raw, numeric, basics=basics, quartiles=quartiles),
-        "iqr": profile.iqr_audit(raw, quartiles=quartiles),
         "passenger_counts": profile.value_distribution(raw),
         "domains": profile.domain_summary(raw),
         "domain_values": profile.domain_values(raw),
@@ -74,13 +74,15 @@ def run_batch(
 ) -> BatchResult:
     """Read ``source``, write the cleaned table to ``target`` and prepare all reports.
 
-    One scan counts everything that can be counted, the sparse columns
-    included; the rows after cleaning are counted in the written table. The
+    One scan counts everything that can be counted, the outliers and sparse
+    columns included; the quartiles are found once for two reports. The rows after cleaning are counted in the written table. The
     analyses read that table too: it is pruned to the columns they use, and the
     costly de-duplication is not repeated for each of them.
     """
     raw = read_trips(spark, source)
-    reports = run_together(cleaning.with_reason(raw), counting_audits(raw))
+    numeric = profile.columns_of_kind(raw, "numeric")
+    quartiles = cut_lineage(profile.quartile_table(raw, numeric))
+    reports = run_together(cleaning.with_reason(raw), counting_audits(raw, quartiles))
     totals, basics = reports.pop("totals"), reports.pop("basics")
     drop = [row["column"] for row in reports["sparse"].collect()]
     write_trips(cleaning.clean(raw, drop=drop), target, format, partition_by)
@@ -91,5 +93,5 @@ def run_batch(
         reader = reader.option("header", True).schema(type(raw.schema)(kept))
     cleaned = reader.format(format).load(target)
     reports["quality"] = profile.quality_table(totals, cleaned.count())
-    reports.update(distribution_audits(raw, basics))
+    reports.update(distribution_audits(raw, basics, quartiles))
     return BatchResult(cleaned, reports)
