@@ -545,7 +545,13 @@ ORACLE = {
         f"""SELECT {ROUTE}, '出发区域100、到达区域9999' AS description FROM cleaned
         WHERE PULocationID = 100 AND DOLocationID = 9999"""
     ),
-    "route_table": cleaned(f"SELECT PULocationID, DOLocationID, {ROUTE} FROM cleaned GROUP BY PULocationID, DOLocationID"),
+    "route_table": cleaned(
+        f"""SELECT PULocationID, DOLocationID, count(*) AS trip_count,
+          round(avg(trip_distance) + 3.3e-9, 6) AS avg_distance, round(avg(fare_amount) + 3.3e-9, 6) AS avg_fare,
+          round(avg(total_amount) + 3.3e-9, 6) AS avg_total, round(avg({DURATION}) + 3.3e-9, 6) AS avg_duration_min,
+          round(avg(tip_amount) + 3.3e-9, 6) AS avg_tip
+        FROM cleaned GROUP BY PULocationID, DOLocationID"""
+    ),
     "payment_analysis": cleaned(
         f"""SELECT payment_type, {PAYMENT_NAME} AS name, n AS trips, {pct('n', 'm', 1)} AS share_pct,
           avg_fare_amount, avg_tip_amount, avg_total_amount,

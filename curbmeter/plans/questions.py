@@ -94,14 +94,21 @@ def location_ranking(
     )
 
 
-def _route_measures(pickup_time: str, dropoff_time: str) -> list:
+def _route_measures(pickup_time: str, dropoff_time: str, printed: bool = True) -> list:
+    minutes = minutes_between(pickup_time, dropoff_time)
+    means = {
+        "avg_distance": (F.col(DISTANCE), 2),
+        "avg_fare": (F.col(FARE), 2),
+        "avg_total": (F.col(TOTAL), 2),
+        "avg_duration_min": (minutes, 1),
+        "avg_tip": (F.col(TIP), 2),
+    }
     return [
         F.count("*").alias("trip_count"),
-        mean(DISTANCE).alias("avg_distance"),
-        mean(FARE).alias("avg_fare"),
-        mean(TOTAL).alias("avg_total"),
-        mean(minutes_between(pickup_time, dropoff_time), 1).alias("avg_duration_min"),
-        mean(TIP).alias("avg_tip"),
+        *[
+            (mean(value, digits) if printed else F.avg(value)).alias(name)
+            for name, (value, digits) in means.items()
+        ],
     ]
 
 
@@ -140,13 +147,14 @@ def route_table(
     dropoff_zone: str = DROPOFF_ZONE,
     pickup_time: str = PICKUP_TIME,
     dropoff_time: str = DROPOFF_TIME,
+    printed: bool = True,
 ) -> DataFrame:
-    """The same for every pair of zones at once (Q4)."""
+    """The same for every pair of zones at once, means in full when not ``printed`` (Q4)."""
     known = F.col(pickup_zone).isNotNull() & F.col(dropoff_zone).isNotNull()
     return (
         trips.where(known)
         .groupBy(pickup_zone, dropoff_zone)
-        .agg(*_route_measures(pickup_time, dropoff_time))
+        .agg(*_route_measures(pickup_time, dropoff_time, printed))
     )
 
 
