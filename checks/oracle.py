@@ -522,6 +522,7 @@ ORACLE = {
         """SELECT DISTINCT store_and_fwd_flag FROM trips WHERE store_and_fwd_flag IS NOT NULL
         ORDER BY store_and_fwd_flag LIMIT 5"""
     ),
+    "pickup_zone_count": cleaned("SELECT count(DISTINCT PULocationID) AS distinct_values FROM cleaned"),
     "fare_quantiles": cleaned(
         " UNION ALL ".join(
             f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, round(quantile_cont({c}, {p}), 8) AS value FROM cleaned"""

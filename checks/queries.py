@@ -280,7 +280,8 @@ QUERIES = {
     "hourly_payment_share": _on(CLEANED, fares.hourly_payment_share),
     "payment_means": _on(CLEANED, fares.payment_means),
     "tip_means": _on(CLEANED, fares.tip_means),
-    "distinct_flags": _on(RAW, fares.distinct_values, "store_and_fwd_flag", 5),
+    "distinct_flags": _on(RAW, demand.distinct_values, "store_and_fwd_flag", 5),
+    "pickup_zone_count": _on(CLEANED, demand.distinct_count, PICKUP_ZONE),
     "fare_quantiles": _on(
         CLEANED, quantiles.exact_quantiles, [FARE, "trip_distance"], (0.01, 0.25, 0.5, 0.9, 0.99), digits=8
     ),

@@ -112,6 +112,23 @@ def with_key(counts: DataFrame, key: str, name: str = "trips") -> DataFrame:
     return counts.where(F.when(F.col(key).isNotNull(), F.col(name)) > 0)
 
 
+def distinct_values(df: DataFrame, column: str, first: int | None = None) -> DataFrame:
+    """The distinct values in order, all or the first few."""
+    values = group_counts(df, column).select(column)
+    return values.orderBy(column).limit(first) if first else values
+
+
+def distinct_count(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
+    """Number of distinct values (A17), exact or by one pass of ``approx_count_distinct``.
+
+    The exact form counts groups and not a set per task, so it spreads over
+    all tasks however many values there are.
+    """
+    if not exact:
+        return df.agg(F.approx_count_distinct(column).alias("distinct_values"))
+    return group_counts(df, column).agg(F.count("*").alias("distinct_values"))
+
+
 def top_groups(df: DataFrame, *keys: str, top: int = 10) -> DataFrame:
     """The keys with the most rows; ties go to the smaller key (A5, L1, L4)."""
     return group_counts(df, *keys).orderBy(F.desc("trips"), *keys).limit(top)

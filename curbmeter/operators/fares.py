@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curbmeter.functions.timing import with_clock
 from curbmeter.functions.values import mean, payment_label, percent, ratio_percent
-from curbmeter.operators.demand import group_counts, hour_grid, with_key
+from curbmeter.operators.demand import hour_grid, with_key
 from curbmeter.operators.profile import quartile_table, with_bounds
 from curbmeter.operators.quantiles import quantile_limits
 from curbmeter.operators.sampling import fixed_sample
@@ -205,9 +205,3 @@ def tip_means(df: DataFrame, payment: str = PAYMENT, tip: str = TIP) -> DataFram
         mean(F.when(F.col(payment) == CARD, F.col(tip))).alias("card_tip_avg"),
         mean(F.when(F.col(payment) == CASH, F.col(tip))).alias("cash_tip_avg"),
     )
-
-
-def distinct_values(df: DataFrame, column: str, first: int | None = None) -> DataFrame:
-    """The distinct values in order, all or the first few."""
-    values = group_counts(df, column).select(column)
-    return values.orderBy(column).limit(first) if first else values

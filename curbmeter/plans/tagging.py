@@ -39,14 +39,16 @@ WEEKDAY_WORDS = tuple(
     for prefix in ("周", "星期")
     for day, name in enumerate(WEEKDAY_NAMES)
 )
+# Digits and blanks as they occur in questions, full-width ones included.
+DIGIT, BLANKS = "[0-9０-９]", r"[\s\p{Z}]*"
 # Patterns whose first group is the parameter. A pattern is tried
 # only on texts with one of the words before it.
 NUMBER_PATTERNS = {
-    "location": (("区域",), r"区域\s*(\d+)"),
-    "route_from": (("从区域",), r"从区域\s*(\d+)"),
-    "route_to": (("到区域", "去区域", "至区域"), r"(?:到|去|至)区域\s*(\d+)"),
-    "hour": (("点", "时", ":00"), r"(\d{1,2})\s*(?:点|时|:00)"),
-    "top_n": (("前", "top"), r"(?:前|top)\s*(\d+)"),
+    "location": (("区域",), f"区域{BLANKS}({DIGIT}+)"),
+    "route_from": (("从区域",), f"从区域{BLANKS}({DIGIT}+)"),
+    "route_to": (("到区域", "去区域", "至区域"), f"(?:到|去|至)区域{BLANKS}({DIGIT}+)"),
+    "hour": (("点", "时", ":00"), f"({DIGIT}{{1,2}}){BLANKS}(?:点|时|:00)"),
+    "top_n": (("前", "top"), f"(?:前|top){BLANKS}({DIGIT}+)"),
 }
 DEFAULT_TOP_N = 10
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
@@ -80,11 +82,8 @@ def first_of(text: Column, rules, default=None) -> Column:
 
 
 def number_in(text: Column, words, pattern: str, type: str = "long") -> Column:
-    """The number in the first match, null without one.
-
-    ``(?U)`` lets ``\\d`` and ``\\s`` match full-width digits and blanks too.
-    """
-    digits = F.regexp_extract(text, "(?U)" + pattern, 1)
+    """The number in the first match, null without one."""
+    digits = F.regexp_extract(text, pattern, 1)
     number = F.translate(digits, FULL_WIDTH_DIGITS, "0123456789").try_cast(type)
     return F.when(any_of(text, words), number)
 

@@ -55,6 +55,13 @@ def test_profile_of_busiest_zones(trips):
     assert len(rows) == 48 and {z for z, _ in rows} == {1, 2} and rows[2, 5] == 2
 
 
+def test_distinct_values_and_counts(trips):
+    df = trips(*[{"PULocationID": z} for z in (9, 3, None, 9, 1)])
+    assert [r[0] for r in demand.distinct_values(df, "PULocationID", 2).collect()] == [1, 3]
+    assert demand.distinct_count(df, "PULocationID").first()[0] == 3
+    assert demand.distinct_count(df, "PULocationID", exact=False).first()[0] == 3
+
+
 def test_flow_label(trips):
     row = demand.flows(trips({}, {}, {"PULocationID": 1})).first()
     assert row["label"] == "区域100 → 区域200" and row["trips"] == 2
