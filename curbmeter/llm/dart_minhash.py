@@ -14,8 +14,9 @@ Texts that agree in a band of coordinates share a bucket. No bucket lists its
 pairs. Its members are first compared with one pivot; that links the bulk of a
 large group of copies with as many comparisons as it has members. Only members
 that are still outside the largest class of their bucket are then compared
-with the members of other classes. After that every pair that shares a bucket
-is either compared or in one class.
+with all of its members, in blocks inside tasks that give back the links that
+join classes. After that every pair that shares a bucket is either compared or
+in one class.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ BANDS = 32
 ROWS = 6
 # Of 192 one-bit sketches a pair of similarity 0.8 differs in 19 on average (deviation 4.2).
 MOST_DIFFERENT_BITS = 38
+# Cells that a task compares at once (16 MB), and numbers in one of its matrices.
+BLOCK_CELLS = 2 << 20
+MATRIX = 4 << 20
 SIGNED = "cid bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
 _GOLD = np.uint64(BASE)
 
@@ -170,19 +174,24 @@ def _differing_bits(a: str, b: str):
     return sum(F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in (1, 2, 3))
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs ``a, b`` of text ids whose weighted Jaccard similarity is at least 0.8."""
-    pairs = store(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+def _cells_of(needed: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``cid, cells`` for the text ids in ``needed(cid)``, from their texts in ``docs``."""
     # One of the texts with this id will do: they have the same words.
-    texts = store(signed.join(needed, "cid", "left_semi").groupBy("cid").agg(F.min("tk").alias("tk")), "needed")
+    texts = signed.join(broadcast_if_small(store(needed, "needed")), "cid", "left_semi").groupBy("cid").agg(F.min("tk").alias("tk"))
     found = (
         docs.select(text_key(text_col).alias("tk"), F.col(text_col).alias("text"))
-        .join(broadcast_if_small(texts), "tk")
+        .join(broadcast_if_small(store(texts, "texts")), "tk")
         .groupBy("cid")
         .agg(F.first("text").alias("text"))
     )
-    sets = store(found.select("cid", _arrow(_cells_of_texts, "array<bigint>")("text").alias("cells")), "cells")
+    return store(found.select("cid", _arrow(_cells_of_texts, "array<bigint>")("text").alias("cells")), "cells")
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs ``a, b`` of text ids whose weighted Jaccard similarity is at least 0.8."""
+    pairs = store(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    sets = _cells_of(needed, signed, docs, text_col)
     both = (
         pairs.join(sets.select(F.col("cid").alias("a"), F.col("cells").alias("ca")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("cells").alias("cb")), "b")
@@ -192,6 +201,104 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text_col: st
     return store(both.where(F.col("shared") >= SIMILARITY * total).select("a", "b"), "verified")
 
 
+def shared_cells(values: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many cells each of the texts ``left`` shares with each of ``right``; exact."""
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    column = np.cumsum(first) - 1
+    often = np.bincount(column)[column] > 1  # a cell of one text is shared with none
+    column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    width = max(1, MATRIX // max(n, 1))
+    for low in range(0, int(column.max(initial=-1)) + 1, width):
+        here = slice(*np.searchsorted(column, [low, low + width]))
+        matrix = np.zeros((n, width), np.float32)
+        matrix[owner[here], column[here] - low] = 1
+        shared += matrix[left] @ matrix[right].T
+    return shared
+
+
+def _compare_block(block: pa.Table) -> pa.Table:
+    """Links that join classes, ``a, b``, between the asked and the other texts of each bucket in the block."""
+    block = block.combine_chunks()
+    key, cid, component = (block[c].to_numpy() for c in ("key", "cid", "component"))
+    asked = block["asked"].to_numpy(zero_copy_only=False)
+    lists = block["cells"].chunk(0) if block.num_rows else pa.array([], pa.list_(pa.int64()))
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()
+    weight = np.diff(offsets)
+    above: dict = {}
+
+    def top(x):
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    out = []
+    order = np.argsort(key, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        left, right = np.flatnonzero(asked[rows]), np.flatnonzero(~asked[rows])
+        if len(left) == 0 or len(right) == 0:
+            continue
+        taken = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows])
+        owner = np.repeat(np.arange(len(rows)), weight[rows])
+        shared = shared_cells(values[taken], owner, len(rows), left, right)
+        total = weight[rows[left]][:, None] + weight[rows[right]][None, :] - shared
+        near = (shared >= SIMILARITY * total) & (component[rows[left]][:, None] != component[rows[right]][None, :])
+        for i, j in zip(*np.nonzero(near)):
+            x, y = rows[left[i]], rows[right[j]]
+            a, b = top(component[x]), top(component[y])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                out.append((cid[x], cid[y]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _links_between_classes(mixed: DataFrame, signed: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Links of similarity 0.8 or more that join classes, from ``mixed(key, cid, component, main)``.
+
+    Members outside a bucket's main class are asked; each is compared with all
+    members of its bucket, exactly and inside a task, which gives back only as
+    many links as join classes. A block of a task holds a bounded number of
+    cells: small buckets share a block, large ones are cut into blocks of asked
+    and of all members, and every block of the one meets every block of the other.
+    """
+    sets = _cells_of(mixed.select("cid").distinct(), signed, docs, text_col)
+    weights = mixed.join(sets.select("cid", F.size("cells").alias("n")), "cid")
+    outside = F.col("component") != F.col("main")
+    totals = store(
+        weights.groupBy("key").agg(F.sum("n").alias("cells"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("asked_cells")),
+        "totals",
+    )
+    everything = totals.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
+    bundles = everything // BLOCK_CELLS + 1
+    parts = totals.select(
+        "key",
+        F.ceil(F.col("cells") / BLOCK_CELLS).cast("int").alias("parts"),
+        F.ceil(F.col("asked_cells") / BLOCK_CELLS).cast("int").alias("asked_parts"),
+    )
+    placed = mixed.join(parts, "key")
+    bundle = F.pmod(F.xxhash64("key"), F.lit(bundles)).alias("bundle")
+
+    def part(of: str):
+        return F.pmod(F.xxhash64("cid", "key"), F.col(of)).cast("int")
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    columns = ["key", "cid", "component"]
+    members = placed.select(*columns, bundle, part("parts").alias("part"), every("asked_parts").alias("asked_part"), F.lit(False).alias("asked"))
+    asked = placed.where(outside).select(*columns, bundle, every("parts").alias("part"), part("asked_parts").alias("asked_part"), F.lit(True).alias("asked"))
+    rows = members.unionByName(asked).join(sets, "cid")
+
+    def compare(block: pa.Table) -> pa.Table:
+        return _compare_block(block)
+
+    return rows.groupBy("bundle", "part", "asked_part").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, class_id, class_size, tk``.
 
@@ -241,25 +348,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes")
     )
-    mixed = store(
-        named.join(largest.where("classes > 1").drop("classes"), "key").join(sketches, "cid"), "mixed"
-    )
-    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))
-    rest = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.component") != F.col("y.component"))
-            & once
-            & (_differing_bits("x", "y") <= MOST_DIFFERENT_BITS),
-        )
-        .select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-        .distinct()
-        # Pairs with a pivot were compared before.
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = _verified(rest, signed, docs, text_col)
+    mixed = store(named.join(largest.where("classes > 1").drop("classes"), "key"), "mixed")
+    more = store(_links_between_classes(mixed, signed, docs, text_col), "more")
     if not more.isEmpty():
         classes = connected_components(links.union(more))
 
