@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from curbmeter.llm.components import connected_components
 from curbmeter.llm.shared import free_name, store
-from curbmeter.llm.words import BASE, gram_hashes, list_array, mix, room_after, text_chunks, word_hashes
+from curbmeter.llm.words import BASE, give_back_memory, gram_hashes, list_array, mix, room_after, text_chunks, word_hashes
 from curbmeter.session import broadcast_if_small
 
 SHINGLE = 5
@@ -38,9 +38,9 @@ BANDS = 32
 ROWS = 6
 # Of 192 one-bit sketches a pair of similarity 0.8 differs in 19 on average (deviation 4.2).
 MOST_DIFFERENT_BITS = 38
-# Cells that a task compares at once (16 MB), and numbers in one of its matrices.
-BLOCK_CELLS = 2 << 20
-MATRIX = 4 << 20
+# Cells that a task compares at once (4 MB), and numbers in one of its matrices.
+BLOCK_CELLS = 1 << 19
+MATRIX = 1 << 20
 SIGNED = "cid bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
 _GOLD = np.uint64(BASE)
 
@@ -86,7 +86,7 @@ def _throw(regions, rows, limit, k, times, darts) -> None:
     least = limit.min(initial=np.inf)
     while len(regions):
         # Several arrivals at once where each region gets many.
-        block = int(max(1, min(least if number == 0 else least / 3, 1024, (1 << 20) // len(regions))))
+        block = int(max(1, min(least if number == 0 else least / 3, 1024, (1 << 19) // len(regions))))
         numbers = np.arange(number + 1, number + 1 + block, dtype=np.uint64) * _GOLD
         dart = mix(regions[:, None] ^ mix(numbers)[None, :])
         step = -np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
@@ -294,7 +294,9 @@ def _links_between_classes(mixed: DataFrame, signed: DataFrame, docs: DataFrame,
     rows = members.unionByName(asked).join(sets, "cid")
 
     def compare(block: pa.Table) -> pa.Table:
-        return _compare_block(block)
+        links = _compare_block(block)
+        give_back_memory()
+        return links
 
     return rows.groupBy("bundle", "part", "asked_part").applyInArrow(compare, "a bigint, b bigint")
 

@@ -15,6 +15,7 @@ shuffle, and memory does not grow with the input.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curbmeter.llm.words import give_back_memory
+
 WINDOW = 2048
 # The longest piece of a document's rest: four and more pieces share a window, so sums can be evened out.
 PIECE = 512
@@ -60,7 +63,10 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         with open(self.json, encoding="utf-8") as file:
-            self.special = [token["content"] for token in json.load(file)["added_tokens"]]
+            text = file.read()
+        # The list of added tokens alone; the rest is the vocabulary again.
+        start = text.index("[", text.index('"added_tokens"'))
+        self.special = [token["content"] for token in json.JSONDecoder().raw_decode(text, start)[0]]
         self.slow = None
 
     def __call__(self, text: str) -> list[int]:
@@ -73,6 +79,14 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(name: str, place) -> Encoder:
+    """The encoder of this process; tasks of one worker share it."""
+    made = Encoder(name, place)
+    give_back_memory()
+    return made
+
+
 def difference(lengths: list[int], m: int) -> list[list[int]]:
     """Partition the items into ``m`` sets of nearly equal sums; the items' indexes per set.
 
@@ -164,7 +178,7 @@ def pack(
     schema = pieces_schema(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, place)
+        encode = encoder(tokenizer, place)
         base = TaskContext.get().partitionId() << 33
         used = 0
         done: list[tuple] = []
@@ -204,11 +218,12 @@ def pack(
                     start += piece
                 if len(waiting) >= group:
                     deal_out()
-                if len(done) >= 4 * group:
+                if len(done) >= group:
                     yield flush()
         if waiting:
             deal_out()
         if done:
             yield flush()
+        give_back_memory()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -43,11 +43,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+# Rows and bytes that go to a Python worker at once; texts can be long.
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once per application, as ``--py-files`` would.
+    """Set up Python workers: bounded batches, and this package once per application, as by ``--py-files``.
 
     The archive is made on the driver, and Spark serves it to executors.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_curbmeter_shipped", False):
         return

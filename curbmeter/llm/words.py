@@ -8,13 +8,14 @@ non-ASCII character is at least 0x80, so runs of bytes are runs of characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 # Texts are worked on in pieces of about so many bytes, which bounds a task's memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 _WORD_BYTE = np.zeros(256, np.uint8)
@@ -34,6 +35,14 @@ def mix(values: np.ndarray) -> np.ndarray:
     return z
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: Python workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def _power_table(base: int, n: int) -> np.ndarray:
     """1, base, base², ... modulo 2^64, at least ``n`` of them."""
     known = _powers.get(base)
@@ -59,6 +68,8 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = min(max(last, first + 1), len(texts))
         yield data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    del data, offsets, texts
+    give_back_memory()
 
 
 def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
