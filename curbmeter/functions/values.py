@@ -67,4 +67,4 @@ def payment_label(code) -> Column:
 
 def route_label(origin, destination) -> Column:
     """``区域a → 区域b``."""
-    return F.format_string("区域%d → 区域%d", F.col(origin), F.col(destination))
+    return F.format_string("区域%s → 区域%s", F.col(origin).cast("string"), F.col(destination).cast("string"))

@@ -22,15 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbmeter.session import broadcast_if_small, cut_lineage, estimated_bytes
+from curbmeter.session import broadcast_if_small, cut_lineage
 
 STEPS = 128  # buckets per factor e
 SLOTS = 4096  # slots of the grid within one bucket
 # Natural logarithms of doubles lie between -745 and 710.
 LARGEST_LOG = 710.0
 OFFSET = 746 * STEPS
-# Under this input size one bucket fits a task and the grid step is left out.
-ONE_TASK_BYTES = 1 << 30
 
 
 def _bucket(value: Column) -> Column:
@@ -68,7 +66,7 @@ def exact_quantiles(
     probabilities,
     by=(),
     few_groups: bool = False,
-    grid: bool | None = None,
+    grid: bool = True,
 ) -> DataFrame:
     """Quantiles with linear interpolation, nulls and NaN left out.
 
@@ -77,11 +75,9 @@ def exact_quantiles(
     group. ``few_groups`` states that ``by`` has a small fixed domain; then, as
     without ``by``, they are broadcast. Otherwise they are checkpointed and
     counted at once, and broadcast only if they are few: a shuffle join would
-    move every value. ``grid`` forces or forbids the slot step, by default it is
-    taken unless the optimizer's size estimate proves the input small.
+    move every value. The slot step is taken at every size; ``grid`` False leaves
+    it out for a caller whose buckets are known to fit a task.
     """
-    if grid is None:
-        grid = estimated_bytes(df) > ONE_TASK_BYTES
     bounded = few_groups or not by
     small = F.broadcast if bounded else broadcast_if_small
     keys = [*by, "column"]

@@ -45,14 +45,12 @@ class Forecaster:
 
 
 def forest(**settings) -> RandomForestRegressor:
-    """The random forest (M5): every split sees all features and up to 300 zones apart."""
-    return RandomForestRegressor(
-        labelCol="demand",
-        featuresCol="features",
-        featureSubsetStrategy="all",
-        maxBins=300,
-        **{**FOREST, **settings},
-    )
+    """The random forest (M5): every split sees all features and up to 300 zones apart.
+
+    Give ``maxBins`` where there are more zones than that.
+    """
+    options = {"featureSubsetStrategy": "all", "maxBins": 300, **FOREST, **settings}
+    return RandomForestRegressor(labelCol="demand", featuresCol="features", **options)
 
 
 def boosted_trees(**settings) -> GBTRegressor:
@@ -72,16 +70,20 @@ def demand_tables(trips: DataFrame, zone: str = PICKUP_ZONE) -> tuple:
     return cube, cut_lineage(zone_encoder(cube, zone))
 
 
-def training_table(cube: DataFrame, encoder: DataFrame, zone: str = PICKUP_ZONE) -> DataFrame:
+def training_table(
+    cube: DataFrame, encoder: DataFrame, zone: str = PICKUP_ZONE, cells_per_task: int = CELLS_PER_TASK
+) -> DataFrame:
     """Features, vector and label of all cells, spread for training.
 
     The cube is small in bytes, so it arrives in very few partitions, but each
-    cell costs much work in every tree. A partition per eight thousand cells, up
-    to the cores there are, lets all of them take part.
+    cell costs much work in every tree. Bagging draws per partition and in the
+    order of its rows, so the fitted model must not depend on the cores there
+    are: the number of partitions follows from the cells alone, and rows are
+    sorted in them.
     """
-    cores = cube.sparkSession.sparkContext.defaultParallelism
-    parts = min(cores, cube.count() // CELLS_PER_TASK + 1)
-    spread = cube.repartition(parts, zone, "pickup_hour", "pickup_weekday")
+    parts = cube.count() // cells_per_task + 1
+    key = [zone, "pickup_hour", "pickup_weekday"]
+    spread = cube.repartition(parts, *key).sortWithinPartitions(*key)
     return with_vector(demand_features(spread, broadcast_if_small(encoder), zone))
 
 
