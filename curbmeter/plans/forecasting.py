@@ -83,8 +83,9 @@ def training_table(
     """
     parts = cube.count() // cells_per_task + 1
     key = [zone, "pickup_hour", "pickup_weekday"]
-    spread = cube.repartition(parts, *key).sortWithinPartitions(*key)
-    return with_vector(demand_features(spread, broadcast_if_small(encoder), zone))
+    features = with_vector(demand_features(cube, broadcast_if_small(encoder), zone))
+    # After the join: Catalyst drops a sort below one.
+    return features.repartition(parts, *key).sortWithinPartitions(*key)
 
 
 def train_forecaster(trips: DataFrame, estimator=None, zone: str = PICKUP_ZONE) -> Forecaster:
