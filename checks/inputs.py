@@ -12,11 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from curbmeter.operators.clean import clean, sparse_columns
-from curbmeter.session import checkpoint_root, estimated_bytes
+from curbmeter.session import checkpoint_root
 from curbmeter.sources.lineitem_trips import trips_from_lineitem
 from curbmeter.sources.tables import read_trips, write_trips
 
-SCAN_SPLIT_BYTES = 128 << 20
+# Rows of one derived file; a file is the least that a task reads.
+FILE_ROWS = 100_000
 _written: dict = {}
 
 
@@ -28,21 +29,22 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
         path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/{name}"
-        write_trips(build(), path)
+        write_trips(build(), path, rows_per_file=FILE_ROWS)
         _written[key] = path
     return _written[key]
 
 
-def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_raw(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the derived raw trips."""
+
     def build() -> DataFrame:
-        lines = table(spark, sf_dir, "lineitem")
-        trips = trips_from_lineitem(lines)
-        cores = spark.sparkContext.defaultParallelism
-        # A small input is one row group; spread it so that all cores can read it.
-        small = estimated_bytes(lines) < cores * SCAN_SPLIT_BYTES
-        return trips.repartition(cores) if small else trips
-
-    return read_trips(spark, _stored(spark, sf_dir, "raw", build))
+        return trips_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+    return _stored(spark, sf_dir, "raw", build)
+
+
+def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_trips(spark, stored_raw(spark, sf_dir))
 
 
 def cleaned_trips(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -473,9 +473,9 @@ ORACLE = {
           SELECT *, ((CAST(epoch(tpep_pickup_datetime) AS BIGINT) * 7919 + PULocationID * 104729
             + DOLocationID * 1299709::BIGINT) % 1000003) / 1000003.0::DOUBLE AS k FROM points
           ORDER BY k, trip_distance, fare_amount, passenger_count, tpep_pickup_datetime,
-            tpep_dropoff_datetime, PULocationID, DOLocationID LIMIT 1000)""",
+            tpep_dropoff_datetime, PULocationID, DOLocationID LIMIT 100000)""",
     "hourly_fare_by_daytype": cleaned(
-        """SELECT is_weekend, pickup_hour, round(avg(fare_amount) + 3.3e-9, 6) AS avg_fare
+        """SELECT is_weekend, pickup_hour, count(fare_amount) AS trips, round(sum(fare_amount), 5) AS fares
         FROM slots LEFT JOIN clocked USING (is_weekend, pickup_hour) GROUP BY ALL"""
     ),
     "fare_by_passengers": f"""WITH {CLEANED}, {BOXED}
@@ -548,9 +548,9 @@ ORACLE = {
     ),
     "route_table": cleaned(
         f"""SELECT PULocationID, DOLocationID, count(*) AS trip_count,
-          round(avg(trip_distance) + 3.3e-9, 6) AS avg_distance, round(avg(fare_amount) + 3.3e-9, 6) AS avg_fare,
-          round(avg(total_amount) + 3.3e-9, 6) AS avg_total, round(avg({DURATION}) + 3.3e-9, 6) AS avg_duration_min,
-          round(avg(tip_amount) + 3.3e-9, 6) AS avg_tip
+          round(sum(trip_distance), 8) AS sum_distance, round(sum(fare_amount), 8) AS sum_fare,
+          round(sum(total_amount), 8) AS sum_total, round(sum({DURATION}), 8) AS sum_duration_min,
+          round(sum(tip_amount), 8) AS sum_tip
         FROM cleaned GROUP BY PULocationID, DOLocationID"""
     ),
     "payment_analysis": cleaned(
@@ -647,3 +647,68 @@ ORACLE = {
         FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b LEFT JOIN binned x USING (bin), span
         GROUP BY b.bin, lo, hi, m""",
 }
+
+_FEATURE_PLACES = (
+    "location_encoded", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "is_weekend", "is_rush_hour",
+)
+_REQUESTS = """requests AS (
+  SELECT DISTINCT DOLocationID + CASE WHEN DOLocationID % 50 = 0 THEN 1000 ELSE 0 END AS location_id,
+    (pickup_hour + 1) % 24 AS hour, pickup_weekday AS weekday FROM clocked
+)"""
+_WEEKDAYS = "['周一', '周二', '周三', '周四', '周五', '周六', '周日']"
+ORACLE |= {
+    "csv_round_trip": cleaned("SELECT * FROM cleaned"),
+    "csv_zones": cleaned(
+        """SELECT PULocationID, trips, "Borough", "Zone", CASE WHEN "Zone" IS NOT NULL THEN 'N/A' END AS service_zone
+        FROM (SELECT PULocationID, count(*) AS trips FROM cleaned WHERE PULocationID IS NOT NULL GROUP BY ALL)
+        LEFT JOIN (SELECT CAST(1 + s_suppkey % 265 AS INTEGER) AS PULocationID, min(s_name) AS "Zone",
+          CAST(min(s_nationkey) AS VARCHAR) AS "Borough" FROM supplier GROUP BY 1) z USING (PULocationID)"""
+    ),
+    "streamed_features": f"""WITH {TRIPS}, tagged AS (SELECT *, {REASON} AS reason FROM trips), kept AS (
+          SELECT *, CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
+            CAST(isodow(tpep_pickup_datetime) - 1 AS INTEGER) AS pickup_weekday FROM tagged WHERE reason = '10 kept')
+        SELECT tpep_pickup_datetime, PULocationID, DOLocationID, fare_amount,
+          CAST(tpep_pickup_datetime AS DATE) AS pickup_date, pickup_hour, pickup_weekday,
+          CAST(day(tpep_pickup_datetime) AS INTEGER) AS pickup_day, pickup_weekday >= 5 AS is_weekend,
+          pickup_hour IN (7, 8, 9, 17, 18, 19) AS is_rush_hour,
+          round(sin(2 * pi() * pickup_hour / 24), 6) + 0.0 AS hour_sin FROM kept""",
+    "forest_predictions": cleaned(
+        "SELECT PULocationID, pickup_hour, pickup_weekday, demand, true AS in_range FROM parts WHERE is_test"
+    ),
+    "model_comparison": cleaned(
+        """SELECT model, (SELECT count(*) FROM parts WHERE is_test) AS cells, true AS better
+        FROM (VALUES ('boosted_trees'), ('forest')) m(model)"""
+    ),
+    "feature_importance": """SELECT feature, label, true AS is_share, 1.0::DOUBLE AS total FROM (VALUES
+        ('location_encoded', '区域编码'), ('hour_sin', '小时(sin)'), ('hour_cos', '小时(cos)'),
+        ('weekday_sin', '星期(sin)'), ('weekday_cos', '星期(cos)'), ('is_weekend', '是否周末'),
+        ('is_rush_hour', '是否高峰时段')) f(feature, label)""",
+    "score_requests": f"""WITH {CLEANED}, {_REQUESTS}
+        SELECT location_id, hour, weekday, {_WEEKDAYS}[weekday + 1] AS weekday_name, c.demand AS historical_demand,
+          hour IN (7, 8, 9, 17, 18, 19) AS is_rush_hour, weekday >= 5 AS is_weekend,
+          e.location_encoded IS NOT NULL AS known_zone, true AS in_range
+        FROM requests r LEFT JOIN encoder e ON e.PULocationID = location_id
+        LEFT JOIN cube c ON c.PULocationID = location_id AND c.pickup_hour = hour AND c.pickup_weekday = weekday""",
+    "tree_group_means": cleaned(
+        """SELECT PULocationID, pickup_hour, pickup_weekday, round(m, 4) AS forest, round(m, 4) AS boosted
+        FROM parts JOIN (SELECT pickup_weekday >= 5 AS w, avg(demand) AS m FROM parts WHERE NOT is_test GROUP BY ALL)
+          ON w = (pickup_weekday >= 5) WHERE is_test"""
+    ),
+    "feature_vectors": cleaned(
+        "SELECT PULocationID, pickup_hour, pickup_weekday, "
+        + ", ".join(f"round({c}::DOUBLE, 6) + 0.0 AS f{i}" for i, c in enumerate(_FEATURE_PLACES))
+        + " FROM encoded"
+    ),
+    "scaled_on_train": cleaned(
+        """SELECT PULocationID, pickup_hour, pickup_weekday, demand, round((demand - m) / s, 4) + 0.0 AS scaled FROM cube,
+        (SELECT avg(demand) AS m, stddev_pop(demand) AS s FROM parts WHERE NOT is_test)"""
+    ),
+}
+ORACLE |= {
+    f"chain_{name}": ORACLE[name]
+    for name in (
+        "demand_cube", "hourly_by_daytype", "weekday_hour_counts", "weekday_hour_matrix", "top_pickup_zones",
+        "top_dropoff_zones", "top5_zone_hourly", "od_flows", "hourly_fare_by_daytype", "payment_share",
+        "fee_structure", "hourly_payment_share", "payment_means", "tip_means",
+    )
+}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.inputs import cleaned_trips, raw_trips, table
+from checks.inputs import cleaned_trips, raw_trips, stored_raw, table
 from curbmeter.functions.timing import with_duration, with_time_features
 from curbmeter.operators import clean, demand, encoding, evaluation, fares, profile, quantiles
 from curbmeter.operators.sampling import histogram
-from curbmeter.plans import forecasting, questions, tagging
+from curbmeter.plans import analyses, forecasting, questions, tagging
 from curbmeter.schema import (
     ALIGHTING,
     BOARDING,
@@ -22,11 +25,11 @@ from curbmeter.schema import (
     WEEKEND,
     WORKDAY,
 )
-from curbmeter.session import cut_lineage
-from curbmeter.sources.tables import preview, with_zone_names
+from curbmeter.session import checkpoint_root, cut_lineage
+from curbmeter.sources.tables import preview, read_zones, with_zone_names, write_trips
+from curbmeter.streaming.trips import read_trip_stream, valid_trips_with_features
 
 RAW, CLEANED = raw_trips, cleaned_trips
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 8}
 # Rules for another kind of text than questions: addresses of web pages.
 URL_RULES = tagging.TagRules(
     intents=(
@@ -86,7 +89,7 @@ def sample_points(spark, sf_dir) -> DataFrame:
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), PICKUP_TIME)
     mixed = seconds * 7919 + F.col(PICKUP_ZONE) * 104729 + F.col(DROPOFF_ZONE) * 1299709
     key = (mixed % 1000003) / F.lit(1000003.0)
-    return fares.distance_fare_points(CLEANED(spark, sf_dir), sample=1000, key=key)
+    return fares.distance_fare_points(CLEANED(spark, sf_dir), sample=100_000, key=key)
 
 
 def cube(spark, sf_dir) -> DataFrame:
@@ -161,54 +164,154 @@ def tag_urls(spark, sf_dir) -> DataFrame:
     return tagging.tag_text(pages, "url", URL_RULES)
 
 
-def off_ties(df: DataFrame) -> DataFrame:
-    """Round the means of small groups, which often lie on a tie.
+def hourly_fares(spark, sf_dir) -> DataFrame:
+    """Mean times count gives the sum, whose five digits do not depend on the order of summation."""
+    means = demand.hourly_fare_by_day_type(CLEANED(spark, sf_dir))
+    return means.select("is_weekend", "pickup_hour", "trips", F.round(F.col("avg_fare") * F.col("trips"), 5).alias("fares"))
 
-    A shift far smaller than the last digit takes them off it, in the SQL as well.
-    """
-    means = [c for c in df.columns if c.startswith("avg_")]
-    return df.withColumns({c: F.round(F.col(c) + 3.3e-9, 6) for c in means})
 
+def full_routes(spark, sf_dir) -> DataFrame:
+    """Every mean times the count, which gives sums of eight digits at most."""
+    routes = questions.route_table(CLEANED(spark, sf_dir))
+    means = [c for c in routes.columns if c.startswith("avg_")]
+    sums = [F.round(F.col(c) * F.col("trip_count"), 8).alias("sum_" + c.removeprefix("avg_")) for c in means]
+    return routes.select(PICKUP_ZONE, DROPOFF_ZONE, "trip_count", *sums)
 
-def hourly_fares(spark, sf_dir) -> DataFrame:
-    return off_ties(demand.hourly_fare_by_day_type(CLEANED(spark, sf_dir)))
 
+def chained(name: str):
+    """One data set of the analysis chain."""
 
-def full_routes(spark, sf_dir) -> DataFrame:
-    return off_ties(questions.route_table(CLEANED(spark, sf_dir), printed=False))
+    def run(spark, sf_dir) -> DataFrame:
+        return analyses.run_analyses(CLEANED(spark, sf_dir), distributions=False)[name]
+
+    return run
+
+
+def chained_fares(spark, sf_dir) -> DataFrame:
+    means = chained("hourly_fare_by_daytype")(spark, sf_dir)
+    return means.select("is_weekend", "pickup_hour", "trips", F.round(F.col("avg_fare") * F.col("trips"), 5).alias("fares"))
+
+
+def csv_round_trip(spark, sf_dir) -> DataFrame:
+    """The cleaned trips written as CSV and read back."""
+    trips = CLEANED(spark, sf_dir)
+    path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/csv"
+    write_trips(trips, path, "csv")
+    return spark.read.schema(trips.schema).csv(path, header=True)
+
+
+def csv_zones(spark, sf_dir) -> DataFrame:
+    """The zone dimension written as CSV, read as users' files are, and joined to trips per zone."""
+    path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/zones"
+    zones = supplier_zones(spark, sf_dir).select(
+        "LocationID", F.col("Borough").cast("string").alias("Borough"), "Zone", F.lit("N/A").alias("service_zone")
+    )
+    write_trips(zones, path, "csv")
+    per_zone = demand.group_counts(CLEANED(spark, sf_dir), PICKUP_ZONE)
+    return with_zone_names(per_zone, read_zones(spark, path)).drop("LocationID")
+
+
+def streamed_features(spark, sf_dir) -> DataFrame:
+    """All files of raw trips as a stream, run until none is left."""
+    root = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}"
+    source = read_trip_stream(spark, stored_raw(spark, sf_dir), RAW(spark, sf_dir).schema, files_per_trigger=4)
+    stream = valid_trips_with_features(source).writeStream.format("parquet")
+    stream = stream.option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        PICKUP_TIME, PICKUP_ZONE, DROPOFF_ZONE, FARE, "pickup_date", "pickup_hour", "pickup_weekday", "pickup_day",
+        "is_weekend", "is_rush_hour", F.round("hour_sin", 6).alias("hour_sin"),
+    )
+
+
+def within(column: str, table_: DataFrame, actual: str = "demand"):
+    """Whether a prediction lies in the range of the values that it was learned from."""
+    span = table_.agg(F.struct(F.min(actual).alias("lo"), F.max(actual).alias("hi"))).scalar()
+    # Means of equal values may leave the range by the last bit.
+    return F.col(column).between(span["lo"] - F.lit(1e-9), span["hi"] + F.lit(1e-9))
+
+
+_forecasters: dict = {}
+
+
+def forecaster(spark, sf_dir) -> forecasting.Forecaster:
+    """The forest on all cells, fitted once per session and data set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _forecasters:
+        _forecasters[key] = forecasting.train_forecaster(CLEANED(spark, sf_dir))
+    return _forecasters[key]
 
 
 def forest_predictions(spark, sf_dir) -> DataFrame:
-    scored = forecasting.evaluate(CLEANED(spark, sf_dir), {"forest": forecasting.forest(**SMALL_FOREST)})
-    return scored["forest"].select(PICKUP_ZONE, "pickup_hour", "pickup_weekday", "demand", "prediction")
+    """Test cells with their demand and whether the forest predicts a possible one."""
+    train, _ = encoding.split(stored_cube(spark, sf_dir))
+    scored = forecasting.evaluate(CLEANED(spark, sf_dir), {"forest": forecasting.forest()})["forest"]
+    return scored.select(PICKUP_ZONE, "pickup_hour", "pickup_weekday", "demand", within("prediction", train).alias("in_range"))
 
 
 def model_comparison(spark, sf_dir) -> DataFrame:
+    """Per model the test cells, and whether it is better than the overall mean of the train cells."""
+    train, _ = encoding.split(stored_cube(spark, sf_dir))
+    mean = train.agg(F.avg("demand")).scalar()
     scored = forecasting.evaluate(
-        CLEANED(spark, sf_dir),
-        {
-            "boosted_trees": forecasting.boosted_trees(maxIter=10),
-            "forest": forecasting.forest(**SMALL_FOREST),
-        },
+        CLEANED(spark, sf_dir), {"boosted_trees": forecasting.boosted_trees(), "forest": forecasting.forest()}
     )
-    return evaluation.compare_models(scored)
+
+    def row(name: str) -> DataFrame:
+        judged = scored[name].select("demand", "prediction", within("prediction", train).alias("in_range"), mean.alias("mean"))
+        return judged.agg(
+            F.lit(name).alias("model"),
+            F.count("*").alias("cells"),
+            (F.avg(F.abs(F.col("demand") - F.col("prediction"))) < F.avg(F.abs(F.col("demand") - F.col("mean")))).alias("better"),
+        )
+
+    return row("boosted_trees").unionByName(row("forest"))
+
+
+def tree_group_means(spark, sf_dir) -> DataFrame:
+    """One split on one binary feature, by both regressors: the test cells get the train mean of their day type."""
+    cells = stored_cube(spark, sf_dir)
+    featured = encoding.with_vector(encoding.with_demand_features(cells), ["is_weekend"])
+    train, test = encoding.split(featured)
+    forest = forecasting.forest(numTrees=1, maxDepth=1, minInstancesPerNode=1, bootstrap=False).fit(train)
+    boosted = forecasting.boosted_trees(maxIter=1, maxDepth=1).fit(train)
+    both = boosted.transform(forest.transform(test).withColumnRenamed("prediction", "forest"))
+    keys = [PICKUP_ZONE, "pickup_hour", "pickup_weekday"]
+    return rounded(both.select(*keys, "forest", F.col("prediction").alias("boosted")), 4)
+
+
+def feature_vectors(spark, sf_dir) -> DataFrame:
+    """The elements of the feature vector by their place."""
+    array = vector_to_array("features")
+    vectors = encoding.with_vector(encoded_cube(spark, sf_dir))
+    keys = [PICKUP_ZONE, "pickup_hour", "pickup_weekday"]
+    return rounded(vectors.select(*keys, *[array[i].alias(f"f{i}") for i in range(len(encoding.FEATURES))]), 6)
+
+
+def scaled_on_train(spark, sf_dir) -> DataFrame:
+    """Demand of all cells in units fitted on the train cells alone."""
+    cells = stored_cube(spark, sf_dir).withColumn("scaled", F.col("demand").cast("double"))
+    train, _ = encoding.split(cells)
+    return rounded(encoding.standardise(cells, ["scaled"], train), 4)
 
 
 def feature_importance(spark, sf_dir) -> DataFrame:
-    fitted = forecasting.train_forecaster(CLEANED(spark, sf_dir), forecasting.forest(**SMALL_FOREST))
-    return forecasting.feature_importance(fitted.model, spark)
+    """The features, whether each importance is a share, and the sum of all."""
+    shares = forecasting.feature_importance(forecaster(spark, sf_dir).model, spark)
+    total = shares.agg(F.round(F.sum("importance"), 6)).scalar()
+    return shares.select("feature", "label", F.col("importance").between(0, 1).alias("is_share"), total.alias("total"))
 
 
 def score_requests(spark, sf_dir) -> DataFrame:
-    trips = CLEANED(spark, sf_dir)
-    fitted = forecasting.train_forecaster(trips, forecasting.forest(**SMALL_FOREST))
-    # Every flow asks for its destination at the next hour; some zones are unknown.
-    requests = trips.select(
+    """Every flow asks for its destination at the next hour; some zones are unknown."""
+    fitted = forecaster(spark, sf_dir)
+    requests = CLEANED(spark, sf_dir).select(
         (F.col(DROPOFF_ZONE) + F.when(F.col(DROPOFF_ZONE) % 50 == 0, 1000).otherwise(0)).alias("location_id"),
         ((F.hour(PICKUP_TIME) + 1) % 24).alias("hour"),
         F.weekday(PICKUP_TIME).alias("weekday"),
     ).distinct()
-    return forecasting.score_requests(requests, fitted)
+    scored = forecasting.score_requests(requests, fitted)
+    return scored.withColumn("in_range", within("predicted_demand", fitted.cube)).drop("predicted_demand")
 
 
 def _on(source, operator, *args, digits=None, **kwargs):
@@ -223,6 +326,11 @@ def _events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+CHAINED = (
+    "demand_cube", "hourly_by_daytype", "weekday_hour_counts", "weekday_hour_matrix", "top_pickup_zones",
+    "top_dropoff_zones", "top5_zone_hourly", "od_flows", "payment_share", "fee_structure",
+    "hourly_payment_share", "payment_means", "tip_means",
+)
 ROUNDED = ("hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "duration_min")
 
 
@@ -239,6 +347,9 @@ QUERIES = {
     "preview_head": _on(RAW, preview),
     "preview_tail": _on(RAW, preview, last=True),
     "zone_enrichment": zone_enrichment,
+    "csv_round_trip": csv_round_trip,
+    "csv_zones": csv_zones,
+    "streamed_features": streamed_features,
     # Profile and audit
     "schema_profile": _on(RAW, profile.schema_profile),
     "describe_numeric": _on(RAW, profile.describe, digits=8),
@@ -335,6 +446,12 @@ QUERIES = {
     "model_comparison": model_comparison,
     "feature_importance": feature_importance,
     "score_requests": score_requests,
+    "tree_group_means": tree_group_means,
+    "feature_vectors": feature_vectors,
+    "scaled_on_train": scaled_on_train,
+    # The analysis chain: the same data sets from two aggregates
+    **{f"chain_{name}": chained(name) for name in CHAINED},
+    "chain_hourly_fare_by_daytype": chained_fares,
     # The same operators on another table
     "events_hourly": _on(_events, demand.hourly_by_day_type, "ts"),
     "events_iqr": _on(_events, profile.iqr_audit, ["value"], digits=8),

@@ -30,14 +30,14 @@ def hour_grid(spark: SparkSession, by_day_type: bool = False) -> DataFrame:
     )
 
 
-def count_on_grid(df: DataFrame, grid: DataFrame, counted: Column | None = None) -> DataFrame:
+def count_on_grid(df: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
     """Rows per cell of ``grid``, 0 for cells without rows.
 
-    ``counted`` limits the count to the rows where it is true.
+    ``weight`` is what a row counts for, 1 by default.
     """
     keys = grid.columns
-    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    rows = df.where(F.col(keys[-1]).isNotNull()).select(*keys, one.cast("long").alias("trips"))
+    weight = F.lit(1) if weight is None else weight
+    rows = df.where(F.col(keys[-1]).isNotNull()).select(*keys, weight.cast("long").alias("trips"))
     empty = grid.select(*keys, F.lit(0).cast("long").alias("trips"))
     return rows.unionByName(empty).groupBy(*keys).agg(F.sum("trips").alias("trips"))
 
@@ -80,14 +80,18 @@ def weekday_hour_counts(
     grid = hour_grid(df.sparkSession).select(
         F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pickup_weekday"), "pickup_hour"
     )
-    return count_on_grid(with_clock(df, pickup_time), grid, F.col(counted).isNotNull())
+    return count_on_grid(with_clock(df, pickup_time), grid, F.col(counted).isNotNull().cast("int"))
 
 
 def weekday_hour_matrix(
     df: DataFrame, counted: str = TOTAL, pickup_time: str = PICKUP_TIME
 ) -> DataFrame:
     """The same as a matrix: one row per weekday, one column per hour."""
-    cells = weekday_hour_counts(df, counted, pickup_time)
+    return hour_columns(weekday_hour_counts(df, counted, pickup_time))
+
+
+def hour_columns(cells: DataFrame) -> DataFrame:
+    """Counts per weekday and hour with the hours as columns."""
     return cells.groupBy("pickup_weekday").agg(
         *[
             F.sum(F.when(F.col("pickup_hour") == h, F.col("trips"))).alias(f"h{h:02d}")
@@ -170,7 +174,7 @@ def flows(
 def hourly_fare_by_day_type(
     df: DataFrame, fare: str = FARE, pickup_time: str = PICKUP_TIME
 ) -> DataFrame:
-    """Mean fare per hour on workdays and weekends; null for an hour without trips."""
+    """Mean fare per hour on workdays and weekends and the fares it is of; null for an hour without any."""
     grid = hour_grid(df.sparkSession, True)
     rows = with_clock(df, pickup_time).select("is_weekend", "pickup_hour", fare)
     empty = grid.withColumn(fare, F.lit(None).cast("double"))
@@ -178,7 +182,7 @@ def hourly_fare_by_day_type(
         rows.where(F.col("pickup_hour").isNotNull())
         .unionByName(empty)
         .groupBy("is_weekend", "pickup_hour")
-        .agg(F.avg(fare).alias("avg_fare"))
+        .agg(F.avg(fare).alias("avg_fare"), F.count(fare).alias("trips"))
     )
 
 

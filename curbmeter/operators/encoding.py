@@ -32,7 +32,8 @@ def zone_encoder(df: DataFrame, zone: str = PICKUP_ZONE) -> DataFrame:
     zones = group_counts(df, zone).select(
         zone, F.shiftright(F.col(zone).cast("long"), 16).alias("_block")
     )
-    blocks = zones.groupBy("_block").agg(F.count("*").alias("_size"))
+    # Counting the zones, not rows, keeps both uses of ``zones`` the same plan, run once.
+    blocks = zones.groupBy("_block").agg(F.count(zone).alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_size")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(zone)) - 1
     return (

@@ -94,22 +94,16 @@ def location_ranking(
     )
 
 
-def _route_measures(pickup_time: str, dropoff_time: str, printed: bool = True) -> list:
+def _route_means(pickup_time: str, dropoff_time: str) -> dict:
+    """Name, averaged column and printed digits of the means of a route."""
     minutes = minutes_between(pickup_time, dropoff_time)
-    means = {
+    return {
         "avg_distance": (F.col(DISTANCE), 2),
         "avg_fare": (F.col(FARE), 2),
         "avg_total": (F.col(TOTAL), 2),
         "avg_duration_min": (minutes, 1),
         "avg_tip": (F.col(TIP), 2),
     }
-    return [
-        F.count("*").alias("trip_count"),
-        *[
-            (mean(value, digits) if printed else F.avg(value)).alias(name)
-            for name, (value, digits) in means.items()
-        ],
-    ]
 
 
 def route_description(origin: int | None, destination: int | None) -> str:
@@ -136,7 +130,8 @@ def route_info(
     Without a matching trip the count is 0 and the means are null.
     """
     rows = in_zone(in_zone(trips, pickup_zone, location_from), dropoff_zone, location_to)
-    return rows.agg(*_route_measures(pickup_time, dropoff_time)).withColumn(
+    means = [mean(value, digits).alias(name) for name, (value, digits) in _route_means(pickup_time, dropoff_time).items()]
+    return rows.agg(F.count("*").alias("trip_count"), *means).withColumn(
         "description", F.lit(route_description(location_from, location_to))
     )
 
@@ -147,14 +142,16 @@ def route_table(
     dropoff_zone: str = DROPOFF_ZONE,
     pickup_time: str = PICKUP_TIME,
     dropoff_time: str = DROPOFF_TIME,
-    printed: bool = True,
 ) -> DataFrame:
-    """The same for every pair of zones at once, means in full when not ``printed`` (Q4)."""
+    """The same for every pair of zones at once, means in full (Q4)."""
     known = F.col(pickup_zone).isNotNull() & F.col(dropoff_zone).isNotNull()
     return (
         trips.where(known)
         .groupBy(pickup_zone, dropoff_zone)
-        .agg(*_route_measures(pickup_time, dropoff_time, printed))
+        .agg(
+            F.count("*").alias("trip_count"),
+            *[F.avg(value).alias(name) for name, (value, _) in _route_means(pickup_time, dropoff_time).items()],
+        )
     )
 
 

@@ -13,13 +13,18 @@ def conform(df: DataFrame, schema: T.StructType = TRIP_SCHEMA) -> DataFrame:
     """Cast the columns that ``schema`` names and keep all others.
 
     A column that already has its type is passed on as it is, so filters on it
-    still reach the parquet reader.
+    still reach the parquet reader. So is an integer of another width: a cast
+    would keep filters on zones and codes from the reader.
     """
     wanted = {field.name: field.dataType for field in schema}
+
+    def fits(got: T.DataType, want: T.DataType) -> bool:
+        return got == want or (isinstance(got, T.IntegralType) and isinstance(want, T.IntegralType))
+
     return df.select(
         *[
             F.col(f"`{field.name}`").cast(wanted[field.name]).alias(field.name)
-            if field.name in wanted and field.dataType != wanted[field.name]
+            if field.name in wanted and not fits(field.dataType, wanted[field.name])
             else F.col(f"`{field.name}`")
             for field in df.schema
         ]
@@ -37,16 +42,18 @@ def write_trips(
     format: str = "parquet",
     partition_by: str | None = None,
     mode: str = "overwrite",
+    rows_per_file: int = 0,
 ) -> None:
     """Write a table as parquet (S2) or, when asked for, as CSV with header (S3).
 
     With ``partition_by`` the rows are first rebalanced on that column:
     adaptive execution gives small values one file each and splits a value that
-    holds a large share of the rows over many writers.
+    holds a large share of the rows over many writers. ``rows_per_file`` bounds
+    the rows of a file, 0 does not.
     """
     if partition_by:
         df = df.hint("rebalance", F.col(partition_by))
-    writer = df.write.mode(mode).format(format)
+    writer = df.write.mode(mode).format(format).option("maxRecordsPerFile", rows_per_file)
     if format == "csv":
         writer = writer.option("header", True)
     if partition_by:
