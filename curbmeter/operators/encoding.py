@@ -32,7 +32,9 @@ def zone_encoder(df: DataFrame, zone: str = PICKUP_ZONE) -> DataFrame:
     zones = group_counts(df, zone).select(
         zone, F.shiftright(F.col(zone).cast("long"), 16).alias("_block")
     )
-    # Counting the zones, not rows, keeps both uses of ``zones`` the same plan, run once.
+    # The join adds this filter to one side only, and counting rows would prune the other
+    # differently; as it is, both uses of ``zones`` are the same plan, run once.
+    zones = zones.where(F.col("_block").isNotNull())
     blocks = zones.groupBy("_block").agg(F.count(zone).alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_size")
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(zone)) - 1

@@ -21,7 +21,8 @@ from curbmeter.operators.encoding import (
 from curbmeter.schema import PICKUP_ZONE, RUSH_HOURS, WEEKDAY_NAMES, WEEKEND_DAYS
 from curbmeter.session import broadcast_if_small, cut_lineage
 
-CELLS_PER_TASK = 8000
+# Cells of a training task: each is worked on in every level of every tree.
+CELLS_PER_TASK = 2000
 # Forest settings, and the labels of the features in reports.
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 5, "seed": 42}
 FEATURE_LABELS = {

@@ -3,6 +3,7 @@ import pytest
 from checks.inputs import cleaned_trips
 from curbmeter.operators import encoding, evaluation
 from curbmeter.plans import forecasting
+from curbmeter.plans.analyses import run_analyses
 from curbmeter.plans.answers import answer
 
 
@@ -103,3 +104,44 @@ def test_forecast_by_text(spark, sf_dir, forecaster):
 def test_full_settings_are_the_default():
     forest = forecasting.forest()
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (100, 15, 5)
+
+
+def test_training_does_not_depend_on_the_layout_of_its_input(spark, forecaster):
+    few = forecasting.forest(numTrees=4, maxDepth=4)
+    predictions = []
+    for parts in (1, 7):
+        cube = forecaster.cube.repartition(parts, "demand")
+        table = forecasting.training_table(cube, forecaster.encoder, cells_per_task=500)
+        rows = few.fit(table).transform(table).select("PULocationID", "pickup_hour", "pickup_weekday", "prediction")
+        predictions.append(sorted(tuple(r) for r in rows.collect()))
+    assert predictions[0] == predictions[1]
+
+
+def test_importance_is_ascending(spark, forecaster):
+    rows = forecasting.feature_importance(forecaster.model, spark).collect()
+    shares = [r["importance"] for r in rows]
+    assert len(rows) == 7 and shares == sorted(shares) and sum(shares) == pytest.approx(1)
+
+
+def scans(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Scan parquet") + plan.count("Scan ExistingRDD")
+
+
+def test_the_encoder_reads_its_input_once(spark, trips, tmp_path):
+    trips({}, {"PULocationID": 70000}).write.parquet(str(tmp_path / "t"))
+    assert scans(encoding.zone_encoder(spark.read.parquet(str(tmp_path / "t")))) == 1
+
+
+def test_the_analysis_chain_reads_the_trips_twice(spark, trips, tmp_path):
+    trips({}, {"PULocationID": 7, "payment_type": None}).write.parquet(str(tmp_path / "t"))
+    sets = run_analyses(spark.read.parquet(str(tmp_path / "t")), distributions=False)
+    for name, df in sets.items():
+        assert "Scan parquet" not in df._jdf.queryExecution().executedPlan().toString(), name
+    assert sets["payment_share"].collect()[0]["share_pct"] == 50.0
+    assert run_analyses(spark.read.parquet(str(tmp_path / "t"))).keys() - sets.keys() == {
+        "distance_fare_clip", "fare_by_passengers", "tip_rate"
+    }
+    empty = run_analyses(trips({}).limit(0), distributions=False)
+    assert empty["hourly_by_daytype"].count() == 48 and empty["od_flows"].count() == 0

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from curbmeter.functions.timing import with_duration, with_time_features
@@ -53,7 +54,7 @@ def test_types_are_cast_and_other_columns_kept(spark):
     df = spark.sql("select 1L as VendorID, 2 as passenger_count, timestamp'2024-01-01 05:00:00' as tpep_pickup_datetime, 'x' as note")
     types = dict(conform(df).dtypes)
     assert types == {
-        "VendorID": "int", "passenger_count": "double",
+        "VendorID": "bigint", "passenger_count": "double",
         "tpep_pickup_datetime": "timestamp_ntz", "note": "string",
     }
 
@@ -66,7 +67,7 @@ def test_preview(trips):
 
 def test_zones(spark, trips, tmp_path):
     path = tmp_path / "zones.csv"
-    path.write_text('"LocationID","Borough","Zone","service_zone"\n100,"North","Park, East","Boro"\n264,"Unknown","N/A","N/A"\n')
+    path.write_text('"LocationID","Borough","Zone","service_zone"\n100,"North","Park, East","Boro"\n7,"South","N/A","N/A"\n')
     zones = read_zones(spark, str(path))
     assert {r["Zone"] for r in zones.collect()} == {"Park, East", "N/A"}
     named = with_zone_names(trips({}, {"PULocationID": 5}), zones).collect()
@@ -124,3 +125,11 @@ def test_stream_gives_what_the_batch_gives(spark, trips, tmp_path):
         assert got.exceptAll(want).count() == 0
     finally:
         query.stop()
+
+
+def test_filters_on_wide_ids_reach_the_reader(spark, trips, tmp_path):
+    wide = trips({}, {"PULocationID": 1}).withColumn("PULocationID", F.col("PULocationID").cast("long"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = read_trips(spark, str(tmp_path / "wide")).where("PULocationID = 100")
+    assert "EqualTo(PULocationID,100)" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 1
