@@ -37,13 +37,16 @@ def columns_of_kind(df: DataFrame, kind: str) -> list:
     return [f.name for f in df.schema if isinstance(f.dataType, classes[kind])]
 
 
-def schema_profile(df: DataFrame) -> DataFrame:
-    """Position, name, type and kind of each column with the row count."""
+def schema_profile(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Position, name, type and kind of each column with the row count.
+
+    ``rows`` is a one-row table with the column ``rows`` where they were counted before.
+    """
     kinds = {c: k for k in ("numeric", "text", "datetime") for c in columns_of_kind(df, k)}
     described = [
         (i, name, dtype, kinds.get(name, "other")) for i, (name, dtype) in enumerate(df.dtypes)
     ]
-    rows = df.agg(F.count("*").alias("rows"))
+    rows = df.agg(F.count("*").alias("rows")) if rows is None else rows
     entries = F.array(
         *[
             F.struct(
@@ -259,13 +262,14 @@ def _domains(df: DataFrame, domains) -> list:
     return [d for d in domains if d.column in df.columns]
 
 
-def domain_summary(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
+def domain_summary(df: DataFrame, domains=CODE_DOMAINS, counts: DataFrame | None = None) -> DataFrame:
     """Total, missing, present and distinct values per code column.
 
     Counts the value table of :func:`domain_values`, which is small: a plain
-    distinct count of several columns would first multiply every row.
+    distinct count of several columns would first multiply every row. The domain
+    reports take that table as ``counts`` where it was made before.
     """
-    values = _code_counts(df, domains)
+    values = code_counts(df, domains) if counts is None else counts
     return values.groupBy("column").agg(
         F.sum("rows").alias("rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("rows")).otherwise(0)).alias("nulls"),
@@ -291,7 +295,7 @@ def _code_text(df: DataFrame, column: str) -> Column:
     return value.cast("string")
 
 
-def _code_counts(df: DataFrame, domains) -> DataFrame:
+def code_counts(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     """Rows per code column and value, the missing value included."""
     names = [d.column for d in _domains(df, domains)]
     texts = df.select(*[_code_text(df, c).alias(c) for c in names])
@@ -302,7 +306,7 @@ def _code_counts(df: DataFrame, domains) -> DataFrame:
     )
 
 
-def domain_values(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
+def domain_values(df: DataFrame, domains=CODE_DOMAINS, counts: DataFrame | None = None) -> DataFrame:
     """Every value of the code columns: rows, share, meaning, in or out of the domain.
 
     Membership of a trimmed domain looks at the stripped value, the rows are
@@ -312,7 +316,7 @@ def domain_values(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     known = _domains(df, domains)
     dictionary = F.broadcast(code_table(df.sparkSession, known))
     trimmed = [d.column for d in known if d.trimmed]
-    counts = _code_counts(df, domains)
+    counts = code_counts(df, domains) if counts is None else counts
     sizes = counts.groupBy("column").agg(F.sum("rows").alias("all_rows"))
     value = F.when(F.col("column").isin(*trimmed), stripped("value")).otherwise(F.col("value"))
     standard = dictionary.where("is_standard").select(
@@ -340,7 +344,7 @@ def domain_values(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     )
 
 
-def domain_anomalies(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
+def domain_anomalies(df: DataFrame, domains=CODE_DOMAINS, counts: DataFrame | None = None) -> DataFrame:
     """Rows with a value out of the domain per code column, 0 when there are none."""
     known = _domains(df, domains)
     standard = code_table(df.sparkSession, known).where("is_standard")
@@ -354,7 +358,7 @@ def domain_anomalies(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
         .otherwise(0)
     )
     return (
-        _code_counts(df, domains)
+        (code_counts(df, domains) if counts is None else counts)
         .withColumn("lookup", lookup)
         .join(F.broadcast(allowed), ["column", "lookup"], "left")
         .groupBy("column")
@@ -362,9 +366,9 @@ def domain_anomalies(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     )
 
 
-def domain_anomaly_total(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
+def domain_anomaly_total(df: DataFrame, domains=CODE_DOMAINS, counts: DataFrame | None = None) -> DataFrame:
     """Anomalous values over all code columns; a row bad twice counts twice."""
-    return domain_anomalies(df, domains).agg(
+    return domain_anomalies(df, domains, counts).agg(
         F.coalesce(F.sum("anomalous"), F.lit(0)).alias("anomalous")
     )
 

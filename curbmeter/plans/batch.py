@@ -49,18 +49,20 @@ def counting_audits(raw: DataFrame, quartiles: DataFrame) -> dict:
     }
 
 
-def distribution_audits(raw: DataFrame, basics: DataFrame, quartiles: DataFrame) -> dict:
-    """The audits that need more than counts."""
+def distribution_audits(raw: DataFrame, basics: DataFrame, quartiles: DataFrame, rows: DataFrame) -> dict:
+    """The audits that need more than counts; those of code columns share one small table of values."""
     numeric = profile.columns_of_kind(raw, "numeric")
+    codes = cut_lineage(profile.code_counts(raw))
     return {
-        "schema": profile.schema_profile(raw),
+        "schema": profile.schema_profile(raw, rows),
         "first_rows": preview(raw),
         "last_rows": preview(raw, last=True),
         "describe": profile.describe(raw, numeric, basics=basics, quartiles=quartiles),
         "passenger_counts": profile.value_distribution(raw),
-        "domains": profile.domain_summary(raw),
-        "domain_values": profile.domain_values(raw),
-        "domain_anomalies": profile.domain_anomalies(raw),
+        "domains": profile.domain_summary(raw, counts=codes),
+        "domain_values": profile.domain_values(raw, counts=codes),
+        "domain_anomalies": profile.domain_anomalies(raw, counts=codes),
+        "anomaly_total": profile.domain_anomaly_total(raw, counts=codes),
         "duplicates": profile.duplicate_count(raw),
     }
 
@@ -93,5 +95,7 @@ def run_batch(
         reader = reader.option("header", True).schema(type(raw.schema)(kept))
     cleaned = reader.format(format).load(target)
     reports["quality"] = profile.quality_table(totals, cleaned.count())
-    reports.update(distribution_audits(raw, basics, quartiles))
+    reports["null_columns"] = reports["nulls"].agg(F.count("*").alias("columns_with_nulls"))
+    rows = totals.select(F.col("rows_before").alias("rows"))
+    reports.update(distribution_audits(raw, basics, quartiles, rows))
     return BatchResult(cleaned, reports)

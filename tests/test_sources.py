@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from curbmeter.functions.timing import with_duration, with_time_features
+from curbmeter.operators import profile
 from curbmeter.operators.clean import keep_valid
 from curbmeter.plans.batch import run_batch
 from curbmeter.schema import TRIP_SCHEMA
@@ -101,6 +102,15 @@ def test_batch_run(spark, trips, tmp_path):
     assert result.reports["quality"].count() == 8
     for name, report in result.reports.items():
         assert report.columns and report.count() >= 0, name
+    raw = read_trips(spark, source)
+    single = {
+        "schema": profile.schema_profile, "domains": profile.domain_summary, "domain_values": profile.domain_values,
+        "domain_anomalies": profile.domain_anomalies, "anomaly_total": profile.domain_anomaly_total,
+        "null_columns": profile.null_column_count,
+    }
+    for name, operator in single.items():
+        assert sorted(result.reports[name].collect()) == sorted(operator(raw).collect()), name
+        assert "Scan parquet" not in result.reports[name]._jdf.queryExecution().executedPlan().toString(), name
 
 
 def test_batch_run_to_csv(spark, trips, tmp_path):
