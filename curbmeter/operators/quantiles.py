@@ -4,8 +4,10 @@ The built-in ``percentile`` gathers every distinct value of a group in one
 task. Here a quantile is found the way one looks up a word in a dictionary:
 
 1. count rows in coarse buckets (about 0.8 % of the value wide) and see from
-   the running total which bucket holds the wanted rank,
-2. read only the rows of these buckets again and count them per value,
+   the running total which bucket holds the wanted rank; a bucket of one value
+   is an answer already,
+2. read only the rows of the other buckets again and count them per value;
+   where the wanted buckets are few, their ends are literals of the scan,
 3. within the bucket, first find the right slot of an even grid and then the
    value in that slot.
 
@@ -19,8 +21,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from curbmeter.session import broadcast_if_small, cut_lineage
 
@@ -50,6 +55,25 @@ def tall(df: DataFrame, columns, by=()) -> DataFrame:
     )
 
 
+
+def without_null_keys(df: DataFrame, by) -> DataFrame:
+    """Rows whose group is known; a null is no group in any of the forms."""
+    for key in by:
+        df = df.where(F.col(key).isNotNull())
+    return df
+
+
+def _within(df: DataFrame, column: str, low: float, high: float) -> Column:
+    """``low <= column <= high``, as a comparison that the reader can push down where that is exact."""
+    kind = df.schema[column].dataType
+    value = F.col(f"`{column}`")
+    whole = isinstance(kind, T.IntegralType)
+    if isinstance(kind, (T.FloatType, T.DoubleType)) or whole and max(abs(low), abs(high)) < 2**53:
+        ends = [F.lit(int(x) if whole else x).cast(kind) for x in (low, high)]
+        return value.between(*ends)
+    return value.cast("double").between(low, high)
+
+
 def _running(counts: DataFrame, group: list, order: str) -> DataFrame:
     """Add the ranks ``[first, past)`` that a row's ``n`` values take in its group."""
     past = F.sum("n").over(Window.partitionBy(*group).orderBy(order))
@@ -71,58 +95,45 @@ def exact_quantiles(
     """Quantiles with linear interpolation, nulls and NaN left out.
 
     Returns ``(*by, column, p, value)``; a group and column without values has
-    no row. The wanted buckets are at most two per probability, column and
-    group. ``few_groups`` states that ``by`` has a small fixed domain; then, as
-    without ``by``, they are broadcast. Otherwise they are checkpointed and
-    counted at once, and broadcast only if they are few: a shuffle join would
+    no row, nor have rows with a null in ``by``. The wanted buckets are at most
+    two per probability, column and group. Without ``by``, or if ``few_groups``
+    states that it has a small fixed domain, they are fetched at the call, and
+    their ends are part of the second scan's filter. Otherwise they are
+    checkpointed, and broadcast only if they are few: a shuffle join would
     move every value. The slot step is taken at every size; ``grid`` False leaves
     it out for a caller whose buckets are known to fit a task.
     """
-    bounded = few_groups or not by
-    small = F.broadcast if bounded else broadcast_if_small
+    df = without_null_keys(df, by)
     keys = [*by, "column"]
-    values = (
-        tall(df, columns, by)
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("bucket", _bucket(F.col("value")))
-    )
-
-    buckets = values.groupBy(*keys, "bucket").agg(
+    values = _values(df, columns, by)
+    buckets = values.withColumn("bucket", _bucket(F.col("value"))).groupBy(*keys, "bucket").agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    ranked = _running(buckets.withColumn("total", total), keys, "bucket")
-    position = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("p"),
-                side(at).cast("long").alias("rank"),
-                (at - F.floor(at)).alias("part"),
-            )
-            for p, at in zip(probabilities, position)
-            for side in (F.floor, F.ceil)
-        ]
-    )
-    # lo and hi go along as keys: every use of the bucket counts then has the
-    # same columns, and Spark computes them once.
+    hits = _wanted_buckets(buckets, keys, probabilities)
     place = [*keys, "bucket", "lo", "hi"]
-    hits = ranked.select(
-        *place,
-        "first",
-        F.explode(F.array_distinct(F.filter(wanted, lambda w: _holds(w["rank"])))).alias("w"),
-    ).select(*place, "w.p", "w.part", (F.col("w.rank") - F.col("first")).alias("rank"))
-
-    if not bounded:
+    if few_groups or not by:
+        small = F.broadcast
+        rows = hits.collect()
+        spread = [r for r in rows if r["lo"] < r["hi"]]
+        known = _rows(df, [r for r in rows if r["lo"] == r["hi"]], hits.schema)
+        hits = _rows(df, spread, hits.schema)
+        ends = sorted({(r["column"], r["lo"], r["hi"]) for r in spread})
+        inside = reduce(Column.__or__, [_within(df, *end) for end in ends], F.lit(False))
+        again = _values(df.where(inside), columns, by)
+    else:
+        small = broadcast_if_small
         hits = cut_lineage(hits)
-    near = values.join(small(hits.select(*place).distinct()), [*keys, "bucket"])
+        known = hits.where("lo = hi")
+        hits = hits.where("lo < hi")
+        again = values
+
+    near = again.withColumn("bucket", _bucket(F.col("value"))).join(
+        small(hits.select(*place).distinct()), [*keys, "bucket"]
+    )
     if grid:
         near = near.withColumn(
             "slot",
-            F.when(
-                F.col("hi") > F.col("lo"),
-                F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS),
-            ).otherwise(0).cast("int"),
+            F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS).cast("int"),
         )
         cell = [*place, "slot"]
         distinct = near.groupBy(*cell, "value").agg(F.count("*").alias("n"))
@@ -132,7 +143,7 @@ def exact_quantiles(
             .where(_holds(F.col("rank")))
             .select(*cell, "p", "part", (F.col("rank") - F.col("first")).alias("rank"))
         )
-        if not bounded:
+        if small is broadcast_if_small:
             hits = cut_lineage(hits)
         distinct = distinct.join(small(hits.select(*cell).distinct()), cell, "left_semi")
     else:
@@ -140,6 +151,8 @@ def exact_quantiles(
         distinct = near.groupBy(*cell, "value").agg(F.count("*").alias("n"))
 
     found = _running(distinct, cell, "value").join(small(hits), cell).where(_holds(F.col("rank")))
+    columns = [*keys, "p", "part", "value"]
+    found = found.select(*columns).unionAll(known.withColumn("value", F.col("lo")).select(*columns))
     low, high = F.min("value"), F.max("value")
     return found.groupBy(*keys, "p").agg(
         F.when(low == high, low)
@@ -148,13 +161,48 @@ def exact_quantiles(
     )
 
 
+def _values(df: DataFrame, columns, by) -> DataFrame:
+    return tall(df, columns, by).where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def _rows(df: DataFrame, rows: list, schema: T.StructType) -> DataFrame:
+    """The rows as a local table of the plan; from Arrow they take no job."""
+    columns = zip(*rows) if rows else [()] * len(schema)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]
+    return df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+
+
+def _wanted_buckets(buckets: DataFrame, keys: list, probabilities) -> DataFrame:
+    """``(*keys, bucket, lo, hi, p, part, rank)``: the buckets that hold a wanted rank, with the rank in them."""
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    ranked = _running(buckets.withColumn("total", total), keys, "bucket")
+    position = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("p"),
+                side(at).cast("long").alias("rank"),
+                (at - F.floor(at)).alias("part"),
+            )
+            for p, at in zip(probabilities, position)
+            for side in (F.floor, F.ceil)
+        ]
+    )
+    place = [*keys, "bucket", "lo", "hi"]
+    return ranked.select(
+        *place,
+        "first",
+        F.explode(F.array_distinct(F.filter(wanted, lambda w: _holds(w["rank"])))).alias("w"),
+    ).select(*place, "w.p", "w.part", (F.col("w.rank") - F.col("first")).alias("rank"))
+
+
 def quantiles(
     df: DataFrame, columns, probabilities, by=(), few_groups: bool = False, exact: bool = True
 ) -> DataFrame:
     """:func:`exact_quantiles`, or one cheap pass of ``percentile_approx``."""
     if exact:
         return exact_quantiles(df, columns, probabilities, by, few_groups)
-    wide = df.groupBy(*by).agg(
+    wide = without_null_keys(df, by).groupBy(*by).agg(
         *[
             F.percentile_approx(
                 F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")),

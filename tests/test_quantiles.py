@@ -87,6 +87,52 @@ def test_approximate_form_has_the_same_columns(spark):
         assert abs(r["value"] - gaps[r["g"]]) <= 2
 
 
+def plan_of(df):
+    execution = df._jdf.queryExecution()
+    return df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
+
+
+def test_the_second_scan_gets_the_ends_of_the_wanted_buckets(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(5000).selectExpr("id * 3 as a", "id / 7D as b", "cast(id / 9 as decimal(12, 4)) as c").write.parquet(path)
+    df = spark.read.parquet(path)
+    found = exact_quantiles(df, ["a", "b"], [0.5])
+    plan = plan_of(found)
+    assert "GreaterThanOrEqual(a,7" in plan and "LessThanOrEqual(b,3" in plan
+    found = exact_quantiles(df, ["a", "b", "c"], [0.5])
+    rows = df.collect()
+    for r in found.collect():
+        assert r["value"] == pytest.approx(np.median([float(x[r["column"]]) for x in rows]), rel=1e-12)
+
+
+def test_buckets_of_one_value_need_no_second_scan(spark, tmp_path):
+    path = str(tmp_path / "codes")
+    spark.range(1000).selectExpr("cast(id % 5 as int) as v").write.parquet(path)
+    df = spark.read.parquet(path)
+    got = exact_quantiles(df, ["v"], [0.25, 0.5])
+    assert "Scan parquet" not in plan_of(got)
+    assert {r["p"]: r["value"] for r in got.collect()} == {0.25: 1.0, 0.5: 2.0}
+
+
+def test_numbers_beyond_the_doubles_whole_ones(spark):
+    big = [2**53 + i for i in range(1, 60)] + [2**62 + 1]
+    df = spark.createDataFrame([(n,) for n in big], "v long")
+    check([float(n) for n in big], found(df))
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_null_is_no_group(spark, few, exact):
+    df = spark.createDataFrame([(None, 1.0), (1, 2.0), (1, 2.0)], "g int, v double")
+    assert [r["g"] for r in quantiles(df, ["v"], [0.5], ["g"], few, exact).collect()] == [1]
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_empty_tables_have_no_quantiles(spark, by):
+    df = spark.createDataFrame([], "g int, v double")
+    assert exact_quantiles(df, ["v"], [0.5], by, few_groups=True).collect() == []
+
+
 def test_rows_are_counted_before_they_are_shuffled(spark):
     df = spark.range(10).selectExpr("cast(id as double) as v", "cast(id as double) as w")
     plan = exact_quantiles(df, ["v", "w"], [0.5], grid=True)
