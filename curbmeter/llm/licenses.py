@@ -1,15 +1,19 @@
 """Licences of files: TF-IDF cosine to templates, then the nearest directory above.
 
-A file's header passages are its lines that name a licence; a licence file
-(``LICENSE``, ``COPYING``, ``NOTICE``) is one passage as a whole. Passages and
-templates are sparse TF-IDF vectors, and a passage takes the template of the
-largest cosine if that is large enough. A file without a licence of its own
+A file's header passages are its lines that name a licence. A licence file
+(``LICENSE``, ``COPYING``, ``NOTICE``) has more: the whole text, and at every
+word the passage of each template's length, if it names a licence. Passages and
+templates are sparse TF-IDF vectors, and a file takes the template of the
+largest cosine if that is large enough. Whole licence files are compared with
+full licence texts as well. A file without a licence of its own
 inherits that of the licence file in the nearest directory above it. All of it
 is DataFrame work.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +40,39 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal public domain dedication."),
 )
+# Titles and headers of full texts, looked for in licence files only.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+)
+# Licences whose full texts lie in ``license_texts``.
+TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
 # What a line must hold to be looked at; the lines of every template do.
 MARKER = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|spdx|free software"
+# Words of which a passage that holds the above has one.
+MARKER_WORD = r"licen[cs]e|copyright|permission|redistribut|domain|commons|spdx|software"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.-][^/]*)?$"
 LEAST_COSINE = 0.6
+# Long texts share their common words: with logarithms of counts, other licences reach 0.89 of a full text.
+LEAST_TEXT_COSINE = 0.9
 
 
-def templates_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    return spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, text string")
+def templates_frame(spark: SparkSession, templates=TEMPLATES, titles=TITLES, texts=TEXTS) -> DataFrame:
+    """``template, license, text, form``; the form is ``line``, or for licence files only ``title`` or ``text``."""
+    full = [(n, pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode(), "text") for n in texts]
+    rows = [(n, t, "line") for n, t in templates] + [(n, t, "title") for n, t in titles] + full
+    return spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(rows)], "template int, license string, text string, form string"
+    )
 
 
 def _terms(text):
@@ -51,43 +80,68 @@ def _terms(text):
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[0-9]+(?:\.[0-9]+)*)"), F.lit(1))
 
 
-def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unknown) -> DataFrame:
-    """``keys, term, weight`` with vectors of length 1."""
+def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unknown, logs: bool = False) -> DataFrame:
+    """``keys, term, weight`` with vectors of length 1; ``logs`` takes 1 + log of a term's count."""
     terms = passages.select(*keys, F.explode(_terms(F.col("text"))).alias("term")).groupBy(*keys, "term")
-    weighed = terms.agg(F.count(F.lit(1)).alias("tf")).join(broadcast_if_small(idf), "term", "left")
+    count = F.count(F.lit(1))
+    weighed = terms.agg((1 + F.log(count) if logs else count).alias("tf")).join(broadcast_if_small(idf), "term", "left")
     weighed = weighed.withColumn("weight", F.col("tf") * F.coalesce("idf", unknown))
     lengths = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     return weighed.join(lengths, keys).select(*keys, "term", (F.col("weight") / F.col("length")).alias("weight"))
 
 
+def _windows(files: DataFrame, lengths: list[int]) -> DataFrame:
+    """``key, text``: the runs of so many words, at every word, that hold the marker; a shorter text is one run."""
+    words = files.select("key", _terms(F.col("text")).alias("terms"))
+    marks = F.filter(F.transform("terms", lambda t, i: F.when(t.rlike(MARKER_WORD), i)), lambda i: i.isNotNull())
+    words = words.withColumn("marks", marks).where(F.size("marks") > 0)
+    lengths = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    sized = words.select("key", "terms", "marks", F.explode(lengths).alias("n"))
+    last = F.greatest(F.size("terms") - F.col("n"), F.lit(0))
+    around = F.transform("marks", lambda m: F.sequence(F.greatest(m - F.col("n") + 1, F.lit(0)), F.least(m, last)))
+    starts = F.array_distinct(F.flatten(around))
+    runs = F.transform(starts, lambda s: F.array_join(F.slice("terms", s + 1, F.col("n")), " "))
+    return sized.select("key", F.explode(F.filter(F.array_distinct(runs), lambda r: r.rlike(MARKER))).alias("text"))
+
+
 def own_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``key, whole, license, cosine`` for texts with a licence, from ``key, whole, text``; one row per key and form."""
+    if "form" not in templates.columns:
+        templates = templates.withColumn("form", F.lit("line"))
     templates = store(templates, "templates")
-    n = templates.count()
-    documents = templates.select("template", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    short, full = templates.where("form <> 'text'"), templates.where("form = 'text'")
+    n = templates.where("form = 'line'").count()
+    documents = templates.where("form = 'line'").select("template", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     counted = documents.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = store(counted.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     unknown = F.log(F.lit(1.0 + n)) + 1
-    known = store(_vectors(templates, ["template"], idf, unknown), "known")
-    lines = F.when(F.col("whole"), F.array("text")).otherwise(
-        F.filter(F.split("text", "\r\n|\n|\r"), lambda line: line.rlike(MARKER))
-    )
+    known = store(_vectors(short, ["template"], idf, unknown), "known")
+    names = broadcast_if_small(templates.select("template", "license", "form"))
+    # One row per length of a title or line.
+    lengths = [r["n"] for r in short.select(F.size(_terms(F.col("text"))).alias("n")).distinct().where("n > 0").collect()]
+    lines = F.filter(F.split("text", "\r\n|\n|\r"), lambda line: line.rlike(MARKER))
+    lines = F.when(F.col("whole"), F.concat(F.array("text"), lines)).otherwise(lines)
     # The same line of many files is one passage.
     passages = files.select("key", "whole", F.explode(F.array_distinct(lines)).alias("text"))
+    passages = passages.unionByName(_windows(files.where("whole"), lengths).withColumn("whole", F.lit(True)))
     passages = store(passages.select("*", F.xxhash64("text").alias("passage")), "passages")
     texts = passages.groupBy("passage").agg(F.first("text").alias("text"))
     vectors = _vectors(texts, ["passage"], idf, unknown)
-    products = (
-        vectors.join(broadcast_if_small(known.withColumnRenamed("weight", "other")), "term")
-        .groupBy("passage", "template")
-        .agg(F.sum(F.col("weight") * F.col("other")).alias("cosine"))
-        .where(F.col("cosine") >= least)
-        .join(broadcast_if_small(templates.select("template", "license")), "template")
-    )
-    # The largest cosine, then the smaller name; six digits settle the order of summation.
-    best = F.min(F.struct((-F.round("cosine", 6)).alias("minus"), "license")).alias("best")
-    of_passage = store(products.groupBy("passage").agg(best), "best")
-    chosen = passages.select("key", "whole", "passage").join(broadcast_if_small(of_passage), "passage")
+
+    def products(of: DataFrame, key: str, templates: DataFrame, least: float) -> DataFrame:
+        pairs = of.join(broadcast_if_small(templates.withColumnRenamed("weight", "other")), "term").groupBy(key, "template")
+        cosines = pairs.agg(F.sum(F.col("weight") * F.col("other")).alias("cosine")).where(F.col("cosine") >= least)
+        # The largest cosine, then the smaller name; six digits settle the order of summation.
+        return cosines.join(names, "template").withColumn("best", F.struct((-F.round("cosine", 6)).alias("minus"), "license"))
+
+    of_passage = products(vectors, "passage", known, least).groupBy("passage")
+    of_passage = store(of_passage.agg(F.min("best").alias("any"), F.min(F.when(F.col("form") == "line", F.col("best"))).alias("line")), "best")
+    best = F.when(F.col("whole"), F.col("any")).otherwise(F.col("line")).alias("best")
+    chosen = passages.select("key", "whole", "passage").join(broadcast_if_small(of_passage), "passage").select("key", "whole", best)
+    known_texts = store(_vectors(full, ["template"], idf, unknown, True), "known_texts")
+    whole = _vectors(files.where("whole").select("key", "text"), ["key"], idf, unknown, True)
+    of_text = products(whole, "key", known_texts, max(least, LEAST_TEXT_COSINE)).select("key", F.lit(True).alias("whole"), "best")
+    chosen = chosen.unionByName(of_text).where("best is not null")
     return chosen.groupBy("key", "whole").agg(F.min("best").alias("best")).select(
         "key", "whole", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine")
     )

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 
 import numpy as np
 import pytest
@@ -132,6 +133,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(files.limit(0), licenses.templates_frame(spark)).count() == 0
 
 
+def test_full_license_texts(spark):
+    def full(name):
+        with open(os.path.join(os.path.dirname(licenses.__file__), "license_texts", name + ".txt")) as file:
+            return file.read()
+
+    prose = "Notes of the maintainers about nothing in particular. " * 60
+    rows = [(n + "/LICENSE", full(n).replace("<year>", "2021").replace("<copyright holders>", "Ada Example and others")) for n in licenses.TEXTS]
+    apache = "you may not use this file except\nin compliance with the License. You may obtain a copy of the License\nat http://www.apache.org/licenses/LICENSE-2.0\n"
+    rows += [("p/NOTICE", prose + apache + prose), ("l/COPYING", prose + "\nLicensed under CC BY-NC 4.0.\n" + prose), ("none/LICENSE", prose)]
+    rows += [("sa/LICENSE", "Creative Commons\nAttribution-ShareAlike 4.0 International Public License\n\n" + prose), ("sa/b/c.txt", "")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(files, licenses.templates_frame(spark)).collect()}
+    assert {p: got[p] for p in got if p.split("/")[0] in licenses.TEXTS} == {n + "/LICENSE": (n, "own") for n in licenses.TEXTS}
+    assert got["p/NOTICE"] == ("Apache-2.0", "own") and got["l/COPYING"] == ("CC-BY-NC-4.0", "own") and got["none/LICENSE"] == (None, None)
+    assert got["sa/LICENSE"] == ("CC-BY-SA-4.0", "own") and got["sa/b/c.txt"] == ("CC-BY-SA-4.0", "inherited")
+
+
 def test_pipeline_stages_keep_the_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
