@@ -124,6 +124,26 @@ def test_replies(spark):
     assert quotations.conversations_by_reply(messages.limit(0)).count() == 0
 
 
+def test_replies_to_excerpts(spark):
+    rows = [
+        (1, 0, "One line.\nTwo lines.\nThree lines."),
+        (1, 1, "First part\nof it.\n\nSecond part.\n\nThird part."),
+        (1, 2, "> One line.\nanswer a1\n> Two lines.\nanswer a2\nand more\n\nlast words"),
+        (1, 3, "Two lines."),
+        (1, 4, "> One line.\n> Two lines.\nyes"),  # two lines of three: 0 has both, 3 only one
+        (1, 5, "> First part\n> of it.\n> \n> Third part.\nno"),  # two paragraphs of three
+        (1, 6, "> > One line.\n> answer a1\n> > Two lines.\n> answer a2\n> and more\n> \n> last words\nhm"),  # inline answers in full
+        (1, 7, "> answer a2\n> and more\nok"),
+        (1, 8, "> something else\n> Third part.\n> no\nwell"),  # the longest line that is known
+        (1, 9, "> no such\n> lines\nwell"),
+        (2, 1, "> One line.\n> Two lines."),
+    ]
+    messages = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quotations.conversations_by_reply(messages).collect()}
+    want = [None, None, 0, None, 0, 1, 2, 2, 1, None]
+    assert got == {(2, 1): None} | {(1, t): parent for t, parent in enumerate(want)}
+
+
 def test_licenses(spark):
     rows = [("a/b/c.txt", "hello\nReleased under the MIT License.\n"), ("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/d.txt", None), ("a/x/y/z.py", "nothing"), ("q.txt", "none here, a licence"), (None, "Licensed under CC BY-NC 4.0."), ("a/x/COPYING", "random words only")]
     files = spark.createDataFrame(rows, "path string, text string").withColumn("license", F.lit(1))
