@@ -4,7 +4,7 @@ A tree hashes every vector to a long string of bits, each the side of a random
 hyperplane, and keeps the strings sorted; vectors with a common prefix are then
 neighbours in the array. A query descends every tree to its longest matching
 prefixes, and ascends all trees together, one bit at a time, until the prefix
-ranges hold enough candidates. Those are compared by their exact inner product.
+ranges hold enough different rows. Those are compared by their exact inner product.
 
 The index is cut into shards of bounded size, each with a forest of its own,
 and every shard meets the queries in blocks of bounded size; a shard returns
@@ -14,7 +14,9 @@ which is exact: no answer can hold more of them.
 
 For inner products of vectors of any length, each indexed vector gets one more
 coordinate, sqrt(M² - |x|²) with M the greatest length; a query gets 0 there.
-Then the nearest by angle is the nearest by inner product.
+Then the nearest by angle is the nearest by inner product. A large coordinate
+blunts the hashes, so a shard holds vectors of one band of lengths and takes
+their own greatest; bands that are small together are one shard, searched whole.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ TREES = 48
 BITS = 16
 SHARD = 4096
 QUERY_BLOCK = 4096
-# Prefix ranges of a shard are widened until they hold so many rows, counted once per tree that finds them.
+# Prefix ranges of a shard are widened until they hold so many different rows.
 CANDIDATES = 2048
+# Lengths of a band differ by this factor at most.
+BAND = 1.05
 SEED = 11
 
 
@@ -55,25 +59,35 @@ class Forest:
         self.sorted = np.take_along_axis(strings, self.order, axis=0)
 
     def candidates(self, queries: np.ndarray, enough: int):
-        """For each query the rows in its prefix ranges, at the deepest level where all trees together hold enough."""
+        """For each query the rows in its prefix ranges, at the deepest level where all trees together hold enough different ones."""
+        if len(self.vectors) <= enough:
+            for _ in range(len(queries)):
+                yield np.arange(len(self.vectors))
+            return
         strings = hash_strings(np.column_stack([queries, np.zeros(len(queries))]), self.planes)
         trees = range(strings.shape[1])
         low = np.zeros(strings.shape, np.int64)
         high = np.zeros(strings.shape, np.int64)
+        found = np.zeros((len(queries), len(self.vectors)), bool)
         climbing = np.arange(len(queries))
         for rest in range(BITS + 1):
             prefix = strings[climbing] >> rest
             for t in trees:
                 low[climbing, t] = np.searchsorted(self.sorted[:, t], prefix[:, t] << rest)
                 high[climbing, t] = np.searchsorted(self.sorted[:, t], (prefix[:, t] + 1) << rest)
-            climbing = climbing[(high[climbing] - low[climbing]).sum(axis=1) < enough]
+            # Trees that find the same rows add up to more than there are, never to fewer.
+            many = (high[climbing] - low[climbing]).sum(axis=1) >= enough
+            short = ~many
+            for i in np.flatnonzero(many):
+                q = climbing[i]
+                for t in trees:
+                    found[q, self.order[low[q, t] : high[q, t], t]] = True
+                short[i] = np.count_nonzero(found[q]) < enough
+            climbing = climbing[short]
             if len(climbing) == 0:
                 break
-        for q in range(len(queries)):
-            found = np.zeros(len(self.vectors), bool)
-            for t in trees:
-                found[self.order[low[q, t] : high[q, t], t]] = True
-            yield np.flatnonzero(found)
+        for row in found:
+            yield np.flatnonzero(row)
 
 
 def _best(products: np.ndarray, rows: np.ndarray, smallest: np.ndarray, k: int) -> np.ndarray:
@@ -96,6 +110,25 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dimension: int | No
     return out if dimension is None else out.where(F.size("vector") == dimension)
 
 
+def shard_plan(counts: dict[int, int], shard: int, candidates: int) -> list[tuple[int, int, int]]:
+    """``band, first shard, shards`` for each band of lengths and its number of vectors.
+
+    Neighbouring bands of at most ``candidates`` vectors together are one
+    shard, as all of it is compared; any other band has shards of its own.
+    """
+    plan, at, held = [], 0, 0
+    for band, n in sorted(counts.items()):
+        if held and held + n > candidates:
+            at, held = at + 1, 0
+        shards = -(-n // shard) if n > candidates else 1
+        plan.append((band, at, shards))
+        if n > candidates:
+            at += shards
+        else:
+            held += n
+    return plan
+
+
 RESULT = T.StructType(
     [
         T.StructField("class", T.LongType()),
@@ -139,18 +172,22 @@ def nearest(
         return few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
     once = distinct_vectors(usable(index, id_col, vector_col, d), k + 1)
-    base = store(once.select("vector", "ids", length.alias("length"), F.xxhash64("vector").alias("class")), "index")
-    facts = base.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()
+    # The logarithm of a length that is too small for a double is null.
+    band = F.coalesce(F.floor(F.log(length) / F.log(F.lit(BAND))), F.lit(-(1 << 20))).cast("long")
+    base = store(once.select("vector", "ids", band.alias("band"), F.xxhash64("vector").alias("class")), "index")
+    # Doubles have fewer than 30,000 such bands.
+    counts = {r["band"]: r["n"] for r in base.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = store(usable(queries, id_col, vector_col, d).distinct().select("id", "vector", F.xxhash64("vector").alias("class")), "asked")
     blocks = asked.groupBy("class", "vector").agg(F.lit(0).alias("x")).drop("x")
     n_queries = blocks.count()
-    if n_queries == 0 or facts["n"] == 0:
+    if n_queries == 0 or not counts:
         return empty
-    shards, query_blocks = -(-facts["n"] // shard), -(-n_queries // query_block)
-    longest = facts["longest"]
-    # Every shard meets every block of queries; rows are dealt by hash, so both stay near their bounds.
-    left = base.select(
-        F.pmod(F.xxhash64("class", F.lit(1)), F.lit(shards)).cast("int").alias("shard"),
+    plan = shard_plan(counts, shard, candidates)
+    shards, query_blocks = max(first + n for _, first, n in plan), -(-n_queries // query_block)
+    places = F.broadcast(spark.createDataFrame(plan, "band long, first int, shards int"))
+    # Every shard meets every block of queries; a band's rows are dealt by hash, so both stay near their bounds.
+    left = base.join(places, "band").select(
+        (F.col("first") + F.pmod(F.xxhash64("class", F.lit(1)), F.col("shards"))).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(int(query_blocks) - 1))).alias("block"),
         "ids",
         "vector",
@@ -169,7 +206,7 @@ def nearest(
         ids = indexed["ids"].to_numpy()
         smallest = np.array([i[0] for i in ids])
         asked_for = np.stack(wanted["vector"].to_numpy())
-        forest = Forest(vectors, longest, trees)
+        forest = Forest(vectors, np.sqrt((vectors**2).sum(axis=1).max()), trees)
         out_class, out_ids, out_score = [], [], []
         for q, found in enumerate(forest.candidates(asked_for, candidates)):
             products = vectors[found] @ asked_for[q]

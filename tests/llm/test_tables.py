@@ -38,6 +38,38 @@ def test_neighbours_reach_the_recall(spark):
     assert len(found) == 100 and hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal"])
+def test_recall_for_mixed_lengths_at_production_settings(spark, lengths):
+    random = np.random.default_rng(3)
+    v = random.normal(size=(12_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v *= random.lognormal(0, 0.2, len(v))[:, None] if lengths == "lognormal" else 1
+    v[7] *= 3
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = forest.nearest(vectors, vectors.where("vec_id % 200 = 0")).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, got in found.items():
+        products = v @ v[q]
+        products[q] = -99
+        hits += len(set(np.argsort(-products)[:20].tolist()) & got)
+    assert len(found) == 60 and hits >= 0.9 * 20 * 60, hits / 1200
+
+
+def test_candidates_are_different_rows():
+    random = np.random.default_rng(4)
+    v = random.normal(size=(1500, 16))
+    found = list(forest.Forest(v, np.linalg.norm(v, axis=1).max()).candidates(v[:40], 700))
+    assert all(700 <= len(set(rows.tolist())) == len(rows) for rows in found)
+
+
+def test_shards_are_of_one_band_or_searched_whole():
+    plan = forest.shard_plan({-3: 1, 0: 9000, 1: 30, 2: 2000, 5: 2040, 9: 8, 10: 5000}, 4096, 2048)
+    assert plan == [(-3, 0, 1), (0, 1, 3), (1, 4, 1), (2, 4, 1), (5, 5, 1), (9, 5, 1), (10, 6, 2)]
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, [1.0, 2.0]), (40, None), (60, [0.0, 0.0]), (80, [math.nan, 1.0]), (100, [1.0]), (5, [3.0, -1.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0]), (7, [None, 2.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
