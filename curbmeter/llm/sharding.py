@@ -6,7 +6,8 @@ the hash, 16 bits at a time, so the whole directory comes from few aggregations
 and its tables are bounded by the number of shards, not of rows.
 
 Rows whose first hashes are equal throughout (one id that is repeated very
-often) go on with a hash of their text, then of the row's number.
+often) go on with a hash of their text, then of the row's number, each such
+bucket by itself.
 """
 
 from __future__ import annotations
@@ -32,21 +33,21 @@ def _prefix(name: str, n: int):
 
 
 def directory_step(rows: DataFrame, base: int, limit: int) -> DataFrame:
-    """``prefix, depth, shard_bytes`` for every prefix of ``base + 15`` bits among ``rows(hash, bytes)``.
+    """``before, prefix, depth, shard_bytes`` for every bucket ``before`` and prefix of ``base + 15`` bits among ``rows(before, hash, bytes)``.
 
     ``depth`` is the least number of bits from ``base`` on at which the bucket
     fits; null where it does not fit with all of them.
     """
     end = base + STEP
-    sums = rows.groupBy(_prefix("hash", end).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+    sums = rows.groupBy("before", _prefix("hash", end).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
     # One row for each prefix of each length: at most 16 times as many as full prefixes.
-    levels = sums.select("prefix", "bytes", F.explode(F.sequence(F.lit(base), F.lit(end))).alias("depth"))
+    levels = sums.select("before", "prefix", "bytes", F.explode(F.sequence(F.lit(base), F.lit(end))).alias("depth"))
     bucket = F.expr(f"shiftright(prefix, {end} - depth)")
-    totals = levels.groupBy("depth", bucket.alias("bucket")).agg(F.sum("bytes").alias("total"))
-    fits = levels.withColumn("bucket", bucket).join(totals.where(F.col("total") <= limit), ["depth", "bucket"])
-    least = fits.groupBy("prefix").agg(F.min(F.struct("depth", "total")).alias("x"))
-    return sums.select("prefix").join(least, "prefix", "left").select(
-        "prefix", F.col("x.depth").alias("depth"), F.col("x.total").alias("shard_bytes")
+    totals = levels.groupBy("before", "depth", bucket.alias("bucket")).agg(F.sum("bytes").alias("total"))
+    fits = levels.withColumn("bucket", bucket).join(totals.where(F.col("total") <= limit), ["before", "depth", "bucket"])
+    least = fits.groupBy("before", "prefix").agg(F.min(F.struct("depth", "total")).alias("x"))
+    return sums.select("before", "prefix").join(least, ["before", "prefix"], "left").select(
+        "before", "prefix", F.col("x.depth").alias("depth"), F.col("x.total").alias("shard_bytes")
     )
 
 
@@ -82,9 +83,9 @@ def assign_shards(
                 F.col(shard).alias("before"), F.col(hash_).alias("hash"), F.col(n_bytes).alias("bytes")
             )
             step = store(directory_step(open_rows, base, limit), "directory")
-            here = broadcast_if_small(step.select(F.col("prefix").alias(prefix), "depth", F.col("shard_bytes").alias("fit")))
+            here = broadcast_if_small(step.select(F.col("before").alias(shard), F.col("prefix").alias(prefix), "depth", F.col("shard_bytes").alias("fit")))
             out = out.withColumn(prefix, F.when(~F.col(found), _prefix(hash_, base + STEP)))
-            out = out.join(here, prefix, "left")
+            out = out.join(here, [shard, prefix], "left")
             # All bits from base on, or as many as the bucket needs.
             end = F.coalesce("depth", F.lit(base + STEP))
             bits = F.lpad(F.bin(F.expr(f"shiftright(`{prefix}`, {base + STEP} - cast(coalesce(depth, {base + STEP}) as int))")), end.cast("int"), "0")

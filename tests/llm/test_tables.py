@@ -109,6 +109,26 @@ def test_one_repeated_id_is_split_as_well(spark):
     assert sharding.assign_shards(same.limit(0)).count() == 0
 
 
+def test_two_repeated_ids_split_each_by_its_own_size(spark):
+    texts = [(i, f"{i} text {n} " + "x" * 900) for i in (5, 6, 7) for n in range(20)] + [(i, "y" * 300) for i in range(100, 130)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = sharding.assign_shards(docs, 8000).collect()
+    sizes, ids, parents = {}, {}, {}
+    for r in rows:
+        bits = "".join(
+            bin(int(hashlib.md5(x.encode()).hexdigest()[:15], 16))[2:].zfill(60)
+            for x in (str(r["doc_id"]), f"{r['doc_id']} {hashlib.md5(r['text'].encode()).hexdigest()}")
+        )
+        assert bits.startswith(r["shard"])
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["n_bytes"]
+        ids.setdefault(r["shard"], set()).add(r["doc_id"])
+        for n in range(len(r["shard"])):
+            parents[bits[:n]] = parents.get(bits[:n], 0) + r["n_bytes"]
+    assert len(rows) == 90 and all(r["shard_bytes"] == sizes[r["shard"]] <= 8000 for r in rows)
+    assert all(size > 8000 for size in parents.values())
+    assert all(len(ids[s]) == 1 for s in ids if len(s) > 60)
+
+
 def test_urls(spark):
     urls = [(None, None), (1, "x"), (1, "HTTP://A.Example.ORG/es/?x"), (2, "a://org"), (3, "a://my-org/x"), (4, "a://example.org/en/19\n#x"), (5, "://x.com/de/"), (6, "b://com/fr/a"), (7, "b://net/fr/a")]
     rules = spark.createDataFrame(list(url_rules.RULES), "rule string, verdict string")
