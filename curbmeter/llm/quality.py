@@ -7,8 +7,8 @@ gated attention, ``w · (tanh(V h) * sigmoid(U h))`` through a softmax over the
 document's passages, weighs it; the weighted vector of the document is scored.
 All weights are learned together from the labels of documents.
 
-The model is fitted on a bounded sample of labelled rows; every document is
-scored over its whole text.
+The model is fitted on a bounded sample of labelled rows, each with all its
+passages; every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curbmeter.llm.shared import free_name
+from curbmeter.llm.shared import free_name, store
 from curbmeter.llm.words import _runs, list_array, run_hashes, text_chunks
 
 PASSAGE = 64
 # Labelled rows taken to learn from, at most, per label; the classes' true shares weigh them.
 SAMPLE = 3000
-# Passages of one sampled document, at most: a document of more is learned from an even choice of them.
-BAG = 64
+# Passages of the sampled documents of one label, at most; documents are taken whole or not at all.
+PASSAGES = 64 * SAMPLE
 HASHED = 64
 HIDDEN = 24
 GATE = 12
@@ -225,8 +226,6 @@ def _encoded_bags(texts: pa.Array) -> pa.Array:
         rows, values = [], []
         for i in range(len(at) - 1):
             bag = x[at[i] : at[i + 1]]
-            if len(bag) > BAG:
-                bag = bag[np.linspace(0, len(bag) - 1, BAG).astype(int)]
             values.append(bag.reshape(-1))
             rows.append(np.full(bag.size, i))
         out.append(list_array(np.concatenate(rows), len(at) - 1, pa.array(np.concatenate(values), pa.float32())))
@@ -238,6 +237,16 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def whole_documents(sizes: list[tuple], most: int) -> set:
+    """The ids of ``sizes(id, passages)``, in this order, that together have at most ``most`` passages."""
+    ids, total = set(), 0
+    for i, n in sizes:
+        if total + n <= most:
+            ids.add(i)
+            total += n
+    return ids
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -245,11 +254,13 @@ def learn(
     text_col: str = "text",
     label_col: str = "quality",
     sample: int = SAMPLE,
+    passages: int = PASSAGES,
 ) -> Attention:
     """Fit the model on labelled documents that are not held out.
 
     At most ``sample`` labelled ids of each class are used, those of the
-    smallest hashes; their weights restore the shares that the classes have
+    smallest hashes, of them those that together have at most ``passages``
+    passages; their weights restore the shares that the classes have
     among all labels. A null label or id is left out; an id labelled more than
     once counts with its smallest label, and of its texts one is used.
     """
@@ -271,13 +282,21 @@ def learn(
     def bags(texts: pa.Array) -> pa.Array:
         return _encoded_bags(texts)
 
-    # At most twice ``sample`` rows of two numbers.
+    # At most twice ``sample`` rows, here of two numbers and then of four.
     texts = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "id")
         .groupBy("id", "label")
         .agg(F.min("text").alias("text"))
     )
+    tokens = F.regexp_count("text", F.lit(r"[^\x00-\x20]+"))
+    texts = store(texts.withColumn("n", F.greatest(F.ceil(tokens / PASSAGE), F.lit(1))), "sample")
+    sizes = texts.select("id", "label", F.coalesce("n", F.lit(1)).alias("n"), F.xxhash64("id").alias("hash")).collect()
+    sizes.sort(key=lambda r: (r["hash"], r["id"]))
+    kept = set().union(*[whole_documents([(r["id"], r["n"]) for r in sizes if r["label"] == label], passages) for label in total])
+    if len(kept) < len(sizes):
+        ids = texts.sparkSession.createDataFrame([(i,) for i in kept], T.StructType([texts.schema["id"]]))
+        texts = texts.join(F.broadcast(ids), "id")
     rows = texts.select("id", "label", F.arrow_udf(bags, "array<float>")("text").alias("bag")).toArrow()
     rows = rows.sort_by("id")
     encoded = [np.asarray(b.values.to_numpy(), np.float32).reshape(-1, N_FEATURES) for b in rows["bag"]]

@@ -1,9 +1,11 @@
 """Contamination, near duplicates, quality and packing against brute force."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from curbmeter.llm import dart_minhash, decontaminate, packing, quality
@@ -182,3 +184,18 @@ def test_differencing_evens_out_and_respects_the_capacity():
         sums = [sum(lengths[i] for i in w) for w in windows]
         assert max(sums) <= 2048
     assert max(sums) - min(sums) <= 64
+
+
+def test_long_documents_are_learned_whole(spark):
+    words = [f"word{i}" for i in range(100 * quality.PASSAGE)]
+    bags = quality._encoded_bags(pa.array([" ".join(words), "short"]))
+    assert [len(b) // quality.N_FEATURES for b in bags.to_pylist()] == [100, 1]
+    assert quality.whole_documents([(1, 5), (2, 100), (3, 4), (4, 2)], 10) == {1, 3}
+    # Of the ids that are not held out, the long document is left out whole, or taken whole.
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, " ".join(words) if i == ids[0] else f"{'good text' if n % 2 else 'BAD!! 77'} {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    few, rest = quality.learn(docs, labels, passages=50), quality.learn(docs.where(F.col("doc_id") != ids[0]), labels.where(F.col("doc_id") != ids[0]))
+    every = quality.learn(docs, labels)
+    assert np.allclose(few.weights["shift"], rest.weights["shift"])
+    assert not np.allclose(every.weights["shift"], rest.weights["shift"])
