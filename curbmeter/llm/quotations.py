@@ -172,10 +172,11 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     excerpts = linked.where("original is null").drop("original")
     if excerpts.isEmpty():
         return whole
-    # Of one piece there is only the passage itself, which has no original.
+    # The passage itself has no original; one piece may also be a line that it repeats.
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(name).alias("pieces")) for kind, name in enumerate(("lines", "paragraphs"))])
     tried = excerpts.select("conv", "turn", "level", "length", "passage", F.explode(kinds).alias("x")).select("*", "x.*").drop("x")
-    tried = tried.where(F.size("pieces") > 1).withColumn("hashes", F.array_sort("pieces.passage")).withColumn("set", F.xxhash64("hashes"))
+    tried = tried.where((F.size("pieces") > 1) | (F.col("pieces")[0]["passage"] != F.col("passage")))
+    tried = tried.withColumn("hashes", F.array_sort("pieces.passage")).withColumn("set", F.xxhash64("hashes"))
     tried = store(tried, "excerpts")
     sets = tried.select("conv", F.col("set").alias("passage"), "hashes").distinct()
     holders = store(_holders(sets, originals), "holders")
