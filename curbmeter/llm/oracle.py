@@ -74,11 +74,138 @@ SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
 FROM rows LEFT JOIN kept USING (body)
 """
 
+
+def crc32(text: str) -> str:
+    """The CRC-32 of the UTF-8 bytes of a SQL string, bit by bit."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT)"
+    bits = f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: [{byte}, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda a, x: {step}), 4294967295)"
+
+
+RUNS = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    {crc32("CAST(doc_id AS VARCHAR)")} AS h
+  FROM documents
+),
+places AS (SELECT *, len(w) AS n, CAST(h // 10 % greatest(len(w), 1) AS BIGINT) AS a, 3 + h // 10 % 8 AS k FROM texts),
+planted AS (
+  SELECT rn, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE w END AS w
+  FROM places
+),
+words AS (SELECT rn, n, unnest(range(n)) AS i, unnest(w) AS word FROM planted),
+pairs AS (SELECT x.rn, y.i, y.i - x.i AS q FROM words x JOIN words y ON x.rn = y.rn AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+numbered AS (SELECT rn, q, i, i - row_number() OVER (PARTITION BY rn, q ORDER BY i) AS stretch FROM pairs),
+matches AS (
+  SELECT rn, q, min(i) - q AS s, max(i) - min(i) + 1 + q AS length FROM numbered GROUP BY rn, q, stretch
+  HAVING max(i) - min(i) + 1 + q >= greatest(6, 4 * q)
+),
+runs AS (SELECT rn, s AS start, length, min(q) AS period FROM matches GROUP BY rn, s, length),
+dropped AS (SELECT DISTINCT rn, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (SELECT rn, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (rn, i) GROUP BY rn),
+listed AS (
+  SELECT rn, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_max(struct_pack(start, length, period), (length, -start, -period)) AS best
+  FROM runs GROUP BY rn
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM planted LEFT JOIN collapsed USING (rn) LEFT JOIN listed USING (rn)
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w
+  FROM documents
+),
+counted AS (SELECT id || ':' || w AS s, w, count(*) AS n FROM found WHERE length(w) >= 6 GROUP BY ALL),
+hashed AS (SELECT w, n, {crc32("s")} AS h FROM counted),
+spelled AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM hashed
+),
+vocabulary AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest, length(word) AS l FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (
+  SELECT x.word, y.word AS other FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT c.word, v.word FROM cuts c JOIN vocabulary v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cuts c JOIN vocabulary v ON c.rest = v.word
+),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-v.n, other)) AS other, max(v.n) AS other_n
+  FROM near JOIN vocabulary v ON v.word = other GROUP BY near.word
+),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM vocabulary LEFT JOIN best USING (word)
+),
+chains AS (
+  SELECT word, coalesce(form, word) AS root FROM formed
+  UNION ALL SELECT chains.word, formed.form FROM chains JOIN formed ON formed.word = chains.root WHERE formed.form IS NOT NULL AND chains.root <> chains.word
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, chains.root
+FROM formed f JOIN chains USING (word) JOIN formed r ON r.word = chains.root WHERE r.form IS NULL
+"""
+
+
+def _level(k: int) -> str:
+    """Discounted counts of the grams of one order, with the probability of each."""
+    n = {i: f"count(*) FILTER (n = {i})" for i in range(1, 5)}
+    cuts = ", ".join(f"greatest(0, {i} - {i + 1} * (n1 / (n1 + 2 * n2)) * n{i + 1} / n{i})" for i in range(1, 4))
+    below = "JOIN p{0} b ON b.g = substr(c.g, 2)".format(k - 1) if k > 1 else "CROSS JOIN (SELECT 1.0::DOUBLE / (count(*) + 1) AS p FROM g1) b"
+    return f"""
+n{k} AS (SELECT {', '.join(f'CAST({n[i]} AS DOUBLE) AS n{i}' for i in n)} FROM g{k}),
+d{k} AS (SELECT CASE WHEN least(n1, n2, n3, n4) > 0 THEN [{cuts}] ELSE [0.5, 1, 1.5] END AS d FROM n{k}),
+c{k} AS (SELECT g, n, d[least(n, 3)] AS cut, substr(g, 1, {k - 1}) AS context FROM g{k}, d{k}),
+w{k} AS (SELECT context, sum(n) AS total, sum(cut) AS mass FROM c{k} GROUP BY context),
+p{k} AS MATERIALIZED (SELECT c.g, (c.n - c.cut) / w.total + w.mass / w.total * b.p AS p FROM c{k} c JOIN w{k} w USING (context) {below})"""
+
+
+PERPLEXITY = rf"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(coalesce(text, ''), '(?s).') AS c
+  FROM documents
+),
+lines AS (SELECT rn, line, count(*) AS n FROM (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rn, line),
+dups AS (SELECT rn, sum(n - 1) AS n_dup FROM lines GROUP BY rn),
+windows AS (SELECT rn, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS win FROM texts),
+repeated AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, win) AS k FROM windows) WHERE k > 1),
+covered AS (SELECT rn, count(DISTINCT i + j) AS n_repeat FROM repeated, range(3) t(j) GROUP BY rn),
+base AS (
+  SELECT rn, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words
+  FROM texts LEFT JOIN dups USING (rn) LEFT JOIN covered USING (rn)
+),
+padded AS (SELECT rn, list_concat([chr(57344), chr(57344), chr(57344)], c) AS c, len(c) AS n FROM texts),
+grams AS MATERIALIZED (
+  SELECT rn, g, count(*) AS n
+  FROM (SELECT rn, unnest(list_transform(range(1, n + 1), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3])) AS g FROM padded) GROUP BY rn, g
+),
+g4 AS (SELECT g, CAST(sum(n) AS BIGINT) AS n FROM grams GROUP BY g),
+g3 AS (SELECT substr(g, 2) AS g, count(*) AS n FROM g4 GROUP BY 1),
+g2 AS (SELECT substr(g, 2) AS g, count(*) AS n FROM g3 GROUP BY 1),
+g1 AS (SELECT substr(g, 2) AS g, count(*) AS n FROM g2 GROUP BY 1),
+{','.join(_level(k) for k in range(1, 5))},
+scored AS (SELECT rn, round(-sum(n * ln(p)) / sum(n), 9) AS x FROM grams JOIN p4 USING (g) GROUP BY rn),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base LEFT JOIN scored USING (rn)),
+middle AS (SELECT lang, quantile_cont(x, 0.5) AS m FROM judged WHERE NOT base_failed GROUP BY lang),
+spread AS (SELECT lang, quantile_cont(abs(x - m), 0.5) AS s FROM judged JOIN middle USING (lang) WHERE NOT base_failed GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(abs(x - m) <= greatest(4 * 1.4826 * s, 0.05 * m), false) AS kept
+FROM judged LEFT JOIN middle USING (lang) LEFT JOIN spread USING (lang)
+"""
+
 ORACLE = {
     "op3_winnowing": CONTAMINATION,
     "op4_extendible_sharding": SHARDS,
     "op5_url_rules": URLS,
     "op7_warc_round_trip": ARCHIVES,
+    "op11_periodic_runs": RUNS,
+    "op12_spelling_variants": SPELLING,
+    "op13_perplexity_rules": PERPLEXITY,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -12,9 +12,12 @@ from curbmeter.llm import (
     forest,
     licenses,
     packing,
+    periodic,
+    perplexity,
     quality,
     quotations,
     sharding,
+    spelling,
     url_rules,
     warc,
 )
@@ -86,6 +89,48 @@ def packed(spark, sf_dir) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; where the id's checksum ends in 0, the words from some place on repeat with some period."""
+    seed = F.floor(F.col("h") / 10).cast("long")
+    words = docs.select(
+        "doc_id",
+        "text",
+        F.crc32(F.col("doc_id").cast("string")).alias("h"),
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words"),
+    ).withColumn("n", F.when(F.col("h") % 10 == 0, F.size("words")))
+    placed = words.withColumn("a", (seed % F.greatest("n", F.lit(1))).cast("int")).withColumn("repeats", (3 + seed % 8).cast("int"))
+    period = (F.lit(1) + F.expr("(n - a) div repeats")).cast("int")
+    block = F.slice("words", F.col("a") + 1, period)
+    tail = F.slice(F.flatten(F.array_repeat(block, F.col("repeats"))), 1, F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def word_runs(spark, sf_dir) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs).withColumn("best", periodic.longest_run())
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.written_runs().cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def spelling_variants(spark, sf_dir) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), drop_every=199)
+    return spelling.group_variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def quality_rules(spark, sf_dir) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *perplexity.BASE_COLUMNS, "base_failed", "kept")
+
+
 def _shipped(query):
     def run(spark, sf_dir):
         ship_package(spark)
@@ -107,6 +152,9 @@ QUERIES = {
         "op8_dart_minhash": near_duplicates,
         "op9_license_scan": license_scan,
         "op10_differencing_packing": packed,
+        "op11_periodic_runs": word_runs,
+        "op12_spelling_variants": spelling_variants,
+        "op13_perplexity_rules": quality_rules,
         "pipeline": corpus_pipeline.run,
     }.items()
 }
