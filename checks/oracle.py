@@ -282,13 +282,14 @@ def number(text: str, pattern: str, type: str = "BIGINT") -> str:
 
 
 QUESTION = """CASE DOLocationID % 7
-  WHEN 0 THEN '预测区域' || PULocationID || ' 周' || day || ' 下午' || pickup_hour || '点的需求'
-  WHEN 1 THEN '上车量 TOP ' || (PULocationID % 20 + 1) || ' 区域排名'
-  WHEN 2 THEN '从区域' || PULocationID || '到区域 ' || DOLocationID || '的费用和距离'
-  WHEN 3 THEN '支付方式和小费分析 ' || pickup_hour || ':00'
-  WHEN 4 THEN '星期' || day || ' 全天高峰时段'
-  WHEN 5 THEN '区域 ' || PULocationID || ' 工作日 分时段有多少订单'
-  ELSE '下车量排名前' || (PULocationID % 20 + 1) || '的区域 周末' END"""
+  WHEN 0 THEN '请预计区域' || PULocationID || '星期' || day || ' ' || pickup_hour || '时会有多少订单'
+  WHEN 1 THEN '上客最热门的地方 Top ' || (PULocationID % 20 + 1)
+  WHEN 2 THEN '从区域' || PULocationID || '去区域 ' || DOLocationID || ' 大约要多少钱'
+  WHEN 3 THEN pickup_hour || ':00 左右现金与信用卡的付款比例'
+  WHEN 4 THEN '星期' || day || '哪段路最忙'
+  WHEN 5 THEN '平日区域 ' || PULocationID || ' 每小时的订单'
+  ELSE '假日下客排行前' || (PULocationID % 20 + 1) || '的地方' END"""
+# Fixed values in what follows: the words of the rules, labels, codes and patterns.
 DAYS = "一二三四五六日"
 QUESTION_INTENT = rule_case(
     "t",
@@ -306,6 +307,70 @@ QUESTION_DAY = rule_case(
     "t", [(i, (f"{p}{d}",)) for p in ("周", "星期") for i, d in enumerate(DAYS)], "NULL"
 )
 
+TAGGED = f"""SELECT text, {QUESTION_INTENT} AS intent, {number('t', '区域[ ]*([0-9]+)')} AS location,
+  {number('t', '从区域[ ]*([0-9]+)')} AS route_from, {number('t', '(?:到|去|至)区域[ ]*([0-9]+)')} AS route_to,
+  {number('t', '([0-9]{1,2})[ ]*(?:点|时|:00)', 'INTEGER')} AS hour,
+  coalesce({number('t', '(?:前|top)[ ]*([0-9]+)')}, 10) AS top_n, {QUESTION_DAY} AS weekday,
+  {rule_case('t', (('工作日', ('工作日', '平日', '上班日')), ('周末', ('周末', '休息日', '假日'))), 'NULL')} AS day_type,
+  CASE WHEN {QUESTION_INTENT} = 'ranking' AND {contains_any('t', ('下车', '下客', '到达'))}
+    THEN '下车' ELSE '上车' END AS rank_type
+FROM (SELECT text, lower(trim(text)) AS t FROM (SELECT {QUESTION} AS text
+  FROM (SELECT *, substr('{DAYS}', pickup_weekday + 1, 1) AS day FROM clocked)))"""
+
+def peak_of(first: int, last: int) -> str:
+    """Hour and trips of the largest of the 24 counts ``c`` within some hours, the first one of several."""
+    part = f"c[{first + 1}:{last + 1}]"
+    return f"CAST(list_position({part}, list_max({part})) + {first - 1} AS INTEGER)", f"list_max({part})"
+
+
+PEAKS = {"": peak_of(0, 23), "morning_": peak_of(6, 9), "evening_": peak_of(16, 19)}
+ANSWERS = f"""q AS MATERIALIZED (SELECT DISTINCT * FROM ({TAGGED})),
+asked_hours AS (
+  SELECT DISTINCT location, d.day_type FROM (SELECT location, day_type FROM q WHERE intent = 'hourly_demand'
+    UNION ALL SELECT location, unnest(['工作日', '周末']) FROM q WHERE intent = 'peak_hours') d
+),
+filled AS (
+  SELECT a.location, a.day_type, h.pickup_hour,
+    CAST(coalesce(sum(demand) FILTER ((a.location IS NULL OR PULocationID = a.location)
+      AND (a.day_type IS NULL OR (pickup_weekday >= 5) = (a.day_type = '周末'))), 0) AS BIGINT) AS n
+  FROM asked_hours a CROSS JOIN hours h LEFT JOIN cube USING (pickup_hour) GROUP BY ALL
+),
+days AS (SELECT location, day_type, list(n ORDER BY pickup_hour) AS c FROM filled GROUP BY ALL),
+ends AS (
+  SELECT '上车' AS rank_type, PULocationID AS location, count(*) AS trips FROM cleaned WHERE PULocationID IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT '下车', DOLocationID, count(*) FROM cleaned WHERE DOLocationID IS NOT NULL GROUP BY ALL
+),
+lists AS (
+  SELECT rank_type, count(*) AS total_locations, list(location || ':' || trips ORDER BY trips DESC, location) AS l FROM ends GROUP BY ALL
+),
+types AS (
+  SELECT string_agg(payment_type || ':' || name || ':' || n, ',' ORDER BY payment_type) AS t
+  FROM (SELECT payment_type, {PAYMENT_NAME} AS name, count(*) AS n FROM cleaned WHERE payment_type IS NOT NULL GROUP BY ALL)
+),
+asked_routes AS (SELECT DISTINCT route_from AS f, route_to AS t FROM q WHERE intent = 'route_info'),
+routes AS (
+  SELECT f, t, count(fare_amount) AS trip_count, round(sum(trip_distance), 8) AS sum_distance, round(sum(fare_amount), 8) AS sum_fare,
+    round(sum(total_amount), 8) AS sum_total, round(sum({DURATION}), 8) AS sum_duration_min, round(sum(tip_amount), 8) AS sum_tip
+  FROM asked_routes LEFT JOIN cleaned ON f = PULocationID AND t = DOLocationID GROUP BY ALL
+)
+SELECT text, intent,
+  {", ".join(f"CASE WHEN c IS NOT NULL THEN {hour} END AS {name}peak_hour, {n} AS {name}peak_trips" for name, (hour, n) in PEAKS.items())},
+  round_even(list_sum(c) / 24.0::DOUBLE, 1) AS avg_demand,
+  CASE intent WHEN 'peak_hours' THEN array_to_string(w.c2, ',') END AS workday, CASE intent WHEN 'peak_hours' THEN array_to_string(e.c2, ',') END AS weekend,
+  total_locations, array_to_string(l[1 : q.top_n], ',') AS places, t.t AS payment_types,
+  trip_count, sum_distance, sum_fare, sum_total, sum_duration_min, sum_tip, demand AS historical_demand,
+  CASE WHEN intent = 'predict' AND (q.location IS NULL OR hour IS NULL OR weekday IS NULL) THEN 'missing: ' || array_to_string(list_filter([
+    CASE WHEN q.location IS NULL THEN 'location' END, CASE WHEN hour IS NULL THEN 'hour' END, CASE WHEN weekday IS NULL THEN 'weekday' END
+  ], lambda x: x IS NOT NULL), ', ') END AS problem
+FROM q
+LEFT JOIN days d ON intent = 'hourly_demand' AND d.location IS NOT DISTINCT FROM q.location AND d.day_type IS NOT DISTINCT FROM q.day_type
+LEFT JOIN (SELECT location, c AS c2 FROM days WHERE day_type = '工作日') w ON intent = 'peak_hours' AND w.location IS NOT DISTINCT FROM q.location
+LEFT JOIN (SELECT location, c AS c2 FROM days WHERE day_type = '周末') e ON intent = 'peak_hours' AND e.location IS NOT DISTINCT FROM q.location
+LEFT JOIN lists r ON intent = 'ranking' AND r.rank_type = q.rank_type
+LEFT JOIN types t ON intent = 'payment'
+LEFT JOIN routes o ON intent = 'route_info' AND o.f IS NOT DISTINCT FROM route_from AND o.t IS NOT DISTINCT FROM route_to
+LEFT JOIN cube ON intent = 'predict' AND PULocationID = q.location AND pickup_hour = hour AND pickup_weekday = weekday"""
+
 _FEATURES = "location_encoded hour_sin hour_cos weekday_sin weekday_cos is_weekend is_rush_hour".split()
 
 TYPES = {c: "double" for c in DOUBLES} | {
@@ -564,17 +629,8 @@ ORACLE = {
         WHERE payment_type IS NOT NULL"""
     ),
     "peak_hours": grid("PULocationID = 100"),
-    "tag_questions": cleaned(
-        f"""SELECT text, {QUESTION_INTENT} AS intent, {number('t', '区域[ ]*([0-9]+)')} AS location,
-          {number('t', '从区域[ ]*([0-9]+)')} AS route_from, {number('t', '(?:到|去|至)区域[ ]*([0-9]+)')} AS route_to,
-          {number('t', '([0-9]{1,2})[ ]*(?:点|时|:00)', 'INTEGER')} AS hour,
-          coalesce({number('t', '(?:前|top)[ ]*([0-9]+)')}, 10) AS top_n, {QUESTION_DAY} AS weekday,
-          {rule_case('t', (('工作日', ('工作日', '平日', '上班日')), ('周末', ('周末', '休息日', '假日'))), 'NULL')} AS day_type,
-          CASE WHEN {QUESTION_INTENT} = 'ranking' AND {contains_any('t', ('下车', '下客', '到达'))}
-            THEN '下车' ELSE '上车' END AS rank_type
-        FROM (SELECT text, lower(trim(text)) AS t FROM (SELECT {QUESTION} AS text
-          FROM (SELECT *, substr('{DAYS}', pickup_weekday + 1, 1) AS day FROM clocked)))"""
-    ),
+    "tag_questions": cleaned(TAGGED),
+    "answer_all": f"WITH {CLEANED}, {ANSWERS}",
     "tag_urls": "SELECT page_id, url, "
     + rule_case(
         "t",

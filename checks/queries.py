@@ -13,7 +13,7 @@ from checks.inputs import cleaned_trips, raw_trips, stored_raw, table
 from curbmeter.functions.timing import with_duration, with_time_features
 from curbmeter.operators import clean, demand, encoding, evaluation, fares, profile, quantiles
 from curbmeter.operators.sampling import histogram
-from curbmeter.plans import analyses, forecasting, questions, tagging
+from curbmeter.plans import analyses, answers, forecasting, questions, tagging
 from curbmeter.schema import (
     ALIGHTING,
     BOARDING,
@@ -144,13 +144,13 @@ def question_texts(spark, sf_dir) -> DataFrame:
     day = F.get(F.array(*[F.lit(d) for d in "一二三四五六日"]), F.weekday(PICKUP_TIME))
     form = F.col(DROPOFF_ZONE) % 7
     text = (
-        F.when(form == 0, F.concat(F.lit("预测区域"), pu, F.lit(" 周"), day, F.lit(" 下午"), hour, F.lit("点的需求")))
-        .when(form == 1, F.concat(F.lit("上车量 TOP "), n, F.lit(" 区域排名")))
-        .when(form == 2, F.concat(F.lit("从区域"), pu, F.lit("到区域 "), do, F.lit("的费用和距离")))
-        .when(form == 3, F.concat(F.lit("支付方式和小费分析 "), hour, F.lit(":00")))
-        .when(form == 4, F.concat(F.lit("星期"), day, F.lit(" 全天高峰时段")))
-        .when(form == 5, F.concat(F.lit("区域 "), pu, F.lit(" 工作日 分时段有多少订单")))
-        .otherwise(F.concat(F.lit("下车量排名前"), n, F.lit("的区域 周末")))
+        F.when(form == 0, F.concat(F.lit("请预计区域"), pu, F.lit("星期"), day, F.lit(" "), hour, F.lit("时会有多少订单")))
+        .when(form == 1, F.concat(F.lit("上客最热门的地方 Top "), n))
+        .when(form == 2, F.concat(F.lit("从区域"), pu, F.lit("去区域 "), do, F.lit(" 大约要多少钱")))
+        .when(form == 3, F.concat(hour, F.lit(":00 左右现金与信用卡的付款比例")))
+        .when(form == 4, F.concat(F.lit("星期"), day, F.lit("哪段路最忙")))
+        .when(form == 5, F.concat(F.lit("平日区域 "), pu, F.lit(" 每小时的订单")))
+        .otherwise(F.concat(F.lit("假日下客排行前"), n, F.lit("的地方")))
     )
     return trips.select(PICKUP_ZONE, DROPOFF_ZONE, text.alias("text"))
 
@@ -159,6 +159,30 @@ def tag_questions(spark, sf_dir) -> DataFrame:
     return tagging.tag_text(question_texts(spark, sf_dir)).drop(PICKUP_ZONE, DROPOFF_ZONE)
 
 
+def answer_questions(spark, sf_dir) -> DataFrame:
+    """Every different question text with its answer; lists as text, means as sums, whose digits are few."""
+    answered = answers.answer_all(CLEANED(spark, sf_dir), question_texts(spark, sf_dir).select("text").distinct())
+
+    def listed(column: str, *fields: str):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",")
+
+    sums = [F.round(F.col(f"route.avg_{m}") * F.col("route.trip_count"), 8).alias(f"sum_{m}") for m in answers.MEASURES]
+    return answered.select(
+        "text",
+        "intent",
+        "hourly.*",
+        F.array_join(F.col("peaks.workday").cast("array<string>"), ",").alias("workday"),
+        F.array_join(F.col("peaks.weekend").cast("array<string>"), ",").alias("weekend"),
+        "ranking.total_locations",
+        F.when(F.col("ranking").isNotNull(), listed("ranking.places", "location", "trips")).alias("places"),
+        F.when(F.col("payment").isNotNull(), listed("payment", "payment", "name", "trips")).alias("payment_types"),
+        "route.trip_count",
+        *sums,
+        "forecast.historical_demand",
+        "problem",
+    )
+
+
 def tag_urls(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return tagging.tag_text(pages, "url", URL_RULES)
@@ -421,6 +445,7 @@ QUERIES = {
     "peak_hours": _on(CLEANED, questions.peak_hours, 100),
     "tag_questions": tag_questions,
     "tag_urls": tag_urls,
+    "answer_all": answer_questions,
     # Model
     "zone_encoder": _on(cube, encoding.zone_encoder),
     "encoded_cube": lambda spark, sf_dir: rounded(encoded_cube(spark, sf_dir), 6),

@@ -97,7 +97,7 @@ def test_requests(spark, forecaster):
 
 
 def test_forecast_by_text(spark, sf_dir, forecaster):
-    row = answer(cleaned_trips(spark, sf_dir), "预测区域100 周二 下午3点的需求", forecaster).first()
+    row = answer(cleaned_trips(spark, sf_dir), "请预估区域100周二 下午3点的订单", forecaster).first()
     assert (row["location_id"], row["hour"], row["weekday"]) == (100, 3, 1)
 
 

@@ -15,15 +15,15 @@ def tags(spark, text):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("从区域100到区域200的费用和距离",
+        ("从区域100到区域200要多少钱",
          {"intent": "route_info", "route_from": 100, "route_to": 200, "location": 100}),
-        ("上车量 TOP 5 区域排名", {"intent": "ranking", "top_n": 5, "rank_type": "上车"}),
-        ("下车量排名前 3 的区域", {"intent": "ranking", "top_n": 3, "rank_type": "下车"}),
-        ("预测区域100 周二 下午3点的需求",
+        ("热门上客点 TOP 5", {"intent": "ranking", "top_n": 5, "rank_type": "上车"}),
+        ("下客排行前 3 的地方", {"intent": "ranking", "top_n": 3, "rank_type": "下车"}),
+        ("请预估区域100周二 下午3点的订单",
          {"intent": "predict", "location": 100, "weekday": 1, "hour": 3}),
-        ("区域100 工作日 分时段需求量", {"intent": "predict", "day_type": "工作日"}),
-        ("周五 全天高峰时段", {"intent": "peak_hours", "weekday": 4, "top_n": 10}),
-        ("支付方式和小费分析", {"intent": "payment", "location": None}),
+        ("平日每小时的需求量，区域100", {"intent": "predict", "day_type": "工作日"}),
+        ("周五哪里最忙", {"intent": "peak_hours", "weekday": 4, "top_n": 10}),
+        ("付款用现金的多吗", {"intent": "payment", "location": None}),
         ("  星期日 17:00 去区域 7 多少钱 ", {"intent": "route_info", "weekday": 6, "hour": 17,
                                          "route_to": 7, "location": 7}),
         ("区域１２ 周末", {"intent": "hourly_demand", "location": 12, "day_type": "周末"}),
@@ -83,11 +83,11 @@ def test_payment_analysis(trips):
 
 def test_answers_by_text(trips):
     df = trips(ride(8), ride(9), ride(17, PULocationID=7, DOLocationID=9))
-    assert [r["location"] for r in answer(df, "上车量 TOP 1 区域排名").collect()] == [100]
-    assert answer(df, "下车量排名前5的区域").count() == 2
+    assert [r["location"] for r in answer(df, "热门上客点 TOP 1").collect()] == [100]
+    assert answer(df, "下客点下车排行前5").count() == 2
     assert answer(df, "从区域7到区域9的费用").first()["trip_count"] == 1
     assert answer(df, "区域100 周末 每小时").first()["peak_trips"] == 0
-    assert answer(df, "周五 全天高峰").count() == 48
+    assert answer(df, "周五哪里最忙").count() == 48
     assert answer(df, "现金和信用卡").count() == 1
     with pytest.raises(ValueError):
         answer(df, "预测区域100的需求")
