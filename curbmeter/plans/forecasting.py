@@ -21,8 +21,11 @@ from curbmeter.operators.encoding import (
 from curbmeter.schema import PICKUP_ZONE, RUSH_HOURS, WEEKDAY_NAMES, WEEKEND_DAYS
 from curbmeter.session import broadcast_if_small, cut_lineage
 
-# Cells of a training task: each is worked on in every level of every tree.
-CELLS_PER_TASK = 2000
+# Cells of a training task: each is worked on in every level of every tree. A level is one job
+# over all tasks, so small ones pay for their start more often than for their cells.
+CELLS_PER_TASK = 6000
+# Memory for the statistics of the nodes of one pass; with Spark's 256 MB a level of 100 trees takes several.
+NODE_MEMORY_MB = 1024
 # Forest settings, and the labels of the features in reports.
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 5, "seed": 42}
 FEATURE_LABELS = {
@@ -50,7 +53,7 @@ def forest(**settings) -> RandomForestRegressor:
 
     Give ``maxBins`` where there are more zones than that.
     """
-    options = {"featureSubsetStrategy": "all", "maxBins": 300, **FOREST, **settings}
+    options = {"featureSubsetStrategy": "all", "maxBins": 300, "maxMemoryInMB": NODE_MEMORY_MB, **FOREST, **settings}
     return RandomForestRegressor(labelCol="demand", featuresCol="features", **options)
 
 
