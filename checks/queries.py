@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from checks.inputs import cleaned_trips, raw_trips, stored_raw, table
 from curbmeter.functions.timing import with_duration, with_time_features
 from curbmeter.operators import clean, demand, encoding, evaluation, fares, profile, quantiles
+from curbmeter.operators.duplicates import distinct_rows
 from curbmeter.operators.sampling import histogram
 from curbmeter.plans import analyses, answers, forecasting, questions, tagging
 from curbmeter.schema import (
@@ -391,6 +392,8 @@ QUERIES = {
     "domain_anomaly_total": _on(RAW, profile.domain_anomaly_total),
     "padding_audit": _on(RAW, profile.padding_audit),
     "duplicate_count": _on(RAW, profile.duplicate_count),
+    "duplicate_count_by_marks": _on(RAW, profile.duplicate_count, whole_bytes=0),
+    "distinct_by_marks": _on(RAW, distinct_rows, whole_bytes=0),
     "quality_report": _on(RAW, profile.quality_report),
     # Cleaning
     "key_null_profile": _on(RAW, profile.key_null_profile),

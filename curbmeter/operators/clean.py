@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from curbmeter.functions.values import is_float, missing, nan_to_null, percent, stripped
 from curbmeter.operators.audit import Audit, per_column
+from curbmeter.operators.duplicates import distinct_rows
 from curbmeter.schema import (
     BAD_PAYMENTS,
     BAD_RATES,
@@ -135,13 +136,14 @@ def sparse_columns(df: DataFrame, keys=KEY_COLUMNS, limit: float = 0.5) -> list:
 def clean(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> DataFrame:
     """The cleaned table.
 
-    ``drop`` names the sparse columns when they are already known, which makes
-    the call free of jobs. The de-duplication is an aggregation on all columns:
-    copies collapse before the shuffle, however many one row has.
+    ``drop`` names the sparse columns when they are already known, which saves
+    a job. The de-duplication of a large table compares fingerprints of all rows
+    at the call and whole rows only where a fingerprint occurs again, so it moves
+    16 bytes and a count per row.
     """
     if drop is None:
         drop = sparse_columns(df, keys)
-    return nan_to_null(keep_valid(df, trip_rules(df, keys)).drop(*drop)).dropDuplicates()
+    return distinct_rows(nan_to_null(keep_valid(df, trip_rules(df, keys)).drop(*drop)))
 
 
 def consistency_counts(total: str = TOTAL, fare: str = FARE) -> Audit:

@@ -14,6 +14,7 @@ from curbmeter.functions.values import FLOATS, is_float, missing, nan_to_null, p
 from curbmeter.operators.audit import Audit, per_column
 from curbmeter.operators.clean import clean, present, removal_counts, with_reason
 from curbmeter.operators.demand import with_key
+from curbmeter.operators.duplicates import WHOLE_BYTES, extra_rows
 from curbmeter.operators.quantiles import quantiles, quartile_columns
 from curbmeter.schema import (
     CODE_DOMAINS,
@@ -389,19 +390,15 @@ def padding_audit(df: DataFrame, column: str = STORE_FLAG) -> DataFrame:
     return padding_counts(column).of(df)
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
+def duplicate_count(df: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Rows that repeat an earlier row in every column, missing equal to missing.
 
-    Copies are counted before the shuffle, so a row with very many of them
-    moves as one row per task.
+    Exact, and beyond ``whole_bytes`` in two phases: fingerprints of all rows are
+    shuffled, and only rows whose fingerprint occurs again are compared in full.
     """
     df = nan_to_null(df)
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
-    extra = F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))
-    return copies.agg(
-        extra.alias("duplicates"),
-        percent(extra, F.coalesce(F.sum("_copies"), F.lit(0))).alias("rate_pct"),
-    )
+    rows = df.agg(F.count("*")).scalar()
+    return extra_rows(df, whole_bytes=whole_bytes).select("duplicates", percent(F.col("duplicates"), rows).alias("rate_pct"))
 
 
 def report_counts(df: DataFrame, keys=KEY_COLUMNS) -> Audit:
