@@ -1,20 +1,23 @@
 """Licences of files: TF-IDF cosine to templates, then the nearest directory above.
 
-A file's header passages are its lines that name a licence. A licence file
-(``LICENSE``, ``COPYING``, ``NOTICE``) has more: the whole text, and at every
-word the passage of each template's length, if it names a licence. Passages and
-templates are sparse TF-IDF vectors, and a file takes the template of the
-largest cosine if that is large enough. Whole licence files are compared with
-full licence texts as well. A file without a licence of its own
-inherits that of the licence file in the nearest directory above it. All of it
-is DataFrame work.
+A file's passages are its lines that name a licence, and the words around the
+rarest words of each template: every such word proposes the run of words in
+which it has the place that it has in the template. Line breaks and comment
+marks are no words, so a wrapped header is one passage, and a text has at most
+two passages per template and word. Passages and templates are sparse TF-IDF
+vectors, and a file takes the template of the largest cosine if that is large
+enough. An SPDX identifier is read as such and counts as a cosine of 1. Files
+named ``LICENSE``, ``COPYING`` or ``NOTICE`` are compared as a whole as well,
+also with full licence texts. A file without a licence of its own inherits that
+of the licence file in the nearest directory above it. All of it is DataFrame
+work.
 """
 
 from __future__ import annotations
 
 import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbmeter.llm.shared import free_name, store
@@ -40,7 +43,7 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright; CC0 1.0 Universal public domain dedication."),
 )
-# Titles and headers of full texts, looked for in licence files only.
+# Titles of full texts, and headers that differ in few words.
 TITLES = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -58,18 +61,21 @@ TITLES = (
 TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
 # What a line must hold to be looked at; the lines of every template do.
 MARKER = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|spdx|free software"
-# Words of which a passage that holds the above has one.
-MARKER_WORD = r"licen[cs]e|copyright|permission|redistribut|domain|commons|spdx|software"
+# An SPDX expression: identifiers, joined by AND, OR and WITH.
+_ID = r"\(*[A-Za-z0-9.+-]+\)*"
+SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+# Of each template so many of its rarest words propose passages.
+ANCHORS = 2
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.-][^/]*)?$"
 LEAST_COSINE = 0.6
 # Long texts share their common words: with logarithms of counts, other licences reach 0.89 of a full text.
 LEAST_TEXT_COSINE = 0.9
 
 
-def templates_frame(spark: SparkSession, templates=TEMPLATES, titles=TITLES, texts=TEXTS) -> DataFrame:
-    """``template, license, text, form``; the form is ``line``, or for licence files only ``title`` or ``text``."""
+def templates_frame(spark: SparkSession, templates=TEMPLATES + TITLES, texts=TEXTS) -> DataFrame:
+    """``template, license, text, form``; the form is ``line`` for passages, or ``text`` for whole licence files."""
     full = [(n, pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode(), "text") for n in texts]
-    rows = [(n, t, "line") for n, t in templates] + [(n, t, "title") for n, t in titles] + full
+    rows = [(n, t, "line") for n, t in templates] + full
     return spark.createDataFrame(
         [(i, *row) for i, row in enumerate(rows)], "template int, license string, text string, form string"
     )
@@ -90,18 +96,49 @@ def _vectors(passages: DataFrame, keys: list[str], idf: DataFrame, unknown, logs
     return weighed.join(lengths, keys).select(*keys, "term", (F.col("weight") / F.col("length")).alias("weight"))
 
 
-def _windows(files: DataFrame, lengths: list[int]) -> DataFrame:
-    """``key, text``: the runs of so many words, at every word, that hold the marker; a shorter text is one run."""
-    words = files.select("key", _terms(F.col("text")).alias("terms"))
-    marks = F.filter(F.transform("terms", lambda t, i: F.when(t.rlike(MARKER_WORD), i)), lambda i: i.isNotNull())
-    words = words.withColumn("marks", marks).where(F.size("marks") > 0)
-    lengths = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    sized = words.select("key", "terms", "marks", F.explode(lengths).alias("n"))
-    last = F.greatest(F.size("terms") - F.col("n"), F.lit(0))
-    around = F.transform("marks", lambda m: F.sequence(F.greatest(m - F.col("n") + 1, F.lit(0)), F.least(m, last)))
-    starts = F.array_distinct(F.flatten(around))
-    runs = F.transform(starts, lambda s: F.array_join(F.slice("terms", s + 1, F.col("n")), " "))
-    return sized.select("key", F.explode(F.filter(F.array_distinct(runs), lambda r: r.rlike(MARKER))).alias("text"))
+def _anchors(short: DataFrame) -> DataFrame:
+    """One row with a map from a word to the ``(offset, size)`` of the templates that have it as one of their rarest."""
+    placed = short.select("template", F.size(_terms(F.col("text"))).alias("size"), F.posexplode(_terms(F.col("text"))).alias("offset", "term"))
+    first = placed.groupBy("template", "size", "term").agg(F.min("offset").alias("offset"))
+    common = first.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("template").orderBy("df", "offset"))
+    chosen = first.join(broadcast_if_small(common), "term").withColumn("n", rarest).where(F.col("n") <= ANCHORS)
+    places = chosen.groupBy("term").agg(F.collect_set(F.struct("offset", "size")).alias("places"))
+    return places.agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("anchors"))
+
+
+def _runs(files: DataFrame, short: DataFrame) -> DataFrame:
+    """``key, whole, text``: the runs of words that the rarest words of the templates propose, cut at the text's ends."""
+    words = store(files.select("key", "whole", _terms(F.col("text")).alias("terms")), "words")
+    words = words.crossJoin(F.broadcast(store(_anchors(short), "anchors")))  # one row
+    here = F.transform("terms", lambda t, i: F.struct(i.alias("at"), F.try_element_at(F.col("anchors"), t).alias("places")))
+    hits = F.filter(here, lambda h: h["places"].isNotNull())
+    starts = F.flatten(
+        F.transform(hits, lambda h: F.transform(h["places"], lambda p: F.struct((h["at"] - p["offset"]).alias("start"), p["size"].alias("size"))))
+    )
+    # The starts are an attribute of their own, so that they are worked out once.
+    words = store(words.select("key", "whole", "terms", F.array_distinct(starts).alias("starts")).where(F.size("starts") > 0), "starts")
+    last = F.size("terms") - 1
+
+    def run(s):
+        # Words are picked one by one: a slice copies the whole array.
+        at = F.sequence(F.greatest(s["start"], F.lit(0)), F.least(s["start"] + s["size"] - 1, last))
+        return F.array_join(F.transform(at, lambda i: F.get("terms", i)), " ")
+
+    return words.select("key", "whole", F.explode(F.array_distinct(F.transform("starts", run))).alias("text"))
+
+
+def spdx_licenses(text):
+    """The SPDX expressions of a text, without exceptions and without ``-only``, ``-or-later`` and ``+``."""
+
+    def plain(e):
+        e = F.regexp_replace(e, r"(?i)[ \t]+WITH[ \t]+[^ \t()]+", "")
+        e = F.regexp_replace(e, r"(?i)(-only|-or-later|\+)(?=[ \t)]|$)", "")
+        e = F.regexp_replace(F.regexp_replace(e, r"[ \t]+", " "), r"(?i) (and|or) ", " $1 ")
+        single = ~F.contains(e, F.lit(" "))
+        return F.when(single, F.translate(e, "()", "")).otherwise(e)
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), plain))
 
 
 def own_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -109,22 +146,19 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST_CO
     if "form" not in templates.columns:
         templates = templates.withColumn("form", F.lit("line"))
     templates = store(templates, "templates")
-    short, full = templates.where("form <> 'text'"), templates.where("form = 'text'")
-    n = templates.where("form = 'line'").count()
-    documents = templates.where("form = 'line'").select("template", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    short, full = templates.where("form = 'line'"), templates.where("form = 'text'")
+    n = short.count()
+    documents = short.select("template", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     counted = documents.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = store(counted.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     unknown = F.log(F.lit(1.0 + n)) + 1
     known = store(_vectors(short, ["template"], idf, unknown), "known")
-    names = broadcast_if_small(templates.select("template", "license", "form"))
-    # One row per length of a title or line.
-    lengths = [r["n"] for r in short.select(F.size(_terms(F.col("text"))).alias("n")).distinct().where("n > 0").collect()]
+    names = broadcast_if_small(templates.select("template", "license"))
     lines = F.filter(F.split("text", "\r\n|\n|\r"), lambda line: line.rlike(MARKER))
     lines = F.when(F.col("whole"), F.concat(F.array("text"), lines)).otherwise(lines)
     # The same line of many files is one passage.
-    passages = files.select("key", "whole", F.explode(F.array_distinct(lines)).alias("text"))
-    passages = passages.unionByName(_windows(files.where("whole"), lengths).withColumn("whole", F.lit(True)))
-    passages = store(passages.select("*", F.xxhash64("text").alias("passage")), "passages")
+    passages = files.select("key", "whole", F.explode(F.array_distinct(lines)).alias("text")).unionByName(_runs(files, short))
+    passages = store(passages.select("*", F.xxhash64("text").alias("passage")).distinct(), "passages")
     texts = passages.groupBy("passage").agg(F.first("text").alias("text"))
     vectors = _vectors(texts, ["passage"], idf, unknown)
 
@@ -132,17 +166,19 @@ def own_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST_CO
         pairs = of.join(broadcast_if_small(templates.withColumnRenamed("weight", "other")), "term").groupBy(key, "template")
         cosines = pairs.agg(F.sum(F.col("weight") * F.col("other")).alias("cosine")).where(F.col("cosine") >= least)
         # The largest cosine, then the smaller name; six digits settle the order of summation.
-        return cosines.join(names, "template").withColumn("best", F.struct((-F.round("cosine", 6)).alias("minus"), "license"))
+        named = cosines.join(names, "template")
+        return named.groupBy(key).agg(F.min(F.struct((-F.round("cosine", 6)).alias("minus"), "license")).alias("best"))
 
-    of_passage = products(vectors, "passage", known, least).groupBy("passage")
-    of_passage = store(of_passage.agg(F.min("best").alias("any"), F.min(F.when(F.col("form") == "line", F.col("best"))).alias("line")), "best")
-    best = F.when(F.col("whole"), F.col("any")).otherwise(F.col("line")).alias("best")
-    chosen = passages.select("key", "whole", "passage").join(broadcast_if_small(of_passage), "passage").select("key", "whole", best)
+    of_passage = store(products(vectors, "passage", known, least), "best")
+    chosen = passages.select("key", "whole", "passage").join(broadcast_if_small(of_passage), "passage").select("key", "whole", "best")
     known_texts = store(_vectors(full, ["template"], idf, unknown, True), "known_texts")
     whole = _vectors(files.where("whole").select("key", "text"), ["key"], idf, unknown, True)
-    of_text = products(whole, "key", known_texts, max(least, LEAST_TEXT_COSINE)).select("key", F.lit(True).alias("whole"), "best")
-    chosen = chosen.unionByName(of_text).where("best is not null")
-    return chosen.groupBy("key", "whole").agg(F.min("best").alias("best")).select(
+    of_text = products(whole, "key", known_texts, max(least, LEAST_TEXT_COSINE))
+    of_text = of_text.select("key", F.lit(True).alias("whole"), "best")
+    stated = files.select("key", "whole", F.explode(spdx_licenses(F.col("text"))).alias("license"))
+    stated = stated.select("key", "whole", F.struct(F.lit(-1.0).alias("minus"), "license").alias("best"))
+    every = chosen.unionByName(of_text).unionByName(stated)
+    return every.groupBy("key", "whole").agg(F.min("best").alias("best")).select(
         "key", "whole", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine")
     )
 
