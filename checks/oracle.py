@@ -715,6 +715,7 @@ _WEEKDAYS = "['周一', '周二', '周三', '周四', '周五', '周六', '周
 ORACLE |= {
     "duplicate_count_by_marks": ORACLE["duplicate_count"],
     "distinct_by_marks": raw("SELECT DISTINCT * FROM trips"),
+    "months_of_schemas": raw("SELECT * FROM trips WHERE PULocationID BETWEEN 100 AND 160"),
 }
 ORACLE |= {
     "csv_round_trip": cleaned("SELECT * FROM cleaned"),

@@ -27,6 +27,7 @@ from curbmeter.schema import (
     WORKDAY,
 )
 from curbmeter.session import checkpoint_root, cut_lineage
+from curbmeter.sources.months import read_months
 from curbmeter.sources.tables import preview, read_zones, with_zone_names, write_trips
 from curbmeter.streaming.trips import read_trip_stream, valid_trips_with_features
 
@@ -225,6 +226,22 @@ def csv_round_trip(spark, sf_dir) -> DataFrame:
     return spark.read.schema(trips.schema).csv(path, header=True)
 
 
+def months_of_schemas(spark, sf_dir) -> DataFrame:
+    """Raw trips written as three groups of months whose columns differ, read as one table, of some zones."""
+    trips = RAW(spark, sf_dir)
+    root = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}"
+    month = F.month(PICKUP_TIME)
+    wide = trips.where(month % 3 == 1).withColumns({c: F.col(c).cast("long") for c in (PICKUP_ZONE, PAYMENT, "VendorID")})
+    other = trips.where(month % 3 == 2).withColumnRenamed("airport_fee", "Airport_Fee")
+    other = other.withColumn("RatecodeID", F.col("RatecodeID").cast("int")).withColumn("passenger_count", F.col("passenger_count").cast("long"))
+    parts = {"as_is": trips.where((month % 3 == 0) | month.isNull()), "wide": wide, "other": other, "short": None}
+    # A path of the first schema again, which shares its scan.
+    parts["short"], parts["as_is"] = parts["as_is"].where(F.col(DROPOFF_ZONE) <= 50), parts["as_is"].where(F.col(DROPOFF_ZONE) > 50)
+    for name, part in parts.items():
+        write_trips(part, f"{root}/{name}")
+    return read_months(spark, [f"{root}/{name}" for name in parts]).where(F.col(PICKUP_ZONE).between(100, 160))
+
+
 def csv_zones(spark, sf_dir) -> DataFrame:
     """The zone dimension written as CSV, read as users' files are, and joined to trips per zone."""
     path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/zones"
@@ -374,6 +391,7 @@ QUERIES = {
     "zone_enrichment": zone_enrichment,
     "csv_round_trip": csv_round_trip,
     "csv_zones": csv_zones,
+    "months_of_schemas": months_of_schemas,
     "streamed_features": streamed_features,
     # Profile and audit
     "schema_profile": _on(RAW, profile.schema_profile),

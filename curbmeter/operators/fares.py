@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbmeter.functions.timing import with_clock
 from curbmeter.functions.values import mean, payment_label, percent, ratio_percent
+from curbmeter.operators.buckets import OPEN, Distribution, fence_brackets, fences, local_table, moments
 from curbmeter.operators.demand import hour_grid, with_key
-from curbmeter.operators.profile import quartile_table, with_bounds
+from curbmeter.operators.profile import quartile_table
 from curbmeter.operators.quantiles import quantile_limits
 from curbmeter.operators.sampling import fixed_sample
 from curbmeter.schema import (
@@ -61,44 +63,67 @@ def distance_fare_points(
     return points.select(distance, fare, colour)
 
 
+BOXES = T.StructType(
+    [T.StructField("trips", T.LongType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("avg_fare", "q1", "median", "q3", "whisker_low", "whisker_high")]
+    + [T.StructField("fliers", T.LongType())]
+)
+
+
 def fare_by_passengers(
     df: DataFrame,
     passengers: str = PASSENGERS,
     fare: str = FARE,
     counts=(1, 2, 3, 4, 5, 6),
     p: float = 0.99,
-    exact: bool = True,
 ) -> DataFrame:
-    """Mean and box-plot numbers of the fare per number of passengers (A10).
+    """Mean and box-plot numbers of the fare per number of passengers, fares up to their ``p`` quantile (A10).
 
     The whiskers end at the last values within 1.5 interquartile ranges of the
-    quartiles; values beyond them are counted as fliers.
+    quartiles; values beyond them are counted as fliers. Two scans, at the call:
+    the bucket states of all groups together tell where the cut lies, each of
+    them where its quartiles and fences under the cut can lie, and the second
+    scan reads these buckets.
     """
-    limit = F.lit(quantile_limits(df, [fare], p, exact)[fare]).cast("double")
-    rows = df.where(F.col(passengers).isin(*map(float, counts)) & (F.col(fare) <= limit)).select(
-        passengers, fare
-    )
-    # ``counts`` bounds the number of groups.
-    boxes = F.broadcast(
-        with_bounds(quartile_table(rows, [fare], [passengers], True, exact)).drop("column")
-    )
-    value = F.col(fare)
-    inside = (value >= F.col("lower")) & (value <= F.col("upper"))
-    quartiles = ("q1", "median", "q3")
-    return (
-        rows.join(boxes, passengers)
-        .groupBy(passengers, *quartiles)
-        .agg(
-            F.count("*").alias("trips"),
-            F.avg(value).alias("avg_fare"),
-            F.min(F.when(inside, value)).alias("whisker_low"),
-            F.max(F.when(inside, value)).alias("whisker_high"),
-            F.count_if(~inside).alias("fliers"),
-        )
-        .select(
-            passengers, "trips", "avg_fare", *quartiles, "whisker_low", "whisker_high", "fliers"
-        )
-    )
+    number = F.col(passengers).cast("double")
+    # ``counts`` bounds the number of groups; all other trips are one.
+    group = F.coalesce(F.when(number.isin(*map(float, counts)), number), F.lit(-1.0))
+    known = Distribution(df.select(group.alias("_group"), fare), [fare], ["_group"])
+    every = known.groups(fare)
+    if not every:
+        return _boxes(df, passengers, [])
+    cut = known.want_quantile(every, p)
+    quartiles = (0.25, 0.5, 0.75)
+    least = {}
+    for key in [key for key in every if key[0] >= 0]:
+        state = known.parts[key]
+        # How many fares of the group are under the cut is known but for the bucket of the cut.
+        few, many = (int(state.n[which].sum()) for which in (state.hi <= cut[0], state.lo <= cut[1]))
+        if many == 0:
+            continue
+        least[key] = few
+        ends = [known.want_rank([key], known.ranks(max(few, 1), q)[0], known.ranks(many, q)[1]) for q in quartiles]
+        for bracket in fence_brackets(ends[0], ends[2]):
+            known.want_range([key], *bracket)
+    known.read()
+    limit = known.quantiles([(every, p, None)])[0]
+    under = dict(zip(least, known.within([([key], -OPEN, limit) for key in least])))
+    keys = [key for key in least if under[key][0]]
+    found = iter(known.quantiles([([key], q, under[key][0]) for key in keys for q in quartiles]))
+    boxes = {key: (next(found), next(found), next(found)) for key in keys}
+    bounds = {key: fences(boxes[key][0], boxes[key][2]) for key in keys}
+    inside = known.within([([key], bounds[key][1], min(bounds[key][2], limit)) for key in keys])
+    rows = [
+        (key[0], n, total / n, *boxes[key], low, high, n - held)
+        for key, (held, _, low, high) in zip(keys, inside)
+        for n, total in [under[key][:2]]
+    ]
+    return _boxes(df, passengers, rows)
+
+
+def _boxes(df: DataFrame, passengers: str, rows: list) -> DataFrame:
+    found = local_table(df.sparkSession, rows, T.StructType([T.StructField(passengers, T.DoubleType()), *BOXES]))
+    return found.withColumn(passengers, F.col(passengers).cast(df.schema[passengers].dataType))
 
 
 def with_tip_rate(
@@ -123,8 +148,21 @@ def tip_rates(
     rates = with_tip_rate(df.where(F.col(payment).isin(*types)), tip, fare).select(
         payment, "tip_rate"
     )
+    if exact:
+        # The bucket state has the moments too.
+        known = Distribution(rates, ["tip_rate"], [payment])
+        quartiles = (0.25, 0.5, 0.75)
+        for key in known.parts:
+            for p in quartiles:
+                known.want_quantile([key], p)
+        known.read()
+        found = iter(known.quantiles([([key], p, None) for key in known.parts for p in quartiles]))
+        rows = [(key[0], *moments(part)[:2], next(found), next(found), next(found)) for key, part in known.parts.items()]
+        kinds = [("trips", T.LongType()), *[(c, T.DoubleType()) for c in ("avg_rate", "q1", "median", "q3")]]
+        fields = [rates.schema[payment], *[T.StructField(*kind) for kind in kinds]]
+        return local_table(df.sparkSession, rows, T.StructType(fields))
     # ``types`` bounds the number of groups.
-    boxes = F.broadcast(quartile_table(rates, ["tip_rate"], [payment], True, exact))
+    boxes = F.broadcast(quartile_table(rates, ["tip_rate"], [payment], True, False))
     basic = rates.groupBy(payment).agg(
         F.count("*").alias("trips"), F.avg("tip_rate").alias("avg_rate")
     )

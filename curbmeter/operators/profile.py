@@ -12,6 +12,16 @@ from pyspark.sql import types as T
 
 from curbmeter.functions.values import FLOATS, is_float, missing, nan_to_null, percent, stripped
 from curbmeter.operators.audit import Audit, per_column
+from curbmeter.operators.buckets import (
+    OPEN,
+    Distribution,
+    above,
+    below,
+    fence_brackets,
+    fences,
+    local_table,
+    moments,
+)
 from curbmeter.operators.clean import clean, present, removal_counts, with_reason
 from curbmeter.operators.demand import with_key
 from curbmeter.operators.duplicates import WHOLE_BYTES, extra_rows
@@ -127,6 +137,13 @@ def quartile_table(
     return quartile_columns(found, {0.25: "q1", 0.5: "median", 0.75: "q3"}, by)
 
 
+DESCRIBED = T.StructType(
+    [T.StructField("column", T.StringType()), T.StructField("count", T.LongType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+)
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def describe(
     df: DataFrame,
     columns=None,
@@ -136,9 +153,23 @@ def describe(
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per numeric column.
 
-    ``basics`` and ``quartiles`` can be passed when they are already computed.
+    The exact form takes two scans, at the call: the bucket state has the
+    moments, and tells what to read for the quartiles. ``basics`` and
+    ``quartiles`` can be passed when they are already computed.
     """
     columns = list(columns or columns_of_kind(df, "numeric"))
+    if exact and basics is None and quartiles is None:
+        known = Distribution(df, columns)
+        asked = [([(c,)], p, None) for c in columns if (c,) in known.parts for p in QUARTILES]
+        for keys, p, _ in asked:
+            known.want_quantile(keys, p)
+        known.read()
+        found = dict(zip([(keys[0][0], p) for keys, p, _ in asked], known.quantiles(asked)))
+        rows = []
+        for c in columns:
+            count, mean, std, low, high = moments(known.parts[(c,)]) if (c,) in known.parts else (0, None, None, None, None)
+            rows.append((c, count, mean, std, low, *[found.get((c, p)) for p in QUARTILES], high))
+        return local_table(df.sparkSession, rows, DESCRIBED)
     basics = basics if basics is not None else basics_audit(df, columns).of(df)
     if quartiles is None:
         quartiles = quartile_table(df, columns, exact=exact)
@@ -149,15 +180,6 @@ def describe(
     )
 
 
-def with_bounds(quartiles: DataFrame) -> DataFrame:
-    """Add the bounds 1.5 interquartile ranges beyond the quartiles."""
-    return (
-        quartiles.withColumn("iqr", F.col("q3") - F.col("q1"))
-        .withColumn("lower", F.col("q1") - 1.5 * F.col("iqr"))
-        .withColumn("upper", F.col("q3") + 1.5 * F.col("iqr"))
-    )
-
-
 def outlier_counts(df: DataFrame, columns, quartiles: dict) -> Audit:
     """Values beyond the bounds of ``quartiles``, which maps a column to (q1, q3)."""
     fields = ("q1", "q3", "iqr", "lower", "upper")
@@ -192,15 +214,42 @@ def quartile_numbers(quartiles: DataFrame) -> dict:
     return {row["column"]: (row["q1"], row["q3"]) for row in quartiles.collect()}
 
 
+OUTSIDE = T.StructType(
+    [T.StructField("column", T.StringType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("q1", "q3", "iqr", "lower", "upper")]
+    + [T.StructField(c, T.LongType()) for c in ("outliers", "rows")]
+)
+
+
 def iqr_audit(df: DataFrame, columns=IQR_COLUMNS, exact: bool = True) -> DataFrame:
     """Values outside the bounds per column, with their rate among all rows.
 
-    The quartiles are computed at the call; as literals they let one pass count
-    the outliers of all columns without a join.
+    The exact form takes two scans, at the call: with the buckets of the
+    quartiles it reads those in which the bounds can lie. The other form finds
+    the quartiles first; as literals they let one pass count the outliers.
     """
     columns = iqr_columns(df, columns)
-    quartiles = quartile_numbers(quartile_table(df, columns, exact=exact))
-    return outlier_counts(df, columns, quartiles).of(df)
+    if not exact:
+        quartiles = quartile_numbers(quartile_table(df, columns, exact=False))
+        return outlier_counts(df, columns, quartiles).of(df)
+    known = Distribution(df, columns)
+    present_ = [c for c in columns if (c,) in known.parts]
+    for c in present_:
+        brackets = fence_brackets(known.want_quantile([(c,)], 0.25), known.want_quantile([(c,)], 0.75))
+        for bracket in brackets:
+            known.want_range([(c,)], *bracket)
+    known.read()
+    found = known.quantiles([([(c,)], p, None) for c in present_ for p in (0.25, 0.75)])
+    quartiles = dict(zip(present_, zip(found[::2], found[1::2])))
+    bounds = {c: fences(*quartiles[c]) for c in present_}
+    asked = [([(c,)], *ends) for c, (_, lower, upper) in bounds.items() for ends in ((-OPEN, below(lower)), (above(upper), OPEN))]
+    counts = [n for n, *_ in known.within(asked)]
+    outliers = {c: a + b for c, a, b in zip(present_, counts[::2], counts[1::2])}
+    total = df.count()
+    rows = [(c, *quartiles.get(c, (None, None)), *bounds.get(c, (None,) * 3), outliers.get(c, 0), total) for c in columns]
+    return local_table(df.sparkSession, rows, OUTSIDE).select(
+        "column", "q1", "q3", "iqr", "lower", "upper", "outliers", percent(F.col("outliers"), F.col("rows")).alias("rate_pct")
+    )
 
 
 def sign_counts(df: DataFrame, columns=SIGN_COLUMNS) -> Audit:

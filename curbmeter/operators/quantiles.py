@@ -6,8 +6,7 @@ task. Here a quantile is found the way one looks up a word in a dictionary:
 1. count rows in coarse buckets (about 0.8 % of the value wide) and see from
    the running total which bucket holds the wanted rank; a bucket of one value
    is an answer already,
-2. read only the rows of the other buckets again and count them per value;
-   where the wanted buckets are few, their ends are literals of the scan,
+2. read only the rows of the other buckets again and count them per value,
 3. within the bucket, first find the right slot of an even grid and then the
    value in that slot.
 
@@ -21,59 +20,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
+from curbmeter.operators.buckets import Distribution, bucket_of, local_table, tall_values, without_null_keys
 from curbmeter.session import broadcast_if_small, cut_lineage
 
-STEPS = 128  # buckets per factor e
 SLOTS = 4096  # slots of the grid within one bucket
-# Natural logarithms of doubles lie between -745 and 710.
-LARGEST_LOG = 710.0
-OFFSET = 746 * STEPS
-
-
-def _bucket(value: Column) -> Column:
-    magnitude = (
-        F.floor(F.least(F.ln(F.abs(value)), F.lit(LARGEST_LOG)) * STEPS).cast("int") + OFFSET
-    )
-    return F.when(value == 0, 0).when(value > 0, magnitude).otherwise(-magnitude)
-
-
-def tall(df: DataFrame, columns, by=()) -> DataFrame:
-    """One row ``(*by, column, value)`` per row of ``df`` and named column, nulls included."""
-    values = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    if len(columns) == 1:
-        return df.select(*by, F.lit(columns[0]).alias("column"), values[0].alias("value"))
-    prepared = df.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(by)], *values)
-    keys = [f"_key{i}" for i in range(len(by))]
-    return prepared.unpivot(keys, list(columns), "column", "value").select(
-        *[F.col(f"_key{i}").alias(k) for i, k in enumerate(by)], "column", "value"
-    )
-
-
-
-def without_null_keys(df: DataFrame, by) -> DataFrame:
-    """Rows whose group is known; a null is no group in any of the forms."""
-    for key in by:
-        df = df.where(F.col(key).isNotNull())
-    return df
-
-
-def _within(df: DataFrame, column: str, low: float, high: float) -> Column:
-    """``low <= column <= high``, as a comparison that the reader can push down where that is exact."""
-    kind = df.schema[column].dataType
-    value = F.col(f"`{column}`")
-    whole = isinstance(kind, T.IntegralType)
-    if isinstance(kind, (T.FloatType, T.DoubleType)) or whole and max(abs(low), abs(high)) < 2**53:
-        ends = [F.lit(int(x) if whole else x).cast(kind) for x in (low, high)]
-        return value.between(*ends)
-    return value.cast("double").between(low, high)
-
-
 def _running(counts: DataFrame, group: list, order: str) -> DataFrame:
     """Add the ranks ``[first, past)`` that a row's ``n`` values take in its group."""
     past = F.sum("n").over(Window.partitionBy(*group).orderBy(order))
@@ -84,73 +38,47 @@ def _holds(rank: Column) -> Column:
     return (F.col("first") <= rank) & (rank < F.col("past"))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns,
-    probabilities,
-    by=(),
-    few_groups: bool = False,
-    grid: bool = True,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns, probabilities, by=(), few_groups: bool = False) -> DataFrame:
     """Quantiles with linear interpolation, nulls and NaN left out.
 
     Returns ``(*by, column, p, value)``; a group and column without values has
-    no row, nor have rows with a null in ``by``. The wanted buckets are at most
-    two per probability, column and group. Without ``by``, or if ``few_groups``
-    states that it has a small fixed domain, they are fetched at the call, and
-    their ends are part of the second scan's filter. Otherwise they are
-    checkpointed, and broadcast only if they are few: a shuffle join would
-    move every value. The slot step is taken at every size; ``grid`` False leaves
-    it out for a caller whose buckets are known to fit a task.
+    no row, nor have rows with a null in ``by``. Without ``by``, or if
+    ``few_groups`` states that it has a small fixed domain, they are found at
+    the call from a :class:`~curbmeter.operators.buckets.Distribution`, else
+    as below: the wanted buckets, at most two per probability, column and group,
+    are checkpointed, and broadcast only if they are few: a shuffle join would
+    move every value.
     """
+    if few_groups or not by:
+        return _few_quantiles(df, list(columns), probabilities, list(by))
     df = without_null_keys(df, by)
     keys = [*by, "column"]
-    values = _values(df, columns, by)
-    buckets = values.withColumn("bucket", _bucket(F.col("value"))).groupBy(*keys, "bucket").agg(
+    values = tall_values(df, columns, by)
+    buckets = values.withColumn("bucket", bucket_of(F.col("value"))).groupBy(*keys, "bucket").agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    hits = _wanted_buckets(buckets, keys, probabilities)
     place = [*keys, "bucket", "lo", "hi"]
-    if few_groups or not by:
-        small = F.broadcast
-        rows = hits.collect()
-        spread = [r for r in rows if r["lo"] < r["hi"]]
-        known = _rows(df, [r for r in rows if r["lo"] == r["hi"]], hits.schema)
-        hits = _rows(df, spread, hits.schema)
-        ends = sorted({(r["column"], r["lo"], r["hi"]) for r in spread})
-        inside = reduce(Column.__or__, [_within(df, *end) for end in ends], F.lit(False))
-        again = _values(df.where(inside), columns, by)
-    else:
-        small = broadcast_if_small
-        hits = cut_lineage(hits)
-        known = hits.where("lo = hi")
-        hits = hits.where("lo < hi")
-        again = values
-
-    near = again.withColumn("bucket", _bucket(F.col("value"))).join(
-        small(hits.select(*place).distinct()), [*keys, "bucket"]
+    hits = cut_lineage(_wanted_buckets(buckets, keys, probabilities))
+    known = hits.where("lo = hi")
+    hits = hits.where("lo < hi")
+
+    near = values.withColumn("bucket", bucket_of(F.col("value"))).join(
+        broadcast_if_small(hits.select(*place).distinct()), [*keys, "bucket"]
     )
-    if grid:
-        near = near.withColumn(
-            "slot",
-            F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS).cast("int"),
-        )
-        cell = [*place, "slot"]
-        distinct = near.groupBy(*cell, "value").agg(F.count("*").alias("n"))
-        slots = _running(distinct.groupBy(*cell).agg(F.sum("n").alias("n")), place, "slot")
-        hits = (
-            slots.join(small(hits), place)
-            .where(_holds(F.col("rank")))
-            .select(*cell, "p", "part", (F.col("rank") - F.col("first")).alias("rank"))
-        )
-        if small is broadcast_if_small:
-            hits = cut_lineage(hits)
-        distinct = distinct.join(small(hits.select(*cell).distinct()), cell, "left_semi")
-    else:
-        cell = place
-        distinct = near.groupBy(*cell, "value").agg(F.count("*").alias("n"))
-
-    found = _running(distinct, cell, "value").join(small(hits), cell).where(_holds(F.col("rank")))
+    near = near.withColumn(
+        "slot",
+        F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS).cast("int"),
+    )
+    cell = [*place, "slot"]
+    distinct = near.groupBy(*cell, "value").agg(F.count("*").alias("n"))
+    slots = _running(distinct.groupBy(*cell).agg(F.sum("n").alias("n")), place, "slot")
+    hits = cut_lineage(
+        slots.join(broadcast_if_small(hits), place)
+        .where(_holds(F.col("rank")))
+        .select(*cell, "p", "part", (F.col("rank") - F.col("first")).alias("rank"))
+    )
+    distinct = distinct.join(broadcast_if_small(hits.select(*cell).distinct()), cell, "left_semi")
+    found = _running(distinct, cell, "value").join(broadcast_if_small(hits), cell).where(_holds(F.col("rank")))
     columns = [*keys, "p", "part", "value"]
     found = found.select(*columns).unionAll(known.withColumn("value", F.col("lo")).select(*columns))
     low, high = F.min("value"), F.max("value")
@@ -161,15 +89,16 @@ def exact_quantiles(
     )
 
 
-def _values(df: DataFrame, columns, by) -> DataFrame:
-    return tall(df, columns, by).where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-
-def _rows(df: DataFrame, rows: list, schema: T.StructType) -> DataFrame:
-    """The rows as a local table of the plan; from Arrow they take no job."""
-    columns = zip(*rows) if rows else [()] * len(schema)
-    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]
-    return df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+def _few_quantiles(df: DataFrame, columns: list, probabilities, by: list) -> DataFrame:
+    """The same from the state of few groups; a row per group, column and probability comes from the driver."""
+    known = Distribution(df, columns, by)
+    asked = [([key], float(p), None) for key in known.parts for p in probabilities]
+    for keys, p, _ in asked:
+        known.want_quantile(keys, p)
+    known.read()
+    rows = [(*keys[0], p, value) for (keys, p, _), value in zip(asked, known.quantiles(asked))]
+    fields = [*[df.schema[k] for k in by], *[T.StructField("column", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("value", T.DoubleType())]]
+    return local_table(df.sparkSession, rows, T.StructType(fields))
 
 
 def _wanted_buckets(buckets: DataFrame, keys: list, probabilities) -> DataFrame:

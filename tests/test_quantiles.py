@@ -5,6 +5,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from curbmeter.operators import buckets
+from curbmeter.operators.buckets import Distribution
 from curbmeter.operators.quantiles import exact_quantiles, quantile_limits, quantiles
 
 PROBABILITIES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
@@ -37,13 +39,13 @@ def check(numbers, got, key=()):
     ),
     st.booleans(),
 )
-def test_same_as_numpy(spark, numbers, grid):
-    df = spark.createDataFrame([(n,) for n in numbers], "v double")
-    check(numbers, found(df, grid=grid))
+def test_same_as_numpy(spark, numbers, grouped):
+    df = spark.createDataFrame([(1, n) for n in numbers], "g int, v double")
+    check(numbers, found(df, ["g"]) if grouped else found(df), (1,) if grouped else ())
 
 
-@pytest.mark.parametrize("grid", [True, False])
-def test_one_group_with_most_rows_and_one_hot_value(spark, grid):
+@pytest.mark.parametrize("few", [True, False])
+def test_one_group_with_most_rows_and_one_hot_value(spark, few):
     df = spark.range(20000).selectExpr(
         "if(id % 3 = 0, 1, cast(id % 50 as int) + 2) as g",
         "if(id % 2 = 0, 7D, cast(id * 37 % 1009 as double) / 8) as v",
@@ -51,14 +53,14 @@ def test_one_group_with_most_rows_and_one_hot_value(spark, grid):
     rows = {}
     for r in df.collect():
         rows.setdefault(r["g"], []).append(r["v"])
-    got = found(df, ["g"], grid=grid)
+    got = found(df, ["g"], few_groups=few)
     for g, numbers in rows.items():
         check(numbers, got, (g,))
 
 
 def test_values_in_one_narrow_cluster_with_a_far_outlier(spark):
     df = spark.range(5000).selectExpr("if(id = 0, 1e18D, 1e9D + id / 1000D) as v")
-    check([r["v"] for r in df.collect()], found(df, grid=True))
+    check([r["v"] for r in df.collect()], found(df))
 
 
 def test_nulls_and_not_a_number_are_left_out(spark):
@@ -92,13 +94,17 @@ def plan_of(df):
     return df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
 
 
-def test_the_second_scan_gets_the_ends_of_the_wanted_buckets(spark, tmp_path):
+def test_the_second_scan_gets_the_ends_of_the_wanted_buckets(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "values")
     spark.range(5000).selectExpr("id * 3 as a", "id / 7D as b", "cast(id / 9 as decimal(12, 4)) as c").write.parquet(path)
     df = spark.read.parquet(path)
-    found = exact_quantiles(df, ["a", "b"], [0.5])
-    plan = plan_of(found)
-    assert "GreaterThanOrEqual(a,7" in plan and "LessThanOrEqual(b,3" in plan
+    state = Distribution(df, ["a", "b"])
+    for column in "ab":
+        state.want_quantile([(column,)], 0.5)
+    plans, cut = [], buckets.cut_lineage
+    monkeypatch.setattr(buckets, "cut_lineage", lambda d: plans.append(plan_of(d)) or cut(d))
+    state.read()
+    assert len(plans) == 1 and "GreaterThanOrEqual(a,7" in plans[0] and "LessThanOrEqual(b,3" in plans[0]
     found = exact_quantiles(df, ["a", "b", "c"], [0.5])
     rows = df.collect()
     for r in found.collect():
@@ -134,8 +140,8 @@ def test_empty_tables_have_no_quantiles(spark, by):
 
 
 def test_rows_are_counted_before_they_are_shuffled(spark):
-    df = spark.range(10).selectExpr("cast(id as double) as v", "cast(id as double) as w")
-    plan = exact_quantiles(df, ["v", "w"], [0.5], grid=True)
+    df = spark.range(10).selectExpr("cast(id as double) as v", "id as g")
+    plan = exact_quantiles(df, ["v"], [0.5], ["g"])
     lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
     assert not any("percentile" in line for line in lines)
     # Going up from each scan, an aggregation comes before the first exchange.
