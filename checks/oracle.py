@@ -715,6 +715,11 @@ _WEEKDAYS = "['周一', '周二', '周三', '周四', '周五', '周六', '周
 ORACLE |= {
     "duplicate_count_by_marks": ORACLE["duplicate_count"],
     "distinct_by_marks": raw("SELECT DISTINCT * FROM trips"),
+    "clustered_trips": cleaned("SELECT * FROM cleaned"),
+    "clustered_route_info": cleaned(
+        f"SELECT {ROUTE}, '出发区域100、到达区域9' AS description FROM cleaned WHERE PULocationID = 100 AND DOLocationID = 9"
+    ),
+    "clustered_peak_hours": grid("PULocationID = 100"),
     "months_of_schemas": raw("SELECT * FROM trips WHERE PULocationID BETWEEN 100 AND 160"),
 }
 ORACLE |= {

@@ -27,6 +27,7 @@ from curbmeter.schema import (
     WORKDAY,
 )
 from curbmeter.session import checkpoint_root, cut_lineage
+from curbmeter.sources.clustered import write_clustered
 from curbmeter.sources.months import read_months
 from curbmeter.sources.tables import preview, read_zones, with_zone_names, write_trips
 from curbmeter.streaming.trips import read_trip_stream, valid_trips_with_features
@@ -242,6 +243,13 @@ def months_of_schemas(spark, sf_dir) -> DataFrame:
     return read_months(spark, [f"{root}/{name}" for name in parts]).where(F.col(PICKUP_ZONE).between(100, 160))
 
 
+def clustered(spark, sf_dir) -> DataFrame:
+    """The cleaned trips written along the curve and read back."""
+    path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/clustered"
+    write_clustered(CLEANED(spark, sf_dir), path, files=32)
+    return spark.read.parquet(path)
+
+
 def csv_zones(spark, sf_dir) -> DataFrame:
     """The zone dimension written as CSV, read as users' files are, and joined to trips per zone."""
     path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/zones"
@@ -392,6 +400,9 @@ QUERIES = {
     "csv_round_trip": csv_round_trip,
     "csv_zones": csv_zones,
     "months_of_schemas": months_of_schemas,
+    "clustered_trips": clustered,
+    "clustered_route_info": _on(clustered, questions.route_info, 100, 9),
+    "clustered_peak_hours": _on(clustered, questions.peak_hours, 100),
     "streamed_features": streamed_features,
     # Profile and audit
     "schema_profile": _on(RAW, profile.schema_profile),
