@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbmeter.functions.timing import cycle_cos, cycle_sin, is_rush, is_weekend_day
 from curbmeter.operators.demand import group_counts
+from curbmeter.operators.ranks import with_rank
 from curbmeter.schema import PICKUP_ZONE
 
 # The model features in their order.
@@ -25,24 +26,11 @@ FEATURES = (
 def zone_encoder(df: DataFrame, zone: str = PICKUP_ZONE) -> DataFrame:
     """Codes 0..k-1 for the zones in numeric order (M1).
 
-    Ids are numbered within blocks of 65,536 and shifted by the zones in the
-    blocks before, so neither step puts more than 65,536 rows of a 32-bit id
-    into one task.
+    The zones are numbered in ranges of their ids, so no task sees more than
+    its share of them, however wide the ids are. Runs a job at the call.
     """
-    zones = group_counts(df, zone).select(
-        zone, F.shiftright(F.col(zone).cast("long"), 16).alias("_block")
-    )
-    # The join adds this filter to one side only, and counting rows would prune the other
-    # differently; as it is, both uses of ``zones`` are the same plan, run once.
-    zones = zones.where(F.col("_block").isNotNull())
-    blocks = zones.groupBy("_block").agg(F.count(zone).alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_size")
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(zone)) - 1
-    return (
-        zones.withColumn("_inside", inside)
-        .join(blocks.select("_block", before.alias("_before")), "_block")
-        .select(zone, (F.col("_inside") + F.col("_before")).cast("int").alias("location_encoded"))
-    )
+    zones = group_counts(df, zone).select(zone)
+    return with_rank(zones, zone, name="_rank").select(zone, (F.col("_rank") - 1).cast("int").alias("location_encoded"))
 
 
 def encode_zones(df: DataFrame, encoder: DataFrame, zone: str = PICKUP_ZONE) -> DataFrame:

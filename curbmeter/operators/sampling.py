@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbmeter.operators.ranks import with_rank
+
 # The sampling key is cut into this many ranges to find where the sample ends.
 RANGES = 1 << 16
 
@@ -21,7 +23,8 @@ def fixed_sample(df: DataFrame, size: int, key: Column | None = None) -> DataFra
     The rows with the smallest ``key`` in [0, 1) are taken, ties by all columns.
     A plain sort with limit would let every task send ``size`` rows to one
     task. Here a count per key range first tells in which range the sample
-    ends, and only rows up to it are sorted. Copies of a row have one key, so
+    ends, and only rows up to it are numbered, in ranges of their order and not in
+    one task. Runs jobs at the call. Copies of a row have one key, so
     they are folded into a count before the shuffle and unfolded afterwards.
     """
     keyed = df.withColumn("_key", key if key is not None else default_key(df))
@@ -37,19 +40,12 @@ def fixed_sample(df: DataFrame, size: int, key: Column | None = None) -> DataFra
         .scalar()
     )
     columns = [F.col(f"`{c}`") for c in df.columns]
-    folded = (
-        keyed.where(F.col("_slot") <= last)
-        .groupBy("_key", *columns)
-        .agg(F.count("*").alias("n"))
-        .orderBy("_key", *columns)
-        .limit(size)
-    )
-    # At most ``size`` rows are numbered here.
-    taken = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_key", *columns)) - F.col("n")
+    folded = keyed.where(F.col("_slot") <= last).groupBy("_key", *columns).agg(F.count("*").alias("_n"))
+    taken = F.col("_past") - F.col("_n")
     return (
-        folded.withColumn("_taken", taken)
-        .where(F.col("_taken") < size)
-        .withColumn("_n", F.least(F.col("n"), F.lit(size) - F.col("_taken")).cast("int"))
+        with_rank(folded, "_key", *columns, name="_past", weight="_n")
+        .where(taken < size)
+        .withColumn("_n", F.least(F.col("_n"), F.lit(size) - taken).cast("int"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
         .select(*columns)
     )
