@@ -749,6 +749,11 @@ ORACLE |= {
         ('location_encoded', '区域编码'), ('hour_sin', '小时(sin)'), ('hour_cos', '小时(cos)'),
         ('weekday_sin', '星期(sin)'), ('weekday_cos', '星期(cos)'), ('is_weekend', '是否周末'),
         ('is_rush_hour', '是否高峰时段')) f(feature, label)""",
+    "cells_by_nodes": cleaned("SELECT PULocationID, pickup_hour, pickup_weekday, true AS agrees FROM cube"),
+    "importance_by_nodes": """SELECT feature, label, true AS agrees FROM (VALUES
+        ('location_encoded', '区域编码'), ('hour_sin', '小时(sin)'), ('hour_cos', '小时(cos)'),
+        ('weekday_sin', '星期(sin)'), ('weekday_cos', '星期(cos)'), ('is_weekend', '是否周末'),
+        ('is_rush_hour', '是否高峰时段')) f(feature, label)""",
     "score_requests": f"""WITH {CLEANED}, {_REQUESTS}
         SELECT location_id, hour, weekday, {_WEEKDAYS}[weekday + 1] AS weekday_name, c.demand AS historical_demand,
           hour IN (7, 8, 9, 17, 18, 19) AS is_rush_hour, weekday >= 5 AS is_weekend,

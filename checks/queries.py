@@ -14,7 +14,7 @@ from curbmeter.functions.timing import with_duration, with_time_features
 from curbmeter.operators import clean, demand, encoding, evaluation, fares, profile, quantiles
 from curbmeter.operators.duplicates import distinct_rows
 from curbmeter.operators.sampling import histogram
-from curbmeter.plans import analyses, answers, forecasting, questions, tagging
+from curbmeter.plans import analyses, answers, forecasting, questions, tagging, trees
 from curbmeter.schema import (
     ALIGHTING,
     BOARDING,
@@ -364,6 +364,47 @@ def score_requests(spark, sf_dir) -> DataFrame:
     return scored.withColumn("in_range", within("predicted_demand", fitted.cube)).drop("predicted_demand")
 
 
+def cells_by_nodes(spark, sf_dir) -> DataFrame:
+    """Every cell with whether the prediction from the forest's nodes is the model's own."""
+    fitted = forecaster(spark, sf_dir)
+    keys = [PICKUP_ZONE, "pickup_hour", "pickup_weekday"]
+    featured = encoding.demand_features(fitted.cube, fitted.encoder)
+    nodes = cut_lineage(trees.node_table(spark, fitted.model))
+    ours = trees.predict_by_nodes(featured, nodes, keys, fitted.model.getOrDefault("maxDepth"))
+    theirs = fitted.model.transform(encoding.with_vector(featured)).select(*keys, F.col("prediction").alias("model"))
+    agrees = F.abs(F.col("prediction") - F.col("model")) < 1e-9
+    return theirs.join(ours, keys, "left").select(*keys, F.coalesce(agrees, F.lit(False)).alias("agrees"))
+
+
+def importance_by_nodes(spark, sf_dir) -> DataFrame:
+    """The features with whether the importance from the nodes is the model's own."""
+    model = forecaster(spark, sf_dir).model
+    ours = trees.importance_by_nodes(trees.node_table(spark, model)).withColumnRenamed("importance", "ours")
+    shares = forecasting.feature_importance(model, spark).join(ours, "feature")
+    return shares.select("feature", "label", (F.abs(F.col("importance") - F.col("ours")) < 1e-9).alias("agrees"))
+
+
+def importance_shares(spark, sf_dir) -> DataFrame:
+    """The importances in ascending order."""
+    return rounded(forecasting.feature_importance(forecaster(spark, sf_dir).model, spark), 6)
+
+
+def predicted_requests(spark, sf_dir) -> DataFrame:
+    """The answers of the batch scoring with the predicted demand."""
+    requests = CLEANED(spark, sf_dir).select(
+        F.col(DROPOFF_ZONE).alias("location_id"), F.hour(PICKUP_TIME).alias("hour"), F.weekday(PICKUP_TIME).alias("weekday")
+    )
+    return forecasting.score_requests(requests.distinct(), forecaster(spark, sf_dir))
+
+
+def forest_errors(spark, sf_dir) -> DataFrame:
+    """MAE and RMSE of both regressors on the test cells."""
+    models = {"boosted_trees": forecasting.boosted_trees(), "forest": forecasting.forest()}
+    scored = forecasting.evaluate(CLEANED(spark, sf_dir), models)
+    rows = [evaluation.error_metrics(df).withColumn("model", F.lit(name)) for name, df in scored.items()]
+    return rounded(rows[0].unionByName(rows[1]), 4)
+
+
 def _on(source, operator, *args, digits=None, **kwargs):
     def run(spark, sf_dir):
         result = operator(source(spark, sf_dir), *args, **kwargs)
@@ -391,6 +432,8 @@ def features(trips: DataFrame) -> DataFrame:
     return full.select(*columns, *[F.round(c, 6).alias(c) if c in ROUNDED else c for c in added])
 
 
+# What fitted models give has no SQL; ``cells_by_nodes`` and ``importance_by_nodes`` check it by a second way.
+WITHOUT_SQL = {"importance_shares", "predicted_requests", "forest_errors"}
 QUERIES = {
     # Sources and previews
     "raw_trips": _on(RAW, lambda df: df),
@@ -504,6 +547,11 @@ QUERIES = {
     "feature_importance": feature_importance,
     "score_requests": score_requests,
     "tree_group_means": tree_group_means,
+    "cells_by_nodes": cells_by_nodes,
+    "importance_by_nodes": importance_by_nodes,
+    "importance_shares": importance_shares,
+    "predicted_requests": predicted_requests,
+    "forest_errors": forest_errors,
     "feature_vectors": feature_vectors,
     "scaled_on_train": scaled_on_train,
     # The analysis chain: the same data sets from two aggregates
