@@ -217,6 +217,8 @@ def scan_licenses(
         .groupBy("key", "whole")
         .agg(F.first("text").alias("text"))
     )
+    # Lines, runs and identifiers are looked for in it; whole texts are read for it once.
+    marked = store(marked, "marked")
     own = store(own_licenses(marked, templates, least), "own")
     mine = broadcast_if_small(
         own.select(F.col("key").alias(key), F.col("whole").alias(whole), F.col("license").alias("_license"), F.col("cosine").alias("_cosine"))
