@@ -2,12 +2,15 @@
 
 Rows hash to 60 bits. The directory starts with one bucket; a bucket over the
 limit, and only that, splits on its next bit. Sizes are summed per prefix of
-the hash, 16 bits at a time, so the whole directory comes from few aggregations
-and its tables are bounded by the number of shards, not of rows.
+the hash, 15 bits at a time, so the whole directory comes from few aggregations
+and its tables are bounded by the number of shards, not of rows. The directory
+is made from hashes and sizes alone, which one read of the texts writes to a
+table; a second read deals the rows.
 
 Rows whose first hashes are equal throughout (one id that is repeated very
 often) go on with a hash of their text, then of the row's number, each such
-bucket by itself.
+bucket by itself. Rows are numbered in a written table, so that the numbers
+stay the same when an executor is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def directory_step(rows: DataFrame, base: int, limit: int) -> DataFrame:
     fits; null where it does not fit with all of them.
     """
     end = base + STEP
-    sums = rows.groupBy("before", _prefix("hash", end).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+    sums = store(rows.groupBy("before", _prefix("hash", end).alias("prefix")).agg(F.sum("bytes").alias("bytes")), "sums")
     # One row for each prefix of each length: at most 16 times as many as full prefixes.
     levels = sums.select("before", "prefix", "bytes", F.explode(F.sequence(F.lit(base), F.lit(end))).alias("depth"))
     bucket = F.expr(f"shiftright(prefix, {end} - depth)")
@@ -51,6 +54,14 @@ def directory_step(rows: DataFrame, base: int, limit: int) -> DataFrame:
     )
 
 
+def still_open(rows: DataFrame, step: DataFrame, base: int) -> DataFrame:
+    """Those of ``rows(before, hash, bytes)`` whose bucket fits at no depth of ``step``, with the bucket's name so far."""
+    full = broadcast_if_small(step.where("depth is null").select("before", "prefix"))
+    bits = F.lpad(F.bin(F.expr(f"prefix % {1 << STEP}")), STEP, "0")
+    rows = rows.withColumn("prefix", _prefix("hash", base + STEP)).join(full, ["before", "prefix"])
+    return rows.select(F.concat("before", bits).alias("before"), "hash", "bytes")
+
+
 def assign_shards(
     docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -66,8 +77,7 @@ def assign_shards(
     for wanted in ("shard", "n_bytes", "shard_bytes", "row", "hash", "found", "prefix"):
         names[wanted] = free_name(docs, wanted)
     shard, n_bytes, total, row, hash_, found, prefix = names.values()
-    out = docs.withColumn(row, F.monotonically_increasing_id())
-    out = out.withColumn(n_bytes, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
+    out = docs.withColumn(n_bytes, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
     out = out.withColumn(shard, F.lit("")).withColumn(total, F.lit(None).cast("long"))
     out = out.withColumn(found, F.col(n_bytes) > limit)
     keys = [
@@ -75,14 +85,21 @@ def assign_shards(
         F.concat_ws(" ", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary"))),
         F.col(row).cast("string"),
     ]
-    finished = False
+    finished, dealt = False, []
     for key in keys:
+        if key is keys[-1]:
+            # Copies of one text beyond the limit: only these rows are written, with their numbers.
+            dealt.append(out.where(found).drop(hash_))
+            out = store(out.where(~F.col(found)).withColumn(row, F.monotonically_increasing_id()), "copies")
         out = out.withColumn(hash_, _bits(key))
-        for base in range(0, BITS, STEP):
-            open_rows = out.where(~F.col(found)).select(
+        rows = store(
+            out.where(~F.col(found)).select(
                 F.col(shard).alias("before"), F.col(hash_).alias("hash"), F.col(n_bytes).alias("bytes")
-            )
-            step = store(directory_step(open_rows, base, limit), "directory")
+            ),
+            "sizes",
+        )
+        for base in range(0, BITS, STEP):
+            step = store(directory_step(rows, base, limit), "directory")
             here = broadcast_if_small(step.select(F.col("before").alias(shard), F.col("prefix").alias(prefix), "depth", F.col("shard_bytes").alias("fit")))
             out = out.withColumn(prefix, F.when(~F.col(found), _prefix(hash_, base + STEP)))
             out = out.join(here, [shard, prefix], "left")
@@ -100,12 +117,16 @@ def assign_shards(
             if step.where("depth is null").isEmpty():
                 finished = True
                 break
+            rows = still_open(rows, step, base)
         if finished:
             break
+    for part in dealt:
+        out = out.drop(row, hash_).unionByName(part)
     alone = F.col(n_bytes) > limit
-    out = out.withColumn(shard, F.when(alone, F.concat(F.lit("own-"), F.md5(F.col(row).cast("string").cast("binary")))).otherwise(F.col(shard)))
+    number = F.monotonically_increasing_id().cast("string").cast("binary")
+    out = out.withColumn(shard, F.when(alone, F.concat(F.lit("own-"), F.md5(number))).otherwise(F.col(shard)))
     out = out.withColumn(total, F.when(alone, F.col(n_bytes)).otherwise(F.col(total)))
-    return out.drop(row, hash_, found)
+    return out.select(*docs.columns, shard, n_bytes, total)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import differences, duckdb_tables
-from curbmeter.llm import forest, licenses, quotations, sharding, url_rules, warc
+from curbmeter.llm import forest, licenses, quotations, sharding, shared, url_rules, warc
 from curbmeter.llm.oracle import ORACLE
 from curbmeter.llm.queries import QUERIES
 from curbmeter.llm.shared import table
@@ -230,3 +230,32 @@ def test_pipeline_stages_keep_the_columns(spark, sf_dir):
         docs = spark.createDataFrame(after.collect(), docs.schema)
     assert 0 < docs.count() < 200
     assert corpus_pipeline.run(spark, sf_dir).select(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+def test_shards_read_the_texts_twice(spark, monkeypatch):
+    sources = []
+
+    def store(df, name="table"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        sources.append((name, plan.count("text#")))
+        return shared.store(df, name)
+
+    monkeypatch.setattr(sharding, "store", store)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sharding.assign_shards(docs, 50_000)
+    assert [name for name, _ in sources] == ["sizes", "sums", "directory"]
+    assert all(n == 0 for name, n in sources if name != "sizes")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("text#") > 0
+
+
+def test_shards_of_nulls_and_many_copies(spark):
+    rows = [(None, None)] * 3 + [(None, "a b")] * 40 + [(7, "z" * 90)] * 30 + [(8, None)] * 5 + [(9, "q" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1))
+    got = sharding.assign_shards(docs, 100).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["n_bytes"]
+    assert len(got) == len(rows) and sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, rows))
+    assert all(r["shard_bytes"] == sizes[r["shard"]] for r in got)
+    assert all(size <= 100 or name.startswith("own-") for name, size in sizes.items())
+    assert sum(r["shard"].startswith("own-") for r in got) == 1
