@@ -783,3 +783,24 @@ ORACLE |= {
         "fee_structure", "hourly_payment_share", "payment_means", "tip_means",
     )
 }
+# A stored audit of a folder that grew gives the reports of its present files.
+ORACLE |= {
+    f"grown_{name}": ORACLE[name]
+    for name in (
+        "null_profile", "key_null_profile", "sign_audit", "passenger_validity", "time_order_audit", "padding_audit",
+        "fare_consistency", "sparse_columns", "reject_funnel", "passenger_distribution", "domain_summary",
+        "domain_values", "domain_anomalies", "domain_anomaly_total", "describe_numeric",
+    )
+}
+ORACLE["grown_demand_cube"] = cleaned(
+    """SELECT PULocationID, CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
+      CAST(isodow(tpep_pickup_datetime) - 1 AS INTEGER) AS pickup_weekday, count(*) AS demand
+    FROM tagged WHERE reason = '10 kept' GROUP BY ALL"""
+)
+ORACLE["certified_flows"] = cleaned(
+    """SELECT PULocationID, DOLocationID, count(*) AS trips FROM cleaned
+    WHERE PULocationID IS NOT NULL AND DOLocationID IS NOT NULL GROUP BY ALL ORDER BY trips DESC, 1, 2 LIMIT 15"""
+)
+ORACLE["certified_users"] = ORACLE["events_top_users"]
+ORACLE["certified_parts"] = """SELECT l_partkey, l_suppkey, count(*) AS trips FROM lineitem
+    GROUP BY ALL ORDER BY trips DESC, 1, 2 LIMIT 25"""

@@ -13,8 +13,10 @@ from checks.inputs import cleaned_trips, raw_trips, stored_raw, table
 from curbmeter.functions.timing import with_duration, with_time_features
 from curbmeter.operators import clean, demand, encoding, evaluation, fares, profile, quantiles
 from curbmeter.operators.duplicates import distinct_rows
+from curbmeter.operators.heavy import top_keys
 from curbmeter.operators.sampling import histogram
 from curbmeter.plans import analyses, answers, forecasting, questions, tagging, trees
+from curbmeter.plans.incremental import AuditState
 from curbmeter.schema import (
     ALIGHTING,
     BOARDING,
@@ -243,6 +245,36 @@ def months_of_schemas(spark, sf_dir) -> DataFrame:
     return read_months(spark, [f"{root}/{name}" for name in parts]).where(F.col(PICKUP_ZONE).between(100, 160))
 
 
+_audit_states: dict = {}
+
+
+def grown_state(spark, sf_dir) -> AuditState:
+    """The stored audit of a folder of raw trips that grew in two steps, made once per session and data set.
+
+    The second step adds files with other types and puts others in the place of some of the first step.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _audit_states:
+        trips = RAW(spark, sf_dir)
+        root = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}"
+        state = AuditState(spark, f"{root}/months", f"{root}/state")
+        part = F.coalesce(F.month(PICKUP_TIME) % 3, F.lit(0))
+        write_trips(trips.where(part == 0), f"{root}/months/first")
+        write_trips(trips.where((part == 2) & (F.col(PICKUP_ZONE) < 100)), f"{root}/months/second")
+        state.update()
+        write_trips(trips.where(part == 2), f"{root}/months/second")
+        wide = {c: F.col(c).cast("long") for c in (PICKUP_ZONE, PAYMENT, "VendorID")}
+        write_trips(trips.where(part == 1).withColumns(wide), f"{root}/months/third")
+        state.update()
+        _audit_states[key] = state
+    return _audit_states[key]
+
+
+def grown(report: str):
+    """One report from the stored audit."""
+    return lambda spark, sf_dir: grown_state(spark, sf_dir).reports()[report]
+
+
 def clustered(spark, sf_dir) -> DataFrame:
     """The cleaned trips written along the curve and read back."""
     path = f"{checkpoint_root(spark)}/trips-{uuid.uuid4().hex}/clustered"
@@ -417,6 +449,18 @@ def _events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def _lineitem(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem")
+
+
+# Queries on a stored audit and the report they return.
+GROWN = {
+    "null_profile": "nulls", "key_null_profile": "key_nulls", "sign_audit": "signs", "passenger_validity": "passengers",
+    "time_order_audit": "time_order", "padding_audit": "padding", "fare_consistency": "consistency",
+    "sparse_columns": "sparse", "reject_funnel": "rejected", "passenger_distribution": "passenger_counts",
+    "domain_summary": "domains", "domain_values": "domain_values", "domain_anomalies": "domain_anomalies",
+    "domain_anomaly_total": "anomaly_total",
+}
 CHAINED = (
     "demand_cube", "hourly_by_daytype", "weekday_hour_counts", "weekday_hour_matrix", "top_pickup_zones",
     "top_dropoff_zones", "top5_zone_hourly", "od_flows", "payment_share", "fee_structure",
@@ -507,6 +551,14 @@ QUERIES = {
     "fare_quantiles_by_zone": _on(
         CLEANED, quantiles.exact_quantiles, [FARE], (0.25, 0.5, 0.75), [PICKUP_ZONE], digits=8
     ),
+    # The most frequent keys, proven from counts of buckets
+    "certified_flows": _on(CLEANED, top_keys, PICKUP_ZONE, DROPOFF_ZONE, top=15),
+    "certified_users": _on(_events, top_keys, "user_id", top=20),
+    "certified_parts": _on(_lineitem, top_keys, "l_partkey", "l_suppkey", top=25),
+    # Audits of a folder that grows, from stored states
+    **{f"grown_{name}": grown(report) for name, report in GROWN.items()},
+    "grown_describe_numeric": lambda spark, sf_dir: rounded(grown_state(spark, sf_dir).describe()),
+    "grown_demand_cube": lambda spark, sf_dir: grown_state(spark, sf_dir).cube(),
     # Questions
     "hourly_demand": _on(CLEANED, questions.hourly_demand, 100, WORKDAY),
     "hourly_demand_answer": _on(CLEANED, questions.hourly_demand_answer),

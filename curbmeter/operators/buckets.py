@@ -148,6 +148,20 @@ def bucket_state(values: DataFrame, keys: list) -> DataFrame:
     )
 
 
+def merged_state(states: DataFrame, keys: list) -> DataFrame:
+    """One state of the states of any number of parts, in the same form, added up by Spark."""
+    n, one_value = F.sum("n"), F.min("lo") == F.max("hi")
+    squares = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean"))
+    total = F.sum(F.col("n") * F.col("mean"))
+    return states.groupBy(*keys, "bucket").agg(
+        n.alias("n"),
+        F.when(one_value, F.min("lo")).otherwise(total / n).alias("mean"),
+        F.when(one_value, 0.0).otherwise(F.greatest(squares - total * total / n, F.lit(0.0))).alias("m2"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+    )
+
+
 class Distribution:
     """Exact numbers about a few columns, in total or for a few groups.
 
@@ -156,10 +170,12 @@ class Distribution:
     key are left out; so are nulls and NaN.
     """
 
-    def __init__(self, df: DataFrame, columns, by=()):
+    def __init__(self, df: DataFrame, columns, by=(), state: DataFrame | None = None):
+        """``state``, as by :func:`bucket_state`, is passed where it was made before; then the first scan is saved."""
         self.df, self.columns, self.by = without_null_keys(df, by), list(columns), list(by)
         self.keys = [*self.by, "column"]
-        rows = bucket_state(tall_values(self.df, self.columns, self.by), self.keys).toArrow().to_pydict()
+        state = bucket_state(tall_values(self.df, self.columns, self.by), self.keys) if state is None else state
+        rows = state.toArrow().to_pydict()
         found: dict = {}
         for i, key in enumerate(zip(*(rows[k] for k in self.keys))):
             found.setdefault(key, []).append(i)

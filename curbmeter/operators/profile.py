@@ -144,6 +144,20 @@ DESCRIBED = T.StructType(
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+def described(known: Distribution) -> DataFrame:
+    """The report on the columns of a state: moments from it, quartiles from one scan of the buckets they lie in."""
+    asked = [([(c,)], p, None) for c in known.columns if (c,) in known.parts for p in QUARTILES]
+    for keys, p, _ in asked:
+        known.want_quantile(keys, p)
+    known.read()
+    found = dict(zip([(keys[0][0], p) for keys, p, _ in asked], known.quantiles(asked)))
+    rows = []
+    for c in known.columns:
+        count, mean, std, low, high = moments(known.parts[(c,)]) if (c,) in known.parts else (0, None, None, None, None)
+        rows.append((c, count, mean, std, low, *[found.get((c, p)) for p in QUARTILES], high))
+    return local_table(known.df.sparkSession, rows, DESCRIBED)
+
+
 def describe(
     df: DataFrame,
     columns=None,
@@ -159,17 +173,7 @@ def describe(
     """
     columns = list(columns or columns_of_kind(df, "numeric"))
     if exact and basics is None and quartiles is None:
-        known = Distribution(df, columns)
-        asked = [([(c,)], p, None) for c in columns if (c,) in known.parts for p in QUARTILES]
-        for keys, p, _ in asked:
-            known.want_quantile(keys, p)
-        known.read()
-        found = dict(zip([(keys[0][0], p) for keys, p, _ in asked], known.quantiles(asked)))
-        rows = []
-        for c in columns:
-            count, mean, std, low, high = moments(known.parts[(c,)]) if (c,) in known.parts else (0, None, None, None, None)
-            rows.append((c, count, mean, std, low, *[found.get((c, p)) for p in QUARTILES], high))
-        return local_table(df.sparkSession, rows, DESCRIBED)
+        return described(Distribution(df, columns))
     basics = basics if basics is not None else basics_audit(df, columns).of(df)
     if quartiles is None:
         quartiles = quartile_table(df, columns, exact=exact)
@@ -347,11 +351,15 @@ def _code_text(df: DataFrame, column: str) -> Column:
 
 def code_counts(df: DataFrame, domains=CODE_DOMAINS) -> DataFrame:
     """Rows per code column and value, the missing value included."""
-    names = [d.column for d in _domains(df, domains)]
-    texts = df.select(*[_code_text(df, c).alias(c) for c in names])
+    return text_counts(df, [d.column for d in _domains(df, domains)])
+
+
+def text_counts(df: DataFrame, columns: list, by=()) -> DataFrame:
+    """Rows per column (and group) and value as text, the missing value included."""
+    texts = df.select(*by, *[_code_text(df, c).alias(c) for c in columns])
     return (
-        texts.unpivot([], names, "column", "value")
-        .groupBy("column", "value")
+        texts.unpivot(list(by), columns, "column", "value")
+        .groupBy(*by, "column", "value")
         .agg(F.count("*").alias("rows"))
     )
 

@@ -56,14 +56,15 @@ def _whole(kind: T.DataType) -> bool:
     return isinstance(kind, T.IntegralType)
 
 
-def read_months(spark: SparkSession, paths, schema: T.StructType = TRIP_SCHEMA) -> DataFrame:
+def read_months(spark: SparkSession, paths, schema: T.StructType = TRIP_SCHEMA, file_column: str | None = None) -> DataFrame:
     """All paths as one table: the columns of ``schema`` that any path has, then all others.
 
     Names are matched without regard to case and spelled as in ``schema``, or
     else as where they first occur. A column that a path lacks is null there. A
     column that ``schema`` names gets its type, except that whole numbers stay
     whole (BIGINT, if their widths differ); others get one that fits all paths. A path
-    with two spellings of one name is an error, as is an empty list.
+    with two spellings of one name is an error, as is an empty list. ``file_column``
+    names a further column with the path of a row's file.
     """
     groups = list(physical_schemas(spark, paths).values())
     if not groups:
@@ -91,6 +92,8 @@ def read_months(spark: SparkSession, paths, schema: T.StructType = TRIP_SCHEMA)
                 if casts[low] is not None and has[low].dataType != casts[low]:
                     value = value.cast(casts[low])
             columns.append(value.alias(names[low]))
+        if file_column:
+            columns.append(F.col("_metadata.file_path").alias(file_column))
         return spark.read.schema(stored).parquet(*group).select(*columns)
 
     return reduce(DataFrame.unionAll, [scan(stored, group) for stored, group in groups])
