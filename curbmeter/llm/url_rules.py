@@ -2,8 +2,13 @@
 
 Every rule has literal tokens that a fitting URL must hold as whole tokens. A
 rule is indexed by the one that is rarest among the URLs. A URL's tokens fetch
-their rules by an equality join, and only the fetched rules run as regular
-expressions. All of it is DataFrame work.
+their rules, and only the fetched rules run as regular expressions. All of it
+is DataFrame work.
+
+Few rules are a map from key to rules in the plan; each URL stays one row and is
+not shuffled. More rules are a table: tokens that are no key are dropped first,
+the others meet the rules in an equality join in which a token of many URLs is
+dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ RULES = (
 )
 DEFAULT = "allow"
 _TOKEN = "[0-9A-Za-z]+"
+# Up to so many rules are looked up in a map; a look-up walks through its keys.
+MAP_RULES = 256
+# URLs that fetch the rules of one key in one task.
+SHARE = 100_000
 
 
 def split_url(url):
@@ -70,7 +79,8 @@ def compile_rules(rules: DataFrame) -> DataFrame:
 def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """Compiled rules with the ``key`` they are fetched by: their token that is rarest among ``urls(tokens)``.
 
-    A rule that shows no whole token has the key '' and is fetched by every URL.
+    ``n`` is the number of URLs that have the key. A rule that shows no whole
+    token has the key '' and is fetched by every URL; its ``n`` is null.
     """
     compiled = store(compile_rules(rules), "rules")
     known = compiled.select("rule", F.explode("tokens").alias("token"))
@@ -80,30 +90,60 @@ def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
     rarest = (
         known.join(counts, "token", "left")
         .groupBy("rule")
-        .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("key"))
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x"))
+        .select("rule", F.col("x.token").alias("key"), "x.n")
     )
     return store(compiled.join(rarest, "rule", "left").withColumn("key", F.coalesce("key", F.lit(""))), "rules")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _mapped(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """``urls`` with ``best(size, rule, verdict)``: the rules, at most ``MAP_RULES``, are a map in the plan."""
+    by_key: dict = {}
+    for r in index.select("key", "size", "rule", "verdict", "pattern").collect():
+        entry = F.struct(F.lit(-r["size"]).alias("size"), *[F.lit(r[c]).alias(c) for c in ("rule", "verdict", "pattern")])
+        by_key.setdefault(r["key"], []).append(entry)
+    if not by_key:
+        return urls.withColumn("best", F.lit(None).cast("struct<size int, rule string, verdict string>"))
+    fetch = F.create_map(*[x for key, entries in by_key.items() for x in (F.lit(key), F.array(*entries))])
+    keys = F.filter(F.concat(F.array(F.lit("")), "tokens"), lambda t: F.map_contains_key(fetch, t))
+    fetched = F.flatten(F.transform(keys, lambda t: fetch[t]))
+    return urls.withColumn("best", F.array_min(F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))))
+
+
+def _joined(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """The same for any number of rules, by a join on the key."""
+    # Numbered in a written table: the numbers stay when an executor is lost.
+    urls = store(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
+    shares = F.floor(F.coalesce("n", F.lit(urls.count())) / SHARE) + 1
+    index = index.withColumn("shares", shares)
+    keys = broadcast_if_small(store(index.select("key", "shares").distinct(), "keys"))
+    asked = urls.select("row", F.concat("host", "path").alias("url"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("key"))
+    asked = asked.join(keys, "key").withColumn("share", F.pmod("row", "shares")).drop("shares")
+    dealt = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = dealt.select("key", "share", "size", "rule", "verdict", "pattern")
+    fits = asked.join(dealt, ["key", "share"]).where(F.expr("regexp_like(url, pattern)"))
+    best = fits.groupBy("row").agg(F.min(F.struct((-F.col("size")).alias("size"), "rule", "verdict")).alias("best"))
+    return urls.join(best, "row", "left")
+
+
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", map_rules: int = MAP_RULES
+) -> DataFrame:
     """One row per page: ``id_col, host, path, rule, verdict``.
 
     Of the rules that fit, the longest wins, of equally long ones the smaller
     string. Where none fits, ``rule`` is null and the verdict is ``allow``. A
     null URL or one without ``://`` has an empty host and path. Repeated rows
     and null ids are judged each; empty tables are fine on either side; other
-    columns are not read.
+    columns are not read. More than ``map_rules`` rules are joined.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select(
-        F.monotonically_increasing_id().alias("row"), "id", host.alias("host"), path.alias("path")
+        "id", host.alias("host"), path.alias("path")
     )
     urls = urls.withColumn("tokens", F.array_distinct(_tokens(F.concat("host", "path"))))
-    index = broadcast_if_small(index_rules(rules, urls)).select("key", "rule", "verdict", "size", "pattern")
-    asked = urls.withColumn("key", F.explode(F.concat(F.array(F.lit("")), "tokens"))).drop("tokens")
-    fits = (F.col("u.key") == F.col("r.key")) & F.expr("regexp_like(concat(u.host, u.path), r.pattern)")
-    best = F.min(F.when(F.col("r.rule").isNotNull(), F.struct(-F.col("r.size"), "r.rule", "r.verdict"))).alias("best")
-    judged = asked.alias("u").join(index.alias("r"), fits, "left").groupBy("row", "id", "host", "path").agg(best)
+    index = index_rules(rules, urls)
+    judged = _mapped(urls, index) if index.count() <= map_rules else _joined(urls, index)
     return judged.select(
         F.col("id").alias(id_col),
         "host",

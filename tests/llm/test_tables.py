@@ -129,15 +129,16 @@ def test_two_repeated_ids_split_each_by_its_own_size(spark):
     assert all(len(ids[s]) == 1 for s in ids if len(s) > 60)
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("map_rules", [256, -1])
+def test_urls(spark, map_rules):
     urls = [(None, None), (1, "x"), (1, "HTTP://A.Example.ORG/es/?x"), (2, "a://org"), (3, "a://my-org/x"), (4, "a://example.org/en/19\n#x"), (5, "://x.com/de/"), (6, "b://com/fr/a"), (7, "b://net/fr/a")]
     rules = spark.createDataFrame(list(url_rules.RULES), "rule string, verdict string")
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("host", F.lit(1))
-    got = url_rules.judge_urls(pages, rules).select("page_id", "rule", "verdict").collect()
+    got = url_rules.judge_urls(pages, rules, map_rules=map_rules).select("page_id", "rule", "verdict").collect()
     want = [(None, None, "allow"), (1, None, "allow"), (1, "example.org/es/", "block"), (2, None, "allow"), (3, None, "allow"), (4, "example.org/en/1", "block"), (5, "com/de/", "block"), (6, "com/fr/", "allow"), (7, None, "allow")]
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
-    assert {r["verdict"] for r in url_rules.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
-    assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_rules.judge_urls(pages, rules.limit(0), map_rules=map_rules).collect()} == {"allow"}
+    assert url_rules.judge_urls(pages.limit(0), rules, map_rules=map_rules).count() == 0
 
 
 def test_archives_round_trip_and_skip(spark, tmp_path):
@@ -259,3 +260,31 @@ def test_shards_of_nulls_and_many_copies(spark):
     assert all(r["shard_bytes"] == sizes[r["shard"]] for r in got)
     assert all(size <= 100 or name.startswith("own-") for name, size in sizes.items())
     assert sum(r["shard"].startswith("own-") for r in got) == 1
+
+
+def test_urls_are_one_row_and_not_shuffled(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    rules = spark.createDataFrame(list(url_rules.RULES), "rule string, verdict string")
+    plan = url_rules.judge_urls(pages, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
+
+
+def test_urls_by_300_000_rules(spark, monkeypatch):
+    """Rules of one host each, some for all hosts of a domain, one that every URL fetches; the hot token is dealt to shares."""
+    monkeypatch.setattr(url_rules, "SHARE", 500)
+    n = 300_000
+    host = F.concat(F.lit("h"), F.col("id"), F.lit(".example.com"))
+    rules = spark.range(n).select(
+        F.when(F.col("id") == 0, F.lit("com/")).when(F.col("id") == 1, F.lit("/pri")).otherwise(F.concat(host, F.lit("/a/"))).alias("rule"),
+        F.when(F.col("id") % 2 == 0, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
+    )
+    pages = spark.range(6000).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("s://www.h"), F.col("id"), F.lit(".example.com/a/x")))
+        .when(F.col("id") % 3 == 1, F.lit("s://Else.com/q"))
+        .otherwise(F.concat(F.lit("s://h"), F.col("id"), F.lit(".net/private"))).alias("url"),
+    )
+    rows = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, rules).collect()}
+    want = {i: (f"h{i}.example.com/a/", "allow" if i % 2 else "block") if i % 3 == 0 else ("com/", "block") if i % 3 == 1 else ("/pri", "allow") for i in range(6000)}
+    want[0] = ("com/", "block")
+    assert rows == want
