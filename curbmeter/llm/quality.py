@@ -35,6 +35,9 @@ GATE = 12
 EPOCHS = 14
 SEED = 7
 
+# Bytes that are encoded at once, about; a longer text is encoded in blocks of whole passages.
+BLOCK_BYTES = 1 << 20
+
 # Classes of bytes whose shares in a passage are counted.
 _MARKS = "!|%#*&;/:.,<>{}@_-\"'()=+$?"
 _CLASS = np.zeros(256, np.int64)
@@ -72,21 +75,45 @@ def encode(texts: pa.Array):
         counts = np.diff(first)
         n_passages = np.maximum(1, -(-counts // PASSAGE))
         at = np.concatenate([[0], np.cumsum(n_passages)])
-        text = np.repeat(np.arange(len(counts)), counts)
+        text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         passage = at[text] + (np.arange(len(starts)) - first[text]) // PASSAGE
         out = np.zeros((at[-1], N_FEATURES), np.float32)
-        if len(starts):
-            out[:] = _features(data, starts, ends, passage, text, at[-1])
+        # Bytes from a token's start to the next token's belong to its passage, and those before a text's first token.
+        begins, stops = starts.copy(), np.append(starts[1:], len(data))[: len(starts)]
+        own = np.flatnonzero(counts)
+        begins[first[own]] = offsets[own]
+        stops[first[own + 1] - 1] = offsets[own + 1]
+        last = None
+        for low, high in _blocks(begins, passage):
+            block, begin, first_passage = slice(low, high), begins[low], passage[low]
+            n = passage[high - 1] + 1 - first_passage
+            places = [x[block] - begin for x in (starts, ends, begins, stops)]
+            out[first_passage : first_passage + n], last = _features(
+                data[begin : stops[high - 1]], *places, passage[block] - first_passage, text[block], n, last
+            )
         yield out, at
 
 
-def _features(data, starts, ends, passage, text, n) -> np.ndarray:
+def _blocks(begins: np.ndarray, passage: np.ndarray):
+    """Ranges of tokens that hold whole passages and, but for one long passage, about ``BLOCK_BYTES``."""
+    if len(passage) == 0:
+        return
+    firsts = np.concatenate([[0], np.flatnonzero(np.diff(passage)) + 1])
+    block = (begins[firsts] - begins[0]) // BLOCK_BYTES
+    cuts = firsts[np.concatenate([[True], np.diff(block) > 0])]
+    yield from zip(cuts, np.append(cuts[1:], len(passage)))
+
+
+def _features(data, starts, ends, begins, stops, passage, text, n, last) -> tuple:
+    """Encodings of ``n`` passages, and the hash and text of the last token, for the block that follows."""
     kinds = _CLASS[data]
-    # Bytes from a token's start to the next token's belong to its passage.
-    borders = np.append(starts, len(data))
-    borders[0] = 0
-    head = np.repeat(passage, np.diff(borders))
-    shares = np.bincount(head * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
+    head = np.repeat(passage, stops - begins)
+    # Texts without tokens leave gaps.
+    counted = np.zeros(len(data) + 1, np.int8)
+    counted[begins] += 1
+    counted[stops] -= 1
+    counted = np.cumsum(counted[:-1], dtype=np.int8) > 0
+    shares = np.bincount(head * N_CLASSES + kinds[counted], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
     size = np.maximum(shares.sum(axis=1, keepdims=True), 1)
     tokens = np.bincount(passage, minlength=n)
     some = np.maximum(tokens, 1)
@@ -94,6 +121,7 @@ def _features(data, starts, ends, passage, text, n) -> np.ndarray:
     words = run_hashes(data, starts, ends)
     same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
+    same[0] = (words[0], text[0]) == last
     order = np.lexsort((words, passage))
     new = np.ones(len(words), bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (passage[order][1:] != passage[order][:-1])
@@ -113,7 +141,7 @@ def _features(data, starts, ends, passage, text, n) -> np.ndarray:
     extra = np.stack(
         [
             np.log1p(tokens),
-            np.log1p(size[:, 0]),
+            np.log1p(np.where(tokens > 0, size[:, 0], 0)),
             mean,
             np.sqrt(np.maximum(square - mean * mean, 0)),
             distinct / some,
@@ -128,7 +156,8 @@ def _features(data, starts, ends, passage, text, n) -> np.ndarray:
         / some[:, None]
         for h in (words, shapes)
     ]
-    return np.concatenate([shares / size, extra, *hashed], axis=1).astype(np.float32)
+    encoded = np.concatenate([shares / size, extra, *hashed], axis=1).astype(np.float32)
+    return encoded, (words[-1], text[-1])
 
 
 @dataclass
