@@ -139,7 +139,7 @@ def clean(df: DataFrame, keys=KEY_COLUMNS, drop: list | None = None) -> DataFram
     ``drop`` names the sparse columns when they are already known, which saves
     a job. The de-duplication of a large table compares fingerprints of all rows
     at the call and whole rows only where a fingerprint occurs again, so it moves
-    16 bytes and a count per row.
+    8 bytes and a count per row.
     """
     if drop is None:
         drop = sparse_columns(df, keys)
