@@ -24,8 +24,9 @@ from curbmeter.session import broadcast_if_small, cut_lineage
 # Cells of a training task: each is worked on in every level of every tree. A level is one job
 # over all tasks, so small ones pay for their start more often than for their cells.
 CELLS_PER_TASK = 6000
-# Memory for the statistics of the nodes of one pass; with Spark's 256 MB a level of 100 trees takes several.
-NODE_MEMORY_MB = 1024
+# Memory for the statistics of the nodes of one pass, held by each of its tasks. Deep levels take several passes;
+# with 1024 MB they took as much in every task, and spilled. The fitted trees are the same.
+NODE_MEMORY_MB = 256
 # Forest settings, and the labels of the features in reports.
 FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 5, "seed": 42}
 FEATURE_LABELS = {

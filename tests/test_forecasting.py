@@ -117,6 +117,14 @@ def test_training_does_not_depend_on_the_layout_of_its_input(spark, forecaster):
     assert predictions[0] == predictions[1]
 
 
+def test_small_passes_fit_the_same_trees(spark, forecaster):
+    assert forecasting.forest().getMaxMemoryInMB() <= 256
+    table = forecasting.training_table(forecaster.cube, forecaster.encoder)
+    settings = {"numTrees": 4, "maxDepth": 8}
+    one, whole = (forecasting.forest(**settings, maxMemoryInMB=mb).fit(table) for mb in (1, 1024))
+    assert one.toDebugString.split("\n")[1:] == whole.toDebugString.split("\n")[1:] and one.featureImportances == whole.featureImportances
+
+
 def test_importance_is_ascending(spark, forecaster):
     rows = forecasting.feature_importance(forecaster.model, spark).collect()
     shares = [r["importance"] for r in rows]
