@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from curbmeter.functions.values import is_float, missing, percent
 from curbmeter.operators import profile
 from curbmeter.operators.buckets import Distribution, bucket_state, merged_state, tall_values
-from curbmeter.operators.clean import KEPT, has_keys, keep_valid, present, trip_rules, with_reason
+from curbmeter.operators.clean import KEPT, has_keys, keep_valid, present, trip_rules
 from curbmeter.operators.demand import demand_cube
 from curbmeter.schema import (
     CODE_DOMAINS,
@@ -47,17 +47,28 @@ TABLES = ("files", "counts", "codes", "buckets", "cube")
 FILE = "_state_file"
 
 
+def judged(df: DataFrame) -> DataFrame:
+    """Add the number of the first broken rule, or of the rules for a row that is kept, and whether all keys are there.
+
+    Both are worked out once per row for all counts; text of reasons would be compared in each.
+    """
+    rules, reason = trip_rules(df), F
+    for i, rule in enumerate(rules):
+        reason = reason.when(~rule.keep, F.lit(i))
+    return df.withColumns({"_reason": reason.otherwise(F.lit(len(rules))), "_keyed": has_keys(df)})
+
+
 def counted(df: DataFrame) -> dict:
-    """Aggregates by ``(measure, column)``; each is a number of rows, so those of files add up."""
-    found = {("rows", ""): F.count("*"), ("keyed", ""): F.count_if(has_keys(df))}
-    for c in [c for c in df.columns if c not in (FILE, "reason")]:
+    """Aggregates by ``(measure, column)`` over :func:`judged` rows; each is a number of rows, so those of files add up."""
+    found = {("rows", ""): F.count("*"), ("keyed", ""): F.count_if("_keyed")}
+    for c in [c for c in df.columns if c not in (FILE, "_reason", "_keyed")]:
         found["present", c] = F.count_if(~missing(df, c))
-        found["keyed_present", c] = F.count_if(has_keys(df) & ~missing(df, c))
+        found["keyed_present", c] = F.count_if(F.col("_keyed") & ~missing(df, c))
     for c in present(df, SIGN_COLUMNS):
         found["negative", c] = F.count_if(F.col(c) < 0)
         found["zero", c] = F.count_if(F.col(c) == 0)
-    for reason in [*[rule.reason for rule in trip_rules(df)], KEPT]:
-        found["reason", reason] = F.count_if(F.col("reason") == reason)
+    for i, reason in enumerate([*[rule.reason for rule in trip_rules(df)], KEPT]):
+        found["reason", reason] = F.count_if(F.col("_reason") == i)
     if PASSENGERS in df.columns:
         found["passengers", ""] = F.count_if(F.col(PASSENGERS) <= 0)
     if {PICKUP_TIME, DROPOFF_TIME} <= set(df.columns):
@@ -73,8 +84,9 @@ def counted(df: DataFrame) -> dict:
 
 def counts_by_file(trips: DataFrame) -> DataFrame:
     """``(file, measure, column, n)``, from one scan."""
-    measures = counted(trips)
-    one = with_reason(trips).groupBy(FILE).agg(*[value.alias(f"m{i}") for i, value in enumerate(measures.values())])
+    rows = judged(trips)
+    measures = counted(rows)
+    one = rows.groupBy(FILE).agg(*[value.alias(f"m{i}") for i, value in enumerate(measures.values())])
     entries = [
         F.struct(F.lit(m).alias("measure"), F.lit(c).alias("column"), F.col(f"m{i}").alias("n"))
         for i, (m, c) in enumerate(measures)
@@ -89,6 +101,20 @@ def codes_by_file(trips: DataFrame) -> DataFrame:
     return profile.text_counts(trips.withColumns(absent), names, [FILE])
 
 
+def numbered_files(trips: DataFrame, files: list) -> tuple:
+    """The trips with a hash in the place of their file's path, and the file of each hash.
+
+    The states are counted per file: a path is a hundred bytes or more, which
+    would be copied and compared for each value of a row. Should two of the
+    files share a hash, they keep their paths.
+    """
+    names = trips.sparkSession.createDataFrame([(f,) for f in files], "file string")
+    hashed = names.select("file", F.xxhash64("file").alias(FILE))
+    if hashed.select(FILE).distinct().count() < len(files):
+        return trips, names.withColumn(FILE, F.col("file"))
+    return trips.withColumn(FILE, F.xxhash64(FILE)), hashed
+
+
 @dataclass
 class AuditState:
     """The stored states of the Parquet files under ``source``, in the shared folder ``folder``."""
@@ -129,7 +155,7 @@ class AuditState:
         new = self.pending().collect()
         if not new:
             return 0
-        trips = read_months(self.spark, [row["path"] for row in new], file_column=FILE)
+        trips, names = numbered_files(read_months(self.spark, [row["path"] for row in new], file_column=FILE), [row["file"] for row in new])
         values = trips.drop(FILE)
         numeric = profile.columns_of_kind(values, "numeric")
         tables = {
@@ -140,7 +166,8 @@ class AuditState:
         }
         batch = uuid.uuid4().hex
         for name, states in tables.items():
-            self._append(name, states.withColumnRenamed(FILE, "file"), batch)
+            # One row per new file.
+            self._append(name, states.join(F.broadcast(names), FILE).drop(FILE), batch)
         kinds = T.StructType([T.StructField("file", T.StringType()), T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())])
         listed = [tuple(row[c] for c in VERSION) for row in new]
         self._append("files", self.spark.createDataFrame(listed, kinds), batch)

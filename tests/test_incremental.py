@@ -106,3 +106,23 @@ def test_reports_do_not_read_the_trips(spark, state):
     state.update()
     for report in state.reports().values():
         assert "fare_amount#" not in report._jdf.queryExecution().executedPlan().toString()
+
+
+def test_states_are_counted_by_a_number_of_the_file(spark, state):
+    paths = [row["path"] for row in state.listing().collect()]
+    files = [row["file"] for row in state.listing().collect()]
+    trips = read_months(spark, paths, file_column=incremental.FILE)
+    numbered, names = incremental.numbered_files(trips, files)
+    assert numbered.schema[incremental.FILE].dataType.typeName() == "long"
+    assert numbered.join(names, incremental.FILE).groupBy("file").count().count() == 2
+    # Files that share a number keep their paths.
+    same, names = incremental.numbered_files(trips, files + files[:1])
+    assert same.schema[incremental.FILE].dataType.typeName() == "string" and names.columns == ["file", incremental.FILE]
+    assert rows_of(same) == rows_of(trips)
+
+
+def test_reasons_are_numbers_while_rows_are_counted(spark, trips):
+    df = trips({}, {"fare_amount": -1.0}, {"passenger_count": None, "fare_amount": 0.0})
+    got = [(r["_reason"], r["_keyed"]) for r in incremental.judged(df).collect()]
+    rules = [rule.reason for rule in clean.trip_rules(df)]
+    assert got == [(len(rules), True), (rules.index("03 fare not positive"), True), (0, False)]
